@@ -3,12 +3,12 @@
 All rules are packed into one row of bits, spread over 64-bit words. Bit k of a
 rule says that its first k characters have just been matched. A character moves
 all bits on at once (Shift-And); a wildcard is a bit that also stays where it
-is. ``*`` stays on any character but ``/``, and ``**`` on any. Texts of a batch
-are stepped together, a character of each at a time.
+is. ``*`` stays on any character but ``/`` and ``?``, and ``**`` on any. Texts
+of a batch are stepped together, a character of each at a time.
 
-A canonical URL is a dot, the host in lower case, a line end and the path.
-The dot makes ``*.com`` fit ``com`` and all hosts below it; the line end, which
-``*`` doesn't cross either, keeps hosts and paths apart.
+A canonical URL is a dot, the host in lower case, ``?`` and the path. The dot
+makes ``*.com`` fit ``com`` and all hosts below it; ``?``, which neither host
+nor path can hold, keeps the two apart.
 """
 
 from __future__ import annotations
@@ -39,18 +39,14 @@ class Rule:
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
     """A host, its subdomains, and the paths that start with ``path``; the longest such rule outweighs all others."""
-    return Rule(f"*.{host.lower()}\n{_literal(path)}**", verdict, host + path, 1_000_000 + len(host) + len(path))
-
-
-def _literal(text: str) -> str:
-    if "*" in text:
+    if "*" in host + path:
         raise ValueError("a host rule has no wildcards")
-    return text
+    return Rule(f"*.{host.lower()}?{path}**", verdict, host + path, 1_000_000 + len(host) + len(path))
 
 
 def glob_rule(host: str, path: str, verdict: str) -> Rule:
     """Wildcards over the host (behind its dot) and the path, without a name."""
-    return Rule(f"{host}\n{path}", verdict, None, 0)
+    return Rule(f"{host}?{path}", verdict, None, 0)
 
 
 class Automaton:
@@ -75,7 +71,7 @@ class Automaton:
                     k += 1
             self.last.append(len(steps) - 1)
         self.words = max(1, -(-len(steps) // 64))
-        chars = sorted({c for c, _, _ in steps if c} | {"/", "\n"})
+        chars = sorted({c for c, _, _ in steps if c} | {"/", "?"})
         self.code = {c: k + 1 for k, c in enumerate(chars)}
         self.move = np.zeros((len(chars) + 1, self.words), dtype=np.uint64)
         self.stay = np.zeros((len(chars) + 1, self.words), dtype=np.uint64)
@@ -86,7 +82,7 @@ class Automaton:
             if any_:
                 self.stay[:, w] |= bit
             elif one:
-                self.stay[[k for c, k in [("", _OTHER), *self.code.items()] if c not in ("/", "\n")], w] |= bit
+                self.stay[[k for c, k in [("", _OTHER), *self.code.items()] if c not in ("/", "?")], w] |= bit
         self.start = np.zeros(self.words, dtype=np.uint64)
         for k in self.first:
             self.start[k // 64] |= np.uint64(1 << k % 64)
@@ -125,8 +121,6 @@ class Automaton:
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (behind the first ``://``, A-Z in lower case) and path (from there to ``?`` or ``#``); both empty without ``://``."""
     url = F.coalesce(url, F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(_u, instr(_u, '://') + 3)"))
-    del rest
     behind = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
     host = F.translate(F.regexp_extract(behind, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(behind, r"^[^/?#]*([^?#]*)", 1)
@@ -145,7 +139,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str, url_col: str = "url
     @F.pandas_udf("int")
     def winner(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in batches:
-            texts = ["." + h + "\n" + p for h, p in zip(hosts, paths, strict=True)]
+            texts = ["." + h + "?" + p for h, p in zip(hosts, paths, strict=True)]
             yield pd.Series(automaton.winners(texts), dtype="int32")
 
     h, p, k = fresh(pages, "_host", "_path", "_rule")
