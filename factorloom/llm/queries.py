@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import html_text, packing, sharding, simhash, spm, urlrules
+from factorloom.llm import html_text, packing, quality, sharding, simhash, spm, toxicity, urlrules
 from factorloom.llm.common import read_table
 
 SHARD_BYTES = 1 << 20
 END_ID = 2
+#: The score from which a document counts as toxic.
+TOXIC_FROM = 0.3
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,28 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ids", spm.decode(F.col("ids"), model).alias("text"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every document, and whether the quality rules keep it."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    found = quality.judge(docs, labels, with_text=False)
+    return found.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Whether a document's labels aren't to be learnt from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a model of the labels that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
+    model = toxicity.fit(docs, labels)
+    found = docs.select("doc_id", held_out().alias("held_out"), toxicity.scores(F.col("text"), model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
 def url_rules() -> list[urlrules.Rule]:
     """The five host rules, and wildcards for what they leave: calendars, print views and session ids."""
     return [
@@ -118,7 +142,16 @@ FROM ruled
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator's query by its name."""
-    found = [op1_sharding, op2_packing, op3_main_text, op4_simhash, op5_sentencepiece, op9_url_filter]
+    found = [
+        op1_sharding,
+        op2_packing,
+        op3_main_text,
+        op4_simhash,
+        op5_sentencepiece,
+        op6_quality,
+        op7_toxicity,
+        op9_url_filter,
+    ]
     return {f.__name__: f for f in found}
 
 

@@ -130,7 +130,7 @@ class Pieces:
         parts = [_PARTS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         words = set().union(*parts) if parts else set()
         known = self.words
-        new = words - known.keys()
+        new = words.difference(known)
         if new and len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = words
