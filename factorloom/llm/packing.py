@@ -8,8 +8,11 @@ from one bucket, no sequence crosses a document and none has padding.
 
 from __future__ import annotations
 
+import gc
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,12 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import quoted, slices
 
 SEQUENCE_TOKENS = 4096
+#: Characters that the tokenizer never joins to a letter before them.
+PUNCTUATION = ".,;:!?#$%&*-+=/()[]{}\"_~"
 #: Words whose ids a Python worker remembers, each well under 300 bytes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+#: Characters of texts whose parts are looked up together.
+SLICE_CHARS = 3_000_000
 
 
 class WordIds:
@@ -28,7 +35,8 @@ class WordIds:
 
     The tokenizer drops white space and joins nothing across it, so a text's
     ids are those of the parts between its spaces and line ends in turn. A part
-    of ASCII letters with one full stop or comma behind it is two parts.
+    of letters with punctuation behind it is two parts. Of the memory's two halves the older one is
+    forgotten when the newer is full; parts that are met again move to the newer.
     """
 
     def __init__(self, path: str):
@@ -38,45 +46,73 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _learn(self, words: set[str]) -> None:
-        known = self.known
-        if len(known) + 2 * len(words) > CACHE_WORDS:
-            known.clear()
-        ends = {"": b"", ".": self._encode(["."])[0], ",": self._encode([","])[0]}
-        bases: dict[str, tuple[str, str]] = {}
-        for w in words:
-            end = w[-1:] if w[-1:] in ".," and w[-2:-1].isalpha() and w.isascii() else ""
-            base = w[: len(w) - len(end)]
-            bases[w] = (base.lower() if base.isascii() else base, end)
-        new = list({base for base, _ in bases.values()} - known.keys())
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000]), strict=True))
-        for w, (base, end) in bases.items():
-            known[w] = known[base] + ends[end]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each of which the tokenizer takes as one word also when they stand in a line."""
+        (found,) = self.tokenizer.encode_batch([" ".join(words)], add_special_tokens=False)
+        cuts = np.flatnonzero(np.diff(np.array(found.word_ids, dtype=np.int64))) + 1
+        if len(cuts) + 1 != len(words):
+            return self._each(words)
+        ids = array("I", found.ids).tobytes()
+        at = [0, *(4 * cuts).tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        newer, older = self.newer, self.older
+        bases = [p.rstrip(PUNCTUATION) for p in parts]
+        bases = [b if b == p or _plain(b) else p for p, b in zip(parts, bases, strict=True)]
+        ends = [p[len(b) :] for p, b in zip(parts, bases, strict=True)]
+        bases = [b.lower() if b.isascii() else b for b in bases]
+        distinct = set(bases).union(ends).difference(newer)
+        for b in [b for b in distinct if b in older]:
+            newer[b] = older[b]
+            distinct.discard(b)
+        newer[""] = b""
+        letters = [b for b in distinct if b.isalpha()]
+        others = list(distinct.difference(letters, [""]))
+        for words, encode in ((letters, self._letters), (others, self._each)):
+            for i in range(0, len(words), 2000):
+                some = words[i : i + 2000]
+                newer.update(zip(some, encode(some), strict=True))
+        for part, base, end in zip(parts, bases, ends, strict=True):
+            newer[part] = newer[base] + newer[end] if end else newer[base]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*parts) if parts else set()
-        if missing := words - self.known.keys():
-            self._learn(missing)
-            if not words <= self.known.keys():  # the memory was emptied meanwhile
-                self._learn(words)
-        get = self.known.__getitem__
+        if len(self.newer) + len(words) > CACHE_WORDS // 2:
+            self.older, self.newer = self.newer, {}
+        newer, older = self.newer, self.older
+        missing = []
+        for w in words.difference(newer):
+            ids = older.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                newer[w] = ids
+        self._learn(missing)
+        get = newer.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
+def _plain(word: str) -> bool:
+    """Whether a word is of letters, and also after the tokenizer's normalization, so that punctuation behind it stays apart."""
+    return word.isalpha() and (word.isascii() or is_normalized("NFC", word) and word.lower().isalpha())
+
+
 _word_ids: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
     """This worker's tokenizer of the file at ``path``."""
     if path not in _word_ids:
+        gc.disable()  # the memory of words has no cycles, and its many entries make each collection long
         _word_ids[path] = WordIds(path)
     return _word_ids[path]
 
@@ -120,7 +156,7 @@ def pieces(
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0
-            for part in slices(texts):
+            for part in slices(texts, SLICE_CHARS):
                 row, start, length, crc, total, parts = [], [], [], [], [], []
                 for k, ids in enumerate(encode(part), at):
                     ids += end
