@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,19 +18,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df``, computed once into the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is set.
+    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary
+    folder is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df``, computed once into the shared folder; goes from there when nothing refers to it and the session cleans checkpoints."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written once as compressed Parquet into the shared folder; for tables with texts. It stays until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """For each name one like it that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

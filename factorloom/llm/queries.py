@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import html_text, packing, quality, sharding, simhash, spm, toxicity, urlrules
+from factorloom.llm import html_text, lines, packing, quality, sharding, simhash, spm, topk, toxicity, urlrules
 from factorloom.llm.common import read_table
 
 SHARD_BYTES = 1 << 20
@@ -93,6 +93,33 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every fiftieth vector the five with the largest inner products."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+OP8_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), products AS (
+    SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS score
+    FROM whole q JOIN whole x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id AND len(q.v) = len(x.v)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM products
+)
+SELECT query_id, CAST(n AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE n <= 5
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand elsewhere already."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "text", "n_removed")
+
+
 def url_rules() -> list[urlrules.Rule]:
     """The five host rules, and wildcards for what they leave: calendars, print views and session ids."""
     return [
@@ -150,11 +177,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_sentencepiece,
         op6_quality,
         op7_toxicity,
+        op8_top_k,
         op9_url_filter,
+        op10_line_dedup,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op1_sharding": sharding_sql(), "op9_url_filter": OP9_SQL}
+    return {"op1_sharding": sharding_sql(), "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL}
