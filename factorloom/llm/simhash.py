@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import durable, fresh, quoted
+from factorloom.llm.common import durable, fresh, quoted, stored
 from factorloom.llm.components import components
 
 SEED = 42
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Bits of a chunk of shingles that are counted at a time.
 CHUNK = 8192
+#: Row numbers that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _tables(max_bits: int, more: int = 3) -> list[int]:
@@ -138,9 +140,16 @@ def near_duplicates(
     it has no other. Repeated rows are kept; one of them is ``first``. Of an
     empty table nothing comes out. Other columns aren't read.
     """
+    (row,) = fresh(docs, "_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    return _judged(rows, row, id_col, text_col, words, max_bits).drop("_judged_row")
+
+
+def _judged(docs: DataFrame, row: str, id_col: str, text_col: str, words: int, max_bits: int) -> DataFrame:
+    """(_judged_row, id, fingerprint, component_id, first) for rows with numbers of their own."""
     rows = durable(
-        docs.select(quoted(id_col).alias("id"), fingerprints(quoted(text_col), words).alias("f")).withColumn(
-            "row", F.monotonically_increasing_id()
+        docs.select(
+            F.col(row).alias("row"), quoted(id_col).alias("id"), fingerprints(quoted(text_col), words).alias("f")
         )
     )
     # ids that are null come last; of repeated ids the first row is the first
@@ -152,6 +161,7 @@ def near_duplicates(
     classes = rooted.select("f", "root").join(least, "root").select("f", "least")
     hexed = F.lower(F.lpad(F.hex("f"), 16, "0"))
     return rows.join(classes, "f").select(
+        F.col("row").alias("_judged_row"),
         F.col("id").alias(id_col),
         hexed.alias("fingerprint"),
         F.col("least.id").alias("component_id"),
@@ -162,16 +172,13 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` without the rows that aren't the first of their component; see ``near_duplicates``.
 
-    All columns stay as they are. Of repeated rows with one id and text one
-    stays; a row with a null id stays if it's alone in its component or all of
-    it have null ids and it's the first.
+    The row with the least id stays, all its columns as they are; of repeated
+    rows one does. Rows that go are found by numbers, so texts are not
+    shuffled while those are few enough to be broadcast.
     """
-    (mark,) = fresh(docs, "_nth")
-    found = near_duplicates(docs, id_col, text_col, words, max_bits).filter("first").select(F.col(id_col).alias("id"))
-    # ids of first rows are distinct but for null ids and repeated rows, of which one is to stay
-    kept = docs.join(found.distinct(), quoted(id_col).eqNullSafe(found["id"]), "left_semi")
-    text = F.coalesce(quoted(text_col), F.lit(""))
-    group = [quoted(id_col), F.md5(text.cast("binary"))]
-    from pyspark.sql import Window
-
-    return kept.withColumn(mark, F.row_number().over(Window.partitionBy(*group).orderBy(F.lit(0)))).filter(F.col(mark) == 1).drop(mark)
+    (row,) = fresh(docs, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    gone = durable(_judged(rows, row, id_col, text_col, words, max_bits).filter("not first").select(F.col("_judged_row").alias(row)))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, row, "left_anti").drop(row)
