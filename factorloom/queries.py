@@ -10,6 +10,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorloom.miner import search
+from factorloom.models import ensemble, rolling
 from factorloom.operators import alphas, backtest, combine, costs, evaluate, expand, lagged, risk, style, technical
 from factorloom.plans import oracle, text
 from factorloom.plans.graph import Node, call, compile_factors, field
@@ -553,8 +555,70 @@ def _source_queries() -> dict[str, tuple[Query, str | None]]:
     }
 
 
+_FEATURES = ["reversal", "turn", "calm", "range"]
+_CUT = "1999-01-01"
+
+
+def _model_query(name: str, **parameters: object) -> Query:
+    """A model fitted on the panel until a date and its predictions from there on."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        rows = rolling.feature_matrix(subjects(spark, folder), _FEATURES, min_names=5)
+        model = ensemble.get_model(name, _FEATURES, **parameters).fit(rows.filter(F.col("date") < _CUT))
+        return rounded(model.predict(rows.filter(F.col("date") >= _CUT)).select(*_KEYS, "prediction"))
+
+    return query
+
+
+def _ensemble_query(kind: type) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        rows = rolling.feature_matrix(subjects(spark, folder), _FEATURES, min_names=5).cache()
+        makers = [lambda: ensemble.get_model("ridge", _FEATURES), lambda: ensemble.get_model("elastic_net", _FEATURES)]
+        held = rows.filter((F.col("date") >= "1998-01-01") & (F.col("date") < _CUT))
+        model = kind(makers).fit(rows.filter(F.col("date") < "1998-01-01"), held)
+        return rounded(model.predict(rows.filter(F.col("date") >= _CUT)).select(*_KEYS, "prediction"))
+
+    return query
+
+
+def _rolling_splits(spark: SparkSession, folder: str) -> DataFrame:
+    n = sources.weekly_panel(spark, folder).select("date").distinct().count()
+    return spark.createDataFrame(rolling.splits(n), "start int, train_end int, validation_end int, test_end int")
+
+
+def _model_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    makers = {k: (lambda f, t, k=k: ensemble.get_model(k, f, t)) for k in ("ridge", "elastic_net")}
+    found = rolling.compare(subjects(spark, folder), makers, _FEATURES, n=2, min_names=5)
+    return rounded(found.drop("seconds"))
+
+
+def _gp_pool(spark: SparkSession, folder: str) -> DataFrame:
+    panel = sources.forward_returns(sources.weekly_panel(spark, folder))
+    small = search.Parameters(population=16, generations=2, checked=4, threshold=0.05, min_obs=3)
+    return rounded(search.pool_table(panel, search.mine_factors(panel, parameters=small)))
+
+
+def _model_queries() -> dict[str, tuple[Query, str | None]]:
+    sql = (
+        "WITH n AS (SELECT count(DISTINCT date) AS n FROM " + _PANEL + "), k AS (SELECT n, range AS k FROM n, range(3))"
+        " SELECT DISTINCT CAST(k * ((n - 260) // 2) AS INT) AS start, CAST(k * ((n - 260) // 2) + 156 AS INT) AS train_end,"
+        " CAST(k * ((n - 260) // 2) + 208 AS INT) AS validation_end, CAST(k * ((n - 260) // 2) + 260 AS INT) AS test_end FROM k"
+    )
+    return {
+        "rolling_splits": (_rolling_splits, sql),
+        "ridge": (_model_query("ridge"), None),
+        "elastic_net": (_model_query("elastic_net"), None),
+        "gbt": (_model_query("boosted", rounds=5, depth=3), None),
+        "double_ensemble": (_model_query("double_ensemble", models=2, rounds=3), None),
+        "stacking": (_ensemble_query(ensemble.StackingEnsemble), None),
+        "blending": (_ensemble_query(ensemble.BlendingEnsemble), None),
+        "model_comparison": (_model_comparison, None),
+        "gp_pool": (_gp_pool, None),
+    }
+
+
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return _source_queries() | _operator_queries() | _evaluation_queries() | _portfolio_queries()
+    return _source_queries() | _operator_queries() | _evaluation_queries() | _portfolio_queries() | _model_queries()
 
 
 def queries() -> dict[str, Query]:
