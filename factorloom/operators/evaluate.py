@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.columns import average_rank, ratio, safe_correlation
+from factorloom.functions.columns import TIE_DIGITS, average_rank, ratio, safe_correlation
 
 
 def finite(x: Column) -> Column:
@@ -49,7 +49,7 @@ def rank_ic(
     ranked = rows.select(
         "date", "factor", average_rank(F.col("value"), day).alias("x"), average_rank(F.col("forward"), day).alias("y")
     )
-    ic = safe_correlation(F.col("x"), F.col("y"))
+    ic = F.round(safe_correlation(F.col("x"), F.col("y")), TIE_DIGITS)
     n = F.count("x")
     found = ranked.groupBy("date", "factor").agg(n.alias("n"), ic.alias("ic"))
     if keep_empty:

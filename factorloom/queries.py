@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.columns import TIE_DIGITS
 from factorloom.miner import search
 from factorloom.models import ensemble, rolling
 from factorloom.operators import alphas, backtest, combine, costs, evaluate, expand, lagged, risk, style, technical
@@ -182,7 +183,7 @@ def _ic_sql(pairwise: bool = False, min_obs: int = 1, keep_empty: bool = False,
         f" {oracle.average_rank('forward', 'date, factor')} AS y FROM {source} WHERE {where}"
     )
     a, b = "CASE WHEN y IS NOT NULL THEN x END", "CASE WHEN x IS NOT NULL THEN y END"
-    ic = f"covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0)"
+    ic = f"round(covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0), {TIE_DIGITS})"
     if keep_empty:
         return f"SELECT date, factor, count(x) AS n, CASE WHEN count(x) >= {min_obs} THEN {ic} END AS ic FROM ({ranks}) GROUP BY date, factor"
     return f"SELECT date, factor, count(x) AS n, {ic} AS ic FROM ({ranks}) GROUP BY date, factor HAVING count(x) >= {min_obs}"
