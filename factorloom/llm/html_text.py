@@ -11,6 +11,7 @@ one Arrow pass over the table; one page's tree is all that is held.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,12 +53,12 @@ _START = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 3.0, "ul": -3.0,
 
 
 class _Node:
-    __slots__ = ("kids", "linked", "names", "parent", "score", "tag", "text_len")
+    __slots__ = ("commas", "kids", "linked", "names", "parent", "score", "tag", "text_len")
 
     def __init__(self, tag: str, names: frozenset[str], parent: _Node | None):
         self.tag, self.names, self.parent = tag, names, parent
         self.kids: list[_Node | str] = []
-        self.score, self.text_len, self.linked = 0.0, 0, 0
+        self.score, self.text_len, self.linked, self.commas = 0.0, 0, 0, 0
 
 
 def _clutter(tag: str, attrs: str, inside: bool) -> tuple[bool, frozenset[str]]:
@@ -79,12 +80,18 @@ def _tree(html: str) -> _Node:
     """The elements and texts of a page, without dropped elements."""
     root = _Node("html", frozenset(), None)
     here, dropped, pos, end = root, [], 0, len(html)  # dropped: open elements from a dropped one on
-    articles = 0
+    opened: Counter[str] = Counter()  # how many elements of a kind are open
 
     def text(raw: str) -> None:
         if raw and not dropped:
             here.kids.append(unescape(raw))
 
+    def leave(to: _Node) -> None:
+        nonlocal here
+        while here is not to:
+            opened[here.tag] -= 1
+            here = here.parent
+
     while pos < end:
         at = html.find("<", pos)
         if at < 0:
@@ -120,15 +127,11 @@ def _tree(html: str) -> _Node:
                 dropped.append(tag)
             continue
         if closing:
-            node: _Node | None = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                while here is not node:
-                    articles -= here.tag == "article"
-                    here = here.parent
-                articles -= here.tag == "article"
-                here = here.parent
+            if opened[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                leave(node.parent)
             continue
         if tag in _RAW:
             pos = _after_raw(html, pos, tag)
@@ -136,19 +139,19 @@ def _tree(html: str) -> _Node:
         if tag in ("html", "body"):
             continue
         kinds, stops = _ENDS.get(tag, (None, None))
-        if kinds:
+        if kinds and any(opened[k] for k in kinds):
             node, last = here, None
             while node is not None and node.tag not in stops:
                 if node.tag in kinds:
                     last = node
                 node = node.parent
             if last is not None:
-                here = last.parent
+                leave(last.parent)
         if tag in _VOID:
             if tag in ("br", "hr") and tag not in _DROPPED:
                 here.kids.append("\n")
             continue
-        drop, names = _clutter(tag, attrs, articles > 0)
+        drop, names = _clutter(tag, attrs, opened["article"] > 0)
         if drop:
             if not attrs.endswith("/"):
                 dropped.append(tag)
@@ -157,7 +160,7 @@ def _tree(html: str) -> _Node:
         here.kids.append(node)
         if not attrs.endswith("/") or tag in _BLOCK:
             here = node
-            articles += tag == "article"
+            opened[tag] += 1
     return root
 
 
@@ -179,11 +182,13 @@ def _measure(nodes: list[_Node]) -> None:
     for node in reversed(nodes):
         own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
         node.text_len += own
+        node.commas += sum(k.count(",") + k.count("，") for k in node.kids if isinstance(k, str))
         if node.tag == "a":
             node.linked = node.text_len
         if node.parent is not None:
             node.parent.text_len += node.text_len
             node.parent.linked += node.linked
+            node.parent.commas += node.commas
 
 
 def _plain(node: _Node) -> list[str]:
@@ -212,8 +217,7 @@ def main_text(html: str) -> str:
         direct = node.tag in ("div", "section", "article", "main") and any(isinstance(k, str) and k.strip() for k in node.kids)
         if node.tag not in _PARAGRAPH and not direct or not node.text_len:
             continue
-        commas = sum(k.count(",") + k.count("，") for k in _plain(node)) if node.text_len < 100_000 else node.text_len // 100
-        points = (1 + commas + min(node.text_len / 100, 3)) * (1 - node.linked / node.text_len)
+        points = (1 + node.commas + min(node.text_len / 100, 3)) * (1 - node.linked / node.text_len)
         up, share = (node if direct else node.parent), 1.0
         while up is not None and share > 0.05:
             if up.tag in _CONTAINER:

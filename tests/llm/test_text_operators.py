@@ -31,6 +31,7 @@ def test_main_text():
     assert html_text.main_text("<p>just text, cut <b") == "just text, cut"
     deep = "<div>" * 20_000 + "<p>deep text, and some more of it.</p>"
     assert html_text.main_text(deep) == "deep text, and some more of it."
+    assert html_text.main_text("<div>x, " * 20_000).count("x") == 20_000
 
 
 def test_main_text_of_pages(spark):
