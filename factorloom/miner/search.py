@@ -20,6 +20,7 @@ from factorloom.plans.graph import Node, compile_factors, field, node
 from factorloom.plans.text import BINARY, DAILY, FIELDS, ROLLING, ROLLING_PAIR, TEMPLATES, UNARY, loose, parse, to_text
 from factorloom.sources.panel import complete
 
+#: The windows and constants of the search.
 WINDOWS = (5, 10, 20, 40, 60)
 CONSTANTS = (-1.0, 0.5, 1.0, 2.0, 5.0, 10.0)
 _BY_GRAPH = {"loose_range": "ts_rank", "loose_decay": "ts_decay_linear", "loose_corr": "ts_corr", "cs_rank_raw": "cs_rank"}
