@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
+#: Rows of texts in a batch for a Python worker.
+BATCH_ROWS = 1000
 #: White space between words: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, by a path that only Spark needs to understand."""
+    """One input table, by a path that only Spark needs to understand.
+
+    Rows hold whole texts, so the batches that go to Python workers are set to
+    hold few of them.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +74,25 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+_kept: dict[object, object] = {}
+
+
+def worker_memory(key: object, make: Callable[[], T]) -> T:
+    """What ``make`` makes, kept by this Python worker until something with another key is asked for.
+
+    Workers serve one query after the other, so what one operator remembers
+    must not stay beside what the next does. Operators that remember nothing
+    ask for nothing, under a key of their own.
+    """
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def slices(texts: Sequence[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Consecutive runs of ``texts`` of about ``chars`` characters, so that what is built from a run stays small."""
     run: list[str] = []

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import durable, fresh, quoted, stored
+from factorloom.llm.common import durable, fresh, quoted, stored, worker_memory
 from factorloom.llm.components import components
 
 SEED = 42
@@ -79,6 +79,7 @@ def fingerprints(text: Column, words: int = 3) -> Column:
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_memory("fingerprints", lambda: None)
         for batch in batches:
             yield pd.Series([_signed(fingerprint_of(t, words)) if t else 0 for t in batch], dtype="int64")
 
