@@ -1,8 +1,8 @@
 """Piece ids of texts and texts of piece ids for a SentencePiece model, words by a depth-first walk of their trie.
 
-Words are marked: a space becomes the mark U+2581 in front of a word, and no
-piece holds a mark behind another character, so texts are cut in front of marks
-and at line ends. The distinct words of a run of texts are sorted, which is the
+Words are marked: a space becomes the mark U+2581 in front of a word. No piece
+holds a mark behind another character, or anything else behind a letter, so
+texts are cut in front of marks, behind letters and at line ends. The distinct words of a run of texts are sorted, which is the
 depth-first order of their trie; the forward states of a word's prefix are kept
 for the next word that shares it.
 
@@ -17,6 +17,7 @@ merging their joint characters gives just these two.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import quoted, slices
+from factorloom.llm.common import quoted, worker_memory
 
 MARK = "▁"
-_PARTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+_RAISED = "²³¹¼½¾"
+_LETTER, _OTHER = rf"[^\W\d_{_RAISED}]", rf"(?:[^\w{MARK}\n]|[\d_{_RAISED}])"
+_PARTS = re.compile(rf"{MARK}*{_OTHER}*{_LETTER}+|{MARK}*{_OTHER}+|{MARK}+|\n")
+#: Where no piece may run across: in front of marks, at line ends, behind letters.
+_CUTS = re.compile(rf"[^{MARK}]{MARK}|\n.|.\n|{_LETTER}(?!{_LETTER}).", re.S)
 #: Words, and pairs of pieces, that a Python worker remembers.
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 1_000_000
+#: Rows that are encoded together.
+ROWS = 250
 #: Words over this many characters are encoded but not remembered.
 LONG_WORD = 200
 
@@ -56,10 +63,12 @@ class Pieces:
         for b, i in self.bytes.items():
             self.surface[i] = bytes([b])
         self.surface[self.unknown] = " ⁇ ".encode()
-        if any(re.search(f"[^{MARK}]{MARK}|\n.|.\n", p) for p in self.ids):
+        if any(_CUTS.search(p) for p in self.ids):
             raise ValueError("the model has pieces across words")
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.names, self.size, self.lengths = names, n, list(map(len, names))
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging the characters of a short text gives."""
@@ -75,20 +84,16 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, before: str, piece: str) -> bool:
-        """Whether ``piece`` can follow ``before`` (empty: a cut)."""
-        key = (before, piece)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return found
+    def _stands(self, key: int) -> bool:
+        """Whether a piece can follow another (or a cut, whose number is that of all pieces): key is both their numbers."""
+        before, piece = divmod(key, self.size)
+        names = [self.names[piece]] if before == self.size else [self.names[before], self.names[piece]]
+        return self.merged("".join(names)) == names
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """(word, ids) for sorted distinct words; each starts from the forward states it shares with the one before."""
-        ids, longest, stands = self.ids, self.longest, self.stands
-        last: list[str] = [""]  # of each prefix the last piece; empty at a cut or behind a character that is no piece
+        get, pairs, size, longest, lengths = self.ids.get, self.pairs, self.size, self.longest, self.lengths
+        last = [size]  # of each prefix the last piece; ``size`` at a cut or behind a character that is no piece
         before = ""
         for word in words:
             shared = 0
@@ -97,50 +102,62 @@ class Pieces:
                     break
                 shared += 1
             del last[shared + 1 :]
-            cut = next((k for k in range(shared, 0, -1) if not last[k]), 0)  # pieces don't cross a cut
+            cut = next((k for k in range(shared, 0, -1) if last[k] == size), 0)  # pieces don't cross a cut
             for end in range(shared + 1, len(word) + 1):
-                if word[end - 1] not in ids:
-                    last.append("")
+                if get(word[end - 1]) is None:
+                    last.append(size)
                     cut = end
                     continue
                 for start in range(max(cut, end - longest), end):
-                    piece = word[start:end]
-                    if piece in ids and stands(last[start], piece):
+                    piece = get(word[start:end])
+                    if piece is None:
+                        continue
+                    key = last[start] * size + piece
+                    stands = pairs.get(key)
+                    if stands is None:
+                        stands = pairs[key] = self._stands(key)
+                    if stands:
                         last.append(piece)
                         break
                 else:
                     raise RuntimeError(f"no piece ends {word[:end]!r}")
+            if len(pairs) > CACHE_PAIRS:
+                pairs.clear()
             found: list[int] = []
             end = len(word)
             while end:
                 piece = last[end]
-                if piece:
-                    found.append(ids[piece])
-                    end -= len(piece)
+                if piece < size:
+                    found.append(piece)
+                    end -= lengths[piece]
                 else:
                     raw = word[end - 1].encode("utf-8", "replace")
                     found.extend(self.bytes[b] for b in reversed(raw)) if self.bytes else found.append(self.unknown)
                     end -= 1
             found.reverse()
-            yield word, np.array(found, dtype="<i4").tobytes()
+            yield word, array("i", found).tobytes()
             before = word
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian 32-bit numbers."""
         parts = [_PARTS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         words = set().union(*parts) if parts else set()
-        known = self.words
-        new = words.difference(known)
-        if new and len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = words
-        if new:
-            known.update(self.walk(sorted(new)))
-        get = known.__getitem__
+        if len(self.newer) + len(words) > CACHE_WORDS // 2:  # of the memory's halves the older is forgotten
+            self.older, self.newer = self.newer, {}
+        newer, older = self.newer, self.older
+        new = []
+        for w in words.difference(newer):
+            ids = older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                newer[w] = ids
+        newer.update(self.walk(sorted(new)))
+        get = newer.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
         for w in new:
             if len(w) > LONG_WORD:
-                del known[w]
+                del newer[w]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -150,14 +167,9 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """This worker's pieces of the model file at ``path``."""
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    return worker_memory(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,13 +185,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch in batches:
-            at = 0
-            for part in slices([t or "" for t in batch.column(1).to_pylist()]):
-                found = own.encode(part)
+            for at in range(0, len(batch), ROWS):
+                rows = batch.slice(at, ROWS)
+                found = own.encode([t or "" for t in rows.column(1).to_pylist()])
                 ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
                 values = np.frombuffer(b"".join(found), dtype="<i4")
-                arrays = [batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
-                at += len(part)
+                arrays = [rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "ids"])
 
     found = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
