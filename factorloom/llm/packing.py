@@ -8,7 +8,6 @@ from one bucket, no sequence crosses a document and none has padding.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import quoted, slices
+from factorloom.llm.common import quoted, slices, worker_memory
 
 SEQUENCE_TOKENS = 4096
 #: Characters that the tokenizer never joins to a letter before them.
 PUNCTUATION = ".,;:!?#$%&*-+=/()[]{}\"_~"
 #: Words whose ids a Python worker remembers, each well under 300 bytes.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 #: Characters of texts whose parts are looked up together.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 2_000_000
 
 
 class WordIds:
@@ -106,15 +105,9 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or is_normalized("NFC", word) and word.lower().isalpha())
 
 
-_word_ids: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """This worker's tokenizer of the file at ``path``."""
-    if path not in _word_ids:
-        gc.disable()  # the memory of words has no cycles, and its many entries make each collection long
-        _word_ids[path] = WordIds(path)
-    return _word_ids[path]
+    return worker_memory(("word ids", path), lambda: WordIds(path))
 
 
 def cut(n: int, longest: int = SEQUENCE_TOKENS) -> list[int]:

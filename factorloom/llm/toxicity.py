@@ -20,7 +20,6 @@ one pass over all of them, without a shuffle.
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 from collections import Counter
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import quoted
+from factorloom.llm.common import quoted, worker_memory
 
 #: Labelled documents of each class that a model is fitted on at most, and the longest of them in characters.
 SAMPLE_DOCS = 3000
@@ -45,7 +44,7 @@ CUTS = (0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65)
 #: What the window's word stands in front of; long enough that the word is searched for matches.
 CARRIER = b"0123456789 ~ this closes the window ~ 9876543210"
 #: Words that a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -247,17 +246,9 @@ def fit(
     return fit_texts(toxic, ordinary, counts.get(1, 0) / sum(counts.values()))
 
 
-_distances: dict[tuple[bytes, bytes], Distance] = {}
-
-
 def _distance(model: Model) -> Distance:
     """This worker's compressors for a model."""
-    key = (model.toxic, model.ordinary)
-    if key not in _distances:
-        _distances.clear()
-        gc.disable()  # the memory of words has no cycles
-        _distances[key] = Distance(*key)
-    return _distances[key]
+    return worker_memory((model.toxic, model.ordinary), lambda: Distance(model.toxic, model.ordinary))
 
 
 def score_of(text: str | None, model: Model, distance: Distance | None) -> float:
