@@ -35,10 +35,10 @@ _PARTS = re.compile(rf"{MARK}*{_OTHER}*{_LETTER}+|{MARK}*{_OTHER}+|{MARK}+|\n")
 #: Where no piece may run across: in front of marks, at line ends, behind letters.
 _CUTS = re.compile(rf"[^{MARK}]{MARK}|\n.|.\n|{_LETTER}(?!{_LETTER}).", re.S)
 #: Words, and pairs of pieces, that a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 CACHE_PAIRS = 1_000_000
 #: Rows that are encoded together.
-ROWS = 250
+ROWS = 1000
 #: Words over this many characters are encoded but not remembered.
 LONG_WORD = 200
 
