@@ -117,7 +117,7 @@ SELECT query_id, CAST(n AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS score
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that stand elsewhere already."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "text", "n_removed")
+    return lines.dedup_lines(docs, max_bits=None, heavy=64).select("doc_id", "text", "n_removed")
 
 
 def url_rules() -> list[urlrules.Rule]:
