@@ -13,6 +13,11 @@ verifies. In a cell with many distinct fingerprints, where pairs would grow
 with the square, links are found exactly by the fingerprints they have in
 between: two within distance 2 are both within 1 of another, and each group
 around such a midpoint is a star.
+
+A fingerprint of a few bits' difference stands for near copies of very long
+texts only. ``one_of_similar`` therefore goes by the shingles themselves: texts
+with Jaccard similarity of at least ``least`` share one of the least hashes of
+either, which gives all candidates, and these are verified by all hashes.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import durable, fresh, quoted, stored, worker_memory
@@ -183,3 +189,90 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return rows.join(gone, row, "left_anti").drop(row)
+
+
+def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles in order, words as in ``fingerprints``; of a text without words one hash."""
+    found = [w for w in text.translate(LOWER).translate({c: 32 for c in range(9, 14)}).split(" ") if w]
+    digest = xxhash.xxh64_intdigest
+    shingles = map(" ".join, zip(*(found[k:] for k in range(words)), strict=False)) if len(found) > words else [" ".join(found)]
+    return np.unique(np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64))
+
+
+def _shingled(docs: DataFrame, words: int, least: float | None) -> DataFrame:
+    """(row, digest, size, hashes) for (row, text): all hashes, or those of which similar texts share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("shingles", lambda: None)
+        for batch in batches:
+            digests, sizes, taken = [], [], []
+            for text in batch.column(1).to_pylist():
+                own = shingle_hashes(text or "", words)
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                if least is not None:
+                    own = own[: int((1 - least) * len(own) + 1e-9) + 1]
+                taken.append(own.view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in taken])]).astype(np.int32)
+            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *taken])))
+            arrays = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), hashes]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "digest", "size", "hashes"])
+
+    return docs.mapInArrow(run, "row long, digest binary, size int, hashes array<long>")
+
+
+def one_of_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, heavy: int = 64
+) -> DataFrame:
+    """``docs`` without near copies: rows whose shingles of ``words`` words have Jaccard similarity ``least`` or more are linked.
+
+    Of each group that links connect the row with the least id stays, ids that
+    are null last; of repeated rows one does. Texts of fewer words are one
+    shingle; null texts are empty, and all empty ones are equal. Cells of over
+    ``heavy`` texts are compared with one of them first, and in full only where
+    that leaves them apart.
+    """
+    (row,) = fresh(docs, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(row).alias("row"), quoted(text_col).alias("text"))
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    marked = stored(_shingled(texts, words, least))
+    ids = rows.select(F.col(row).alias("row"), quoted(id_col).alias("id"))
+    sets = marked.join(ids, "row").groupBy("digest").agg(F.min("row").alias("u"), F.min(own).alias("least"))
+    sets = durable(sets)
+    cell = Window.partitionBy("cell")
+    cells = marked.join(sets.select(F.col("u").alias("row")), "row", "left_semi")
+    cells = cells.select(F.col("row").alias("u"), "size", F.explode("hashes").alias("cell"))
+    shared = durable(cells.withColumn("n", F.count("*").over(cell)).filter("n > 1"))
+    near = f"a < b AND least(a_size, b_size) >= {least!r}D * greatest(a_size, b_size) - 1e-9D"
+
+    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+        return df.select("cell", F.col("u").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", *more)])
+
+    def verify(candidates: DataFrame) -> DataFrame:
+        candidates = durable(candidates.distinct())
+        needed = candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        hashes = stored(_shingled(texts.join(needed, "row", "left_semi"), words, None).select("row", "hashes"))
+        both = candidates.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
+        return durable(both.filter(F.expr(f"n >= {least!r}D * (all - n) - 1e-9D")).select("a", "b"))
+
+    light = shared.filter(F.col("n") <= heavy)
+    pairs = side(light, "a").join(side(light, "b"), "cell").filter(near).select("a", "b")
+    crowded = shared.filter(F.col("n") > heavy).withColumn("centre", F.min(F.struct("u", "size")).over(cell))
+    stars = crowded.select(F.col("centre.u").alias("a"), F.col("centre.size").alias("a_size"), F.col("u").alias("b"), F.col("size").alias("b_size"))
+    links = verify(pairs.unionAll(stars.filter(near).select("a", "b")))
+    if not crowded.isEmpty():
+        roots = components(links).toDF("u", "root")
+        inner = crowded.select("cell", "u", "size").join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
+        mixed = inner.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("cell")
+        inner = durable(inner.join(mixed, "cell", "left_semi"))
+        rest = side(inner, "a", "root").join(side(inner, "b", "root"), "cell").filter(f"{near} AND a_root <> b_root")
+        links = links.unionAll(verify(rest.select("a", "b")))
+    roots = components(links).toDF("u", "root")
+    rooted = sets.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    gone = durable(ids.select(F.col("row").alias(row)).join(kept, row, "left_anti"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, row, "left_anti").drop(row)
