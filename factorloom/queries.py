@@ -553,6 +553,7 @@ def _source_queries() -> dict[str, tuple[Query, str | None]]:
             ['"1"', '"2"', '"3"'],
             ["date"],
         )),
+        "wide_export_all": (lambda s, d: rounded(sources.wide(sources.weekly_panel(s, d), "close")), None),
     }
 
 

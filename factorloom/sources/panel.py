@@ -144,6 +144,8 @@ def forward_returns(panel: DataFrame, horizon: int = 1, dense: bool = False) ->
     return panel.join(F.broadcast(ahead), "date").join(later, ["asset", "_ahead"], "left").drop("_ahead")
 
 
-def wide(panel: DataFrame, column: str, assets: list) -> DataFrame:
-    """One column for each of the named assets, a row for each date; for export of few assets."""
+def wide(panel: DataFrame, column: str, assets: list | None = None) -> DataFrame:
+    """One column for each of the named assets, or of all, a row for each date; for export."""
+    if assets is None:
+        assets = [r["asset"] for r in panel.select("asset").dropna().distinct().orderBy("asset").collect()]
     return panel.groupBy("date").pivot("asset", assets).agg(F.first(column)).orderBy("date")
