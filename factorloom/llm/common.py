@@ -18,6 +18,10 @@ T = TypeVar("T")
 BATCH_ROWS = 1000
 #: White space between words: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers (under 100 bytes each) that may be broadcast; beyond, the join shuffles.
+LIGHT_ROWS = 400_000
+#: A key is hot if it has over a part in so many of all rows; so there are never more hot keys than this.
+HOT_KEYS = 2_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +39,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary
-    folder is set.
+    Where ``spark.checkpoint.dir`` is unset a temporary folder is set, but only
+    for a session that runs in one process, as in tests; elsewhere this is an error.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -50,13 +57,49 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df``, written once as compressed Parquet into the shared folder; for tables with texts. It stays until the folder is cleared."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    """``df``, written once as compressed Parquet into the shared folder; it stays there until ``clear_stored`` or until the folder is cleared."""
+    folder = shared_folder(df.sparkSession)
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(folder, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Delete what ``stored`` wrote for this session; results that were built on it must have been written before."""
+    paths = _written.pop(shared_folder(spark), [])
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, narrow: bool = True) -> DataFrame:
+    """``left`` and ``right`` joined on ``key``, whose rows in ``left`` may be dealt as unevenly as can be.
+
+    ``right`` has a row for each key and in ``count`` how many rows of ``left``
+    have it. Keys with over a part in ``HOT_KEYS`` of all rows, at most as many
+    as that, are broadcast, so their rows stay where they are; so are all if
+    ``right`` is ``narrow``, of few numbers, and short. ``left`` is read twice,
+    ``right`` three times. The count isn't in the result.
+    """
+    total, n = right.agg(F.coalesce(F.sum(count), F.lit(0)), F.count("*")).first()
+    if narrow and n <= LIGHT_ROWS:
+        return left.join(F.broadcast(right), key).drop(count)
+    hot = F.broadcast(right.filter(F.col(count) * HOT_KEYS > total))
+    cold = right.filter(F.col(count) * HOT_KEYS <= total)
+    rest = left.join(hot.select(key), key, "left_anti").join(cold, key)
+    return left.join(hot, key).unionByName(rest).drop(count)
+
+
+def light(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows of a few numbers, to be broadcast if these are few."""
+    return F.broadcast(df) if n <= LIGHT_ROWS else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """For each name one like it that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -93,6 +136,49 @@ def worker_memory(key: object, make: Callable[[], T]) -> T:
     return _kept[key]
 
 
+class WordMemory:
+    """What is known of words, in two halves of at most ``max_bytes`` together, as estimated from lengths.
+
+    When the newer half is full the older one is forgotten; words that are met
+    again move to the newer. Words over ``longest`` characters aren't kept.
+    """
+
+    #: Beside its characters a word takes about so much: two objects and the place in the table.
+    EACH = 230
+
+    def __init__(self, max_bytes: int, longest: int = 200):
+        self.half, self.longest = max_bytes // 2, longest
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+        self.passing: list[str] = []
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Those of the words that aren't known; the known ones are in ``newer`` from then on."""
+        for w in self.passing:
+            self.newer.pop(w, None)
+        self.passing = []
+        if self.size > self.half:
+            self.older, self.newer, self.size = self.newer, {}, 0
+        newer, older = self.newer, self.older
+        found = []
+        for w in words.difference(newer):
+            known = older.get(w)
+            if known is None:
+                found.append(w)
+            else:
+                self.put(w, known)
+        return found
+
+    def put(self, word: str, known: bytes) -> None:
+        """Remember a word, a long one only until ``missing`` is called again."""
+        self.newer[word] = known
+        if len(word) > self.longest:
+            self.passing.append(word)
+        else:
+            self.size += self.EACH + len(word) + len(known)
+
+
 def slices(texts: Sequence[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Consecutive runs of ``texts`` of about ``chars`` characters, so that what is built from a run stays small."""
     run: list[str] = []

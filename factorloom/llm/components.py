@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by contraction.
+"""Connected components of a table of links, by contraction, and links found in cells.
 
 In each round every node hooks to the neighbour (or itself) that comes first in
 a random order, which is the order of a hash of the node. Links between hooks
@@ -10,10 +10,17 @@ counts comes to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import durable
+from factorloom.llm.common import HOT_KEYS, durable, join_hot, stored
+
+#: Of so many nodes one goes into the sample that tells which cells are hot.
+HOT_SAMPLE = 32
+#: Members of a cell outside its largest component that are compared with all its members.
+PAIRED = 32
 
 
 def components(links: DataFrame, limit: int = 200) -> DataFrame:
@@ -35,18 +42,14 @@ def components(links: DataFrame, limit: int = 200) -> DataFrame:
         own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"))
         hooks = durable(
             ends.groupBy("a")
-            .agg(F.min(order).alias("first"))
-            .select(F.col("a").alias("node"), F.least("first", own)["b"].alias("root"))
+            .agg(F.min(order).alias("first"), F.count("*").alias("n"))
+            .select(F.col("a").alias("node"), F.least("first", own)["b"].alias("root"), "n")
         )
-        steps.append(hooks)
-        from_a = hooks.toDF("a", "ra")
-        from_b = hooks.toDF("b", "rb")
+        steps.append(hooks.select("node", "root"))
+        joined = join_hot(edges, hooks.toDF("a", "ra", "n"), "a", "n")
+        joined = join_hot(joined, hooks.toDF("b", "rb", "n"), "b", "n")
         edges = durable(
-            edges.join(from_a, "a")
-            .join(from_b, "b")
-            .filter("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-            .distinct()
+            joined.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         )
     else:
         raise RuntimeError(f"links are not connected after {limit} rounds")
@@ -57,3 +60,82 @@ def components(links: DataFrame, limit: int = 200) -> DataFrame:
         later = found.toDF("root", "_to")
         found = steps.pop().join(later, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
     return found
+
+
+def _shared(cells: DataFrame) -> DataFrame:
+    """The rows (cell, u) whose cell has another u too, each once.
+
+    Cells that may hold a large part of all rows are told from a sample of the
+    nodes; they are never gathered in one task, whatever the sample says of others.
+    """
+    sample = cells.filter(F.pmod(F.xxhash64(F.col("u"), F.lit(1)), F.lit(HOT_SAMPLE)) == 0)
+    counts = durable(sample.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 2"))
+    least = (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
+    hot = F.broadcast(counts.filter(F.col("n") > least).orderBy(F.desc("n")).limit(HOT_KEYS).select("cell"))
+    own = Window.partitionBy("cell")
+    cold = cells.join(hot, "cell", "left_anti").withColumns({"_lo": F.min("u").over(own), "_hi": F.max("u").over(own)})
+    return cold.filter("_lo <> _hi").select("cell", "u").distinct().unionByName(cells.join(hot, "cell").distinct())
+
+
+def linked_in_cells(
+    cells: DataFrame,
+    info: DataFrame,
+    columns: Sequence[str],
+    near: str,
+    verify: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """(u, root) of the nodes that verified links between members of a cell connect.
+
+    cells: (cell, u), rows may be repeated; info: u and ``columns``, a row or
+    equal rows for each u; near: SQL over a_* and b_* of those columns that
+    every link fulfils; verify: the links among pairs (a, b).
+
+    Each cell's members are first compared with its centre, the member that
+    shares most cells with others. Only cells whose members that leaves in
+    several components go further, and there members are compared across
+    components: those outside the largest component with all, unless they are
+    over ``PAIRED``. Such cells are cut into those of members that agree on a
+    second such cell too, so that no large number of unlike members is paired.
+    """
+    shared = stored(_shared(cells))
+    sizes = durable(shared.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").withColumn("k", F.col("n")))
+    sized = durable(join_hot(shared, sizes, "cell", "k"))
+    company = sized.groupBy("u").agg(F.sum("n").alias("company"))
+    about = info.select("u", *columns).join(company, "u").dropDuplicates(["u"])
+    members = stored(sized.join(about, "u"))
+    best = F.max(F.struct("company", "u", *columns)).alias("centre")
+    centres = members.groupBy("cell").agg(best, F.count("*").alias("k"))
+
+    def both(df: DataFrame, a: DataFrame | str, b: str = "") -> DataFrame:
+        return df.select(
+            F.col(f"{a}u").alias("a"), F.col(f"{b}u").alias("b"), *[F.col(f"{p}{c}").alias(f"{q}_{c}") for p, q in ((a, "a"), (b, "b")) for c in columns]
+        )
+
+    stars = both(join_hot(members, centres, "cell", "k"), "centre.").filter(f"a <> b AND {near}")
+    links = verify(durable(stars.select("a", "b").distinct()))
+    roots = durable(components(links).toDF("u", "root"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of cells with several roots; top: the root of most; others: how many have another root."""
+        each = durable(rows.groupBy("cell", "root").agg(F.count("*").alias("m")))
+        found = each.groupBy("cell").agg(F.sum("m").alias("j"), F.count("*").alias("r"), F.max(F.struct("m", "root")).alias("top"))
+        found = found.filter("r > 1").select("cell", "j", F.col("top.root").alias("top"), (F.col("j") - F.col("top.m")).alias("others"))
+        return durable(join_hot(rows, found, "cell", "j"))
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        side = lambda df, p: df.select("cell", *[F.col(c).alias(f"{p}_{c}") for c in ("root", *columns)], F.col("u").alias(p))
+        found = side(rows.filter("root <> top"), "a").join(side(rows, "b"), "cell").filter(f"a_root <> b_root AND {near}")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    rows = members.select("cell", "u", *columns).join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
+    inner = mixed(durable(rows))
+    large = inner.filter(F.col("others") > PAIRED)
+    further = pairs(inner.filter(F.col("others") <= PAIRED))
+    if not large.isEmpty():
+        other = large.select("u", F.col("cell").alias("_cell"))
+        cut = large.drop("top", "others").join(other, "u").filter("cell < _cell")
+        further = further.unionAll(pairs(mixed(durable(cut.withColumn("cell", F.xxhash64("cell", "_cell")).drop("_cell")))))
+    further = durable(further.distinct())
+    if further.isEmpty():
+        return roots
+    return durable(components(links.unionAll(verify(further))).toDF("u", "root"))

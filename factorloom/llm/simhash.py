@@ -14,10 +14,12 @@ with the square, links are found exactly by the fingerprints they have in
 between: two within distance 2 are both within 1 of another, and each group
 around such a midpoint is a star.
 
-A fingerprint of a few bits' difference stands for near copies of very long
-texts only. ``one_of_similar`` therefore goes by the shingles themselves: texts
-with Jaccard similarity of at least ``least`` share one of the least hashes of
-either, which gives all candidates, and these are verified by all hashes.
+A fingerprint of 64 bits that differs in a few stands for near copies of very
+long texts only. ``one_of_similar`` therefore takes longer fingerprints, in
+which a shingle votes in one segment only: a shingle that one text has and the
+other hasn't leaves all other segments as they are, so similar texts agree on
+whole segments, and the Manhattan distance of their points there is zero. These
+cells give the candidates, which are verified by all shingles.
 """
 
 from __future__ import annotations
@@ -29,18 +31,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import durable, fresh, quoted, stored, worker_memory
-from factorloom.llm.components import components
+from factorloom.llm.common import durable, fresh, join_hot, light, quoted, stored, worker_memory
+from factorloom.llm.components import components, linked_in_cells
 
 SEED = 42
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Bits of a chunk of shingles that are counted at a time.
 CHUNK = 8192
-#: Row numbers that may be broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def _tables(max_bits: int, more: int = 3) -> list[int]:
@@ -161,13 +161,13 @@ def _judged(docs: DataFrame, row: str, id_col: str, text_col: str, words: int, m
     )
     # ids that are null come last; of repeated ids the first row is the first
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    prints = durable(rows.groupBy("f").agg(F.min(own).alias("least")))
+    prints = durable(rows.groupBy("f").agg(F.min(own).alias("least"), F.count("*").alias("n")))
     roots = components(links(prints.select("f"), max_bits)).toDF("f", "root")
-    rooted = prints.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    classes = rooted.select("f", "root").join(least, "root").select("f", "least")
+    rooted = durable(prints.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f")))
+    least = durable(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("k")))
+    classes = durable(join_hot(rooted.select("f", "root", "n"), least, "root", "k").select("f", "least", "n"))
     hexed = F.lower(F.lpad(F.hex("f"), 16, "0"))
-    return rows.join(classes, "f").select(
+    return join_hot(rows, classes, "f", "n").select(
         F.col("row").alias("_judged_row"),
         F.col("id").alias(id_col),
         hexed.alias("fingerprint"),
@@ -186,9 +186,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (row,) = fresh(docs, "_row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
     gone = durable(_judged(rows, row, id_col, text_col, words, max_bits).filter("not first").select(F.col("_judged_row").alias(row)))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, row, "left_anti").drop(row)
+    return rows.join(light(gone, gone.count()), row, "left_anti").drop(row)
+
+
+#: Segments of a long fingerprint that are used, of all that it has.
+USED = 8
+#: Shingles in a segment of the shortest texts of a class, the least class's shingles, the next one's share of them.
+SHINGLES, FIRST, RATIO = 2.4, 10, 1.6
 
 
 def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
@@ -199,80 +203,87 @@ def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64))
 
 
+def segment_keys(hashes: np.ndarray, least: float) -> np.ndarray:
+    """A number for each used segment of a text's long fingerprint; similar texts have one in common.
+
+    The number of segments goes with the number of shingles, in classes; a text
+    whose like may have so many more as to be in the next class has that
+    class's segments too. A segment's print is the SimHash of its shingles.
+    """
+    n = len(hashes)
+    own = max(0, int(np.floor(np.log(n / FIRST) / np.log(RATIO) + 1e-9)))
+    out = []
+    for kind in (own, own + 1):
+        if kind > own and n < least * FIRST * RATIO**kind - 1e-9:
+            continue
+        count = max(5, round(FIRST * RATIO**kind / SHINGLES))
+        # the low bits tell the segment, so that those of the votes are free of it
+        at = (hashes % np.uint64(count)).astype(np.int64)
+        some = np.flatnonzero(at < USED)
+        order = some[np.argsort(at[some], kind="stable")]
+        at = at[order]
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        if not len(starts):
+            continue
+        bits = np.unpackbits(hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        sizes = np.diff(np.append(starts, len(at)))
+        prints = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+        salt = (np.uint64(kind * USED + 1) + at[starts].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out.append((prints ^ salt) * np.uint64(0xBF58476D1CE4E5B9))
+    return np.concatenate(out) if out else hashes[:1]
+
+
 def _shingled(docs: DataFrame, words: int, least: float | None) -> DataFrame:
-    """(row, digest, size, hashes) for (row, text): all hashes, or those of which similar texts share one."""
+    """(row, id, digest, size, hashes) for (row, id, text): all shingles' hashes, or, with ``least``, the segments' keys."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory("shingles", lambda: None)
         for batch in batches:
             digests, sizes, taken = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = shingle_hashes(text or "", words)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
-                if least is not None:
-                    own = own[: int((1 - least) * len(own) + 1e-9) + 1]
-                taken.append(own.view(np.int64))
+                taken.append((own if least is None else segment_keys(own, least)).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in taken])]).astype(np.int32)
             hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *taken])))
-            arrays = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), hashes]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "digest", "size", "hashes"])
+            arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), hashes]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "digest", "size", "hashes"])
 
-    return docs.mapInArrow(run, "row long, digest binary, size int, hashes array<long>")
+    return docs.mapInArrow(run, f"row long, id {kind}, digest binary, size int, hashes array<long>")
 
 
-def one_of_similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, heavy: int = 64
-) -> DataFrame:
+def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` without near copies: rows whose shingles of ``words`` words have Jaccard similarity ``least`` or more are linked.
 
     Of each group that links connect the row with the least id stays, ids that
     are null last; of repeated rows one does. Texts of fewer words are one
-    shingle; null texts are empty, and all empty ones are equal. Cells of over
-    ``heavy`` texts are compared with one of them first, and in full only where
-    that leaves them apart.
+    shingle; null texts are empty, and all empty ones are equal. All columns
+    stay as they are; of an empty table nothing comes out.
     """
     (row,) = fresh(docs, "_row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    texts = rows.select(F.col(row).alias("row"), quoted(text_col).alias("text"))
+    texts = rows.select(F.col(row).alias("row"), quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     marked = stored(_shingled(texts, words, least))
-    ids = rows.select(F.col(row).alias("row"), quoted(id_col).alias("id"))
-    sets = marked.join(ids, "row").groupBy("digest").agg(F.min("row").alias("u"), F.min(own).alias("least"))
-    sets = durable(sets)
-    cell = Window.partitionBy("cell")
-    cells = marked.join(sets.select(F.col("u").alias("row")), "row", "left_semi")
-    cells = cells.select(F.col("row").alias("u"), "size", F.explode("hashes").alias("cell"))
-    shared = durable(cells.withColumn("n", F.count("*").over(cell)).filter("n > 1"))
-    near = f"a < b AND least(a_size, b_size) >= {least!r}D * greatest(a_size, b_size) - 1e-9D"
-
-    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
-        return df.select("cell", F.col("u").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", *more)])
+    sets = durable(marked.groupBy("digest").agg(F.min("row").alias("u"), F.min(own).alias("least"), F.count("*").alias("n")))
+    first = sets.select(F.col("u").alias("row"))
+    heads = marked.select("row", "size", "hashes").join(light(first, sets.count()), "row", "left_semi").withColumnRenamed("row", "u")
 
     def verify(candidates: DataFrame) -> DataFrame:
-        candidates = durable(candidates.distinct())
-        needed = candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        hashes = stored(_shingled(texts.join(needed, "row", "left_semi"), words, None).select("row", "hashes"))
-        both = candidates.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
+        needed = durable(candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+        hashes = stored(_shingled(texts.join(light(needed, needed.count()), "row", "left_semi"), words, None).select("row", "hashes"))
+        degrees = durable(candidates.groupBy("a").agg(F.count("*").alias("k")))
+        both = join_hot(candidates, hashes.toDF("a", "x").join(degrees, "a"), "a", "k", narrow=False).join(hashes.toDF("b", "y"), "b")
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
         return durable(both.filter(F.expr(f"n >= {least!r}D * (all - n) - 1e-9D")).select("a", "b"))
 
-    light = shared.filter(F.col("n") <= heavy)
-    pairs = side(light, "a").join(side(light, "b"), "cell").filter(near).select("a", "b")
-    crowded = shared.filter(F.col("n") > heavy).withColumn("centre", F.min(F.struct("u", "size")).over(cell))
-    stars = crowded.select(F.col("centre.u").alias("a"), F.col("centre.size").alias("a_size"), F.col("u").alias("b"), F.col("size").alias("b_size"))
-    links = verify(pairs.unionAll(stars.filter(near).select("a", "b")))
-    if not crowded.isEmpty():
-        roots = components(links).toDF("u", "root")
-        inner = crowded.select("cell", "u", "size").join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
-        mixed = inner.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("cell")
-        inner = durable(inner.join(mixed, "cell", "left_semi"))
-        rest = side(inner, "a", "root").join(side(inner, "b", "root"), "cell").filter(f"{near} AND a_root <> b_root")
-        links = links.unionAll(verify(rest.select("a", "b")))
-    roots = components(links).toDF("u", "root")
+    near = f"least(a_size, b_size) >= {least!r}D * greatest(a_size, b_size) - 1e-9D"
+    cells = heads.select("u", F.explode("hashes").alias("cell"))
+    roots = linked_in_cells(cells, heads.select("u", "size"), ["size"], near, verify).toDF("u", "root")
     rooted = sets.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
-    gone = durable(ids.select(F.col("row").alias(row)).join(kept, row, "left_anti"))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, row, "left_anti").drop(row)
+    gone = durable(marked.select(F.col("row").alias(row)).join(kept, row, "left_anti"))
+    return rows.join(light(gone, gone.count()), row, "left_anti").drop(row)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from factorloom.llm import simhash
+from factorloom.llm import components, simhash
 
 
 def brute_kept(rows, least=0.8):
@@ -22,11 +23,12 @@ def brute_kept(rows, least=0.8):
     return sorted(min(i for (i, _), x in zip(rows, root, strict=True) if x == r) for r in set(root))
 
 
-@pytest.mark.parametrize("heavy", [64, 2])
-def test_near_copies_go(spark, heavy):
+@pytest.mark.parametrize("paired", [32, 0])
+def test_near_copies_go(spark, paired, monkeypatch):
     import corpus_pipeline as pipeline
 
-    rng = random.Random(heavy)
+    monkeypatch.setattr(components, "PAIRED", paired)
+    rng = random.Random(2)
     words = [f"w{k}" for k in range(3000)]
     base = [rng.choices(words, k=rng.randrange(3, 250)) for _ in range(12)]
     rows = [(900, None), (901, ""), (902, " ")]
@@ -37,6 +39,19 @@ def test_near_copies_go(spark, heavy):
         rows.append((k, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_kept(rows)
-    assert sorted(r["doc_id"] for r in simhash.one_of_similar(df, heavy=heavy).collect()) == want
+    assert sorted(r["doc_id"] for r in simhash.one_of_similar(df).collect()) == want
     assert sorted(r["doc_id"] for r in pipeline.drop_near_copies(spark, df, "").collect()) == want
     assert simhash.one_of_similar(df.limit(0)).collect() == []
+
+
+def test_pairs_at_the_least_similarity_share_a_segment():
+    rng = random.Random(7)
+    for n in (5, 9, 10, 20, 60, 200, 1000, 5000):
+        found = 0
+        for _ in range(200):
+            union = np.array([rng.getrandbits(64) for _ in range(max(n, 5))], dtype=np.uint64)
+            gone = rng.sample(range(len(union)), len(union) // 5)
+            split = rng.randrange(len(gone) + 1)
+            a, b = (np.sort(np.delete(union, x)) for x in (gone[:split], gone[split:]))
+            found += bool(set(simhash.segment_keys(a, 0.8).tolist()) & set(simhash.segment_keys(b, 0.8).tolist()))
+        assert found >= 190, (n, found)
