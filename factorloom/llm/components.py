@@ -99,7 +99,7 @@ def linked_in_cells(
     """
     shared = stored(_shared(cells))
     sizes = durable(shared.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").withColumn("k", F.col("n")))
-    sized = durable(join_hot(shared, sizes, "cell", "k"))
+    sized = stored(join_hot(shared, sizes, "cell", "k"))
     company = sized.groupBy("u").agg(F.sum("n").alias("company"))
     about = info.select("u", *columns).join(company, "u").dropDuplicates(["u"])
     members = stored(sized.join(about, "u"))
@@ -117,10 +117,10 @@ def linked_in_cells(
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Rows of cells with several roots; top: the root of most; others: how many have another root."""
-        each = durable(rows.groupBy("cell", "root").agg(F.count("*").alias("m")))
+        each = stored(rows.groupBy("cell", "root").agg(F.count("*").alias("m")))
         found = each.groupBy("cell").agg(F.sum("m").alias("j"), F.count("*").alias("r"), F.max(F.struct("m", "root")).alias("top"))
         found = found.filter("r > 1").select("cell", "j", F.col("top.root").alias("top"), (F.col("j") - F.col("top.m")).alias("others"))
-        return durable(join_hot(rows, found, "cell", "j"))
+        return stored(join_hot(rows, found, "cell", "j"))
 
     def pairs(rows: DataFrame) -> DataFrame:
         side = lambda df, p: df.select("cell", *[F.col(c).alias(f"{p}_{c}") for c in ("root", *columns)], F.col("u").alias(p))
@@ -128,13 +128,13 @@ def linked_in_cells(
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     rows = members.select("cell", "u", *columns).join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
-    inner = mixed(durable(rows))
+    inner = mixed(stored(rows))
     large = inner.filter(F.col("others") > PAIRED)
     further = pairs(inner.filter(F.col("others") <= PAIRED))
     if not large.isEmpty():
         other = large.select("u", F.col("cell").alias("_cell"))
         cut = large.drop("top", "others").join(other, "u").filter("cell < _cell")
-        further = further.unionAll(pairs(mixed(durable(cut.withColumn("cell", F.xxhash64("cell", "_cell")).drop("_cell")))))
+        further = further.unionAll(pairs(mixed(stored(cut.withColumn("cell", F.xxhash64("cell", "_cell")).drop("_cell")))))
     further = durable(further.distinct())
     if further.isEmpty():
         return roots

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import quoted, slices, worker_memory
+from factorloom.llm.common import WordMemory, quoted, slices, worker_memory
 
 SEQUENCE_TOKENS = 4096
 #: Characters that the tokenizer never joins to a letter before them.
 PUNCTUATION = ".,;:!?#$%&*-+=/()[]{}\"_~"
-#: Words whose ids a Python worker remembers, each well under 300 bytes.
-CACHE_WORDS = 1_200_000
+#: What a Python worker remembers of words' ids, in bytes.
+MEMORY_BYTES = 160_000_000
 #: Characters of texts whose parts are looked up together.
 SLICE_CHARS = 3_000_000
 
@@ -32,21 +32,24 @@ SLICE_CHARS = 3_000_000
 class WordIds:
     """Token ids of whole texts, as little-endian 32-bit numbers, by way of a bounded memory of words.
 
-    The tokenizer drops white space and joins nothing across it, so a text's
-    ids are those of the parts between its spaces and line ends in turn. A part
-    of letters with punctuation behind it is two parts. Of the memory's two halves the older one is
-    forgotten when the newer is full; parts that are met again move to the newer.
+    A tokenizer that lower-cases, takes runs of letters apart from all else,
+    drops white space and joins nothing across it, gives a text the ids of the
+    parts between its spaces and line ends in turn; a part of letters with
+    punctuation behind it is two parts. With any other tokenizer whole texts
+    are encoded.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.newer: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            self.by_words = splits_words(json.load(file))
+        self.memory = WordMemory(MEMORY_BYTES)
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -63,43 +66,49 @@ class WordIds:
         return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        newer, older = self.newer, self.older
+        memory = self.memory
         bases = [p.rstrip(PUNCTUATION) for p in parts]
         bases = [b if b == p or _plain(b) else p for p, b in zip(parts, bases, strict=True)]
         ends = [p[len(b) :] for p, b in zip(parts, bases, strict=True)]
         bases = [b.lower() if b.isascii() else b for b in bases]
-        distinct = set(bases).union(ends).difference(newer)
-        for b in [b for b in distinct if b in older]:
-            newer[b] = older[b]
+        distinct = set(bases).union(ends).difference(memory.newer)
+        for b in [b for b in distinct if b in memory.older]:
+            memory.put(b, memory.older[b])
             distinct.discard(b)
-        newer[""] = b""
+        memory.put("", b"")
         letters = [b for b in distinct if b.isalpha()]
         others = list(distinct.difference(letters, [""]))
         for words, encode in ((letters, self._letters), (others, self._each)):
             for i in range(0, len(words), 2000):
                 some = words[i : i + 2000]
-                newer.update(zip(some, encode(some), strict=True))
+                for w, ids in zip(some, encode(some), strict=True):
+                    memory.put(w, ids)
+        known = memory.newer
         for part, base, end in zip(parts, bases, ends, strict=True):
-            newer[part] = newer[base] + newer[end] if end else newer[base]
+            if part not in known:
+                memory.put(part, known[base] + known[end] if end else known[base])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self._each(texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*parts) if parts else set()
-        if len(self.newer) + len(words) > CACHE_WORDS // 2:
-            self.older, self.newer = self.newer, {}
-        newer, older = self.newer, self.older
-        missing = []
-        for w in words.difference(newer):
-            ids = older.get(w)
-            if ids is None:
-                missing.append(w)
-            else:
-                newer[w] = ids
-        self._learn(missing)
-        get = newer.__getitem__
+        self._learn(self.memory.missing(words))
+        get = self.memory.newer.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
+def splits_words(file: dict) -> bool:
+    """Whether a tokenizer file is of the kind whose words can be encoded apart: see ``WordIds``."""
+    steps = (file.get("normalizer") or {}).get("normalizers") or []
+    kinds = [x.get("type") for x in steps]
+    cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if kinds != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"]:
+        return False
+    words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return cuts[0].get("pattern") == {"Regex": words} and bool(cuts[0].get("invert")) and not cuts[1].get("add_prefix_space")
+
+
 def _plain(word: str) -> bool:
     """Whether a word is of letters, and also after the tokenizer's normalization, so that punctuation behind it stays apart."""
     return word.isalpha() and (word.isascii() or is_normalized("NFC", word) and word.lower().isalpha())
@@ -127,7 +136,8 @@ def pieces(
 ) -> DataFrame:
     """One row for each piece of each row of ``docs``; a piece is a sequence, and ``bucket`` is its length.
 
-    ``tokenizer`` is the path of a tokenizer file that all executors have;
+    ``tokenizer`` is the path of a tokenizer file that all executors have (any
+    kind; those that take words apart, as ``splits_words`` says, are faster);
     ``end_id`` ends every document. Columns: the id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset (always 0), bucket, and ``ids`` if asked
     for. ``sequence_id`` is unique within the result and follows from the order

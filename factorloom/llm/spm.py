@@ -6,12 +6,12 @@ texts are cut in front of marks, behind letters and at line ends. The distinct w
 depth-first order of their trie; the forward states of a word's prefix are kept
 for the next word that shares it.
 
-The forward state of a prefix is the last piece of its best segmentation. For a
-model of merges the best segmentation isn't the one with the largest sum of
+The forward state of a prefix is the score of its best segmentation, the sum of
+its pieces' scores, and that segmentation's last piece. For a model of merges the best segmentation isn't the one with the largest sum of
 scores (that gives other ids than the model's own), but the one that merges
-lead to; its last piece is the only piece that ends the prefix and can stand
-behind the last piece of what is before it. Two pieces can stand together if
-merging their joint characters gives just these two.
+lead to: a piece may only stand behind another if merging their joint characters
+gives just these two. Of all pieces that end a prefix one alone may stand behind
+the last piece of what is before it, so the largest score is the one it gives.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import quoted, worker_memory
+from factorloom.llm.common import WordMemory, quoted, slices, worker_memory
 
 MARK = "▁"
 _RAISED = "²³¹¼½¾"
@@ -34,13 +34,11 @@ _LETTER, _OTHER = rf"[^\W\d_{_RAISED}]", rf"(?:[^\w{MARK}\n]|[\d_{_RAISED}])"
 _PARTS = re.compile(rf"{MARK}*{_OTHER}*{_LETTER}+|{MARK}*{_OTHER}+|{MARK}+|\n")
 #: Where no piece may run across: in front of marks, at line ends, behind letters.
 _CUTS = re.compile(rf"[^{MARK}]{MARK}|\n.|.\n|{_LETTER}(?!{_LETTER}).", re.S)
-#: Words, and pairs of pieces, that a Python worker remembers.
-CACHE_WORDS = 600_000
+#: What a Python worker remembers of words, in bytes, and of pairs of pieces, in pairs of about 100 bytes.
+MEMORY_BYTES = 150_000_000
 CACHE_PAIRS = 1_000_000
-#: Rows that are encoded together.
-ROWS = 1000
-#: Words over this many characters are encoded but not remembered.
-LONG_WORD = 200
+#: Characters of texts that are encoded together.
+SLICE_CHARS = 2_000_000
 
 
 class Pieces:
@@ -66,8 +64,8 @@ class Pieces:
         if any(_CUTS.search(p) for p in self.ids):
             raise ValueError("the model has pieces across words")
         self.names, self.size, self.lengths = names, n, list(map(len, names))
-        self.newer: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.scores = [model.get_score(i) for i in range(n)]
+        self.memory = WordMemory(MEMORY_BYTES)
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -93,6 +91,8 @@ class Pieces:
     def walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """(word, ids) for sorted distinct words; each starts from the forward states it shares with the one before."""
         get, pairs, size, longest, lengths = self.ids.get, self.pairs, self.size, self.longest, self.lengths
+        gain = self.scores
+        score = [0.0]
         last = [size]  # of each prefix the last piece; ``size`` at a cut or behind a character that is no piece
         before = ""
         for word in words:
@@ -101,11 +101,12 @@ class Pieces:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], score[shared + 1 :]
             cut = next((k for k in range(shared, 0, -1) if last[k] == size), 0)  # pieces don't cross a cut
             for end in range(shared + 1, len(word) + 1):
                 if get(word[end - 1]) is None:
                     last.append(size)
+                    score.append(score[-1])
                     cut = end
                     continue
                 for start in range(max(cut, end - longest), end):
@@ -118,6 +119,7 @@ class Pieces:
                         stands = pairs[key] = self._stands(key)
                     if stands:
                         last.append(piece)
+                        score.append(score[start] + gain[piece])
                         break
                 else:
                     raise RuntimeError(f"no piece ends {word[:end]!r}")
@@ -141,24 +143,11 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian 32-bit numbers."""
         parts = [_PARTS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        words = set().union(*parts) if parts else set()
-        if len(self.newer) + len(words) > CACHE_WORDS // 2:  # of the memory's halves the older is forgotten
-            self.older, self.newer = self.newer, {}
-        newer, older = self.newer, self.older
-        new = []
-        for w in words.difference(newer):
-            ids = older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                newer[w] = ids
-        newer.update(self.walk(sorted(new)))
-        get = newer.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del newer[w]
-        return out
+        memory = self.memory
+        for word, ids in self.walk(sorted(memory.missing(set().union(*parts) if parts else set()))):
+            memory.put(word, ids)
+        get = memory.newer.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes are joined to characters, and the mark in front of the text goes."""
@@ -185,13 +174,14 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                rows = batch.slice(at, ROWS)
-                found = own.encode([t or "" for t in rows.column(1).to_pylist()])
+            at = 0
+            for part in slices([t or "" for t in batch.column(1).to_pylist()], SLICE_CHARS):
+                found = own.encode(part)
                 ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
                 values = np.frombuffer(b"".join(found), dtype="<i4")
-                arrays = [rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "ids"])
+                rows = batch.column(0).slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "ids"])
 
     found = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
     return found.withColumnRenamed("id", id_col)

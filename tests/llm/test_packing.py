@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factorloom.llm import packing
+from factorloom.llm.common import WordMemory
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -61,3 +62,22 @@ def test_edge_cases(spark, tmp_path):
     packing.write_buckets(got, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.filter(F.col("bucket") != F.size("ids")).count() == 0 and back.count() == 6
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello, World! It's  10 o'clock\n\nagain ", "", "\u00e9A b"]
+    plain = Tokenizer.from_file(path)
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    words = packing.WordIds(path)
+    assert not words.by_words and words(texts) == want
+
+
+def test_memory_is_bounded_by_bytes():
+    memory = WordMemory(100_000)
+    for k in range(50):
+        new = {f"word{k}-{j}" for j in range(100)} | {"x" * 5000 + str(k)}
+        for w in memory.missing(new):
+            memory.put(w, b"1234")
+        assert new <= set(memory.newer)
+    assert memory.size <= 100_000 and len(memory.older) < 400 and sum(len(w) > 200 for w in memory.newer) == 1

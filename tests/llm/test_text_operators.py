@@ -64,6 +64,22 @@ def test_pieces_are_the_librarys():
     assert [own.decode(x) for x in ids] == [lib.decode(x.tolist()) for x in ids]
 
 
+def test_forward_scores_are_sums_over_the_best_pieces():
+    own = spm.Pieces(MODEL)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    words = sorted({"\u2581the", "\u2581then", "\u2581there", "\u2581thermal", "\u2581xylophone"})
+    for word, ids in own.walk(words):
+        found = memoryview(ids).cast("i").tolist()
+        assert found == lib.encode(word[1:]) and "".join(own.names[i] for i in found) == word
+
+
+def test_long_words_are_not_remembered():
+    own = spm.Pieces(MODEL)
+    own.encode(["y" * 5000 + " short"])
+    own.encode(["short"])
+    assert max(map(len, own.memory.newer)) <= own.memory.longest
+
+
 def test_encode_and_decode(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
     got = spm.encode(docs, MODEL).join(docs, "doc_id").select("text", spm.decode(F.col("ids"), MODEL).alias("back")).collect()
