@@ -15,12 +15,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import HOT_KEYS, durable, join_hot, stored
+from factorloom.llm.common import HOT_KEYS, durable, join_hot, light, stored
 
 #: Of so many nodes one goes into the sample that tells which cells are hot.
 HOT_SAMPLE = 32
-#: Members of a cell outside its largest component that are compared with all its members.
-PAIRED = 32
+#: In cells of so many members all are compared in pairs; in larger ones so many outside the largest component with all members.
+PAIRED = 8
 
 
 def components(links: DataFrame, limit: int = 200) -> DataFrame:
@@ -63,7 +63,7 @@ def components(links: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def _shared(cells: DataFrame) -> DataFrame:
-    """The rows (cell, u) whose cell has another u too, each once.
+    """The rows (cell, u, n) of cells that have n > 1 members, each once.
 
     Cells that may hold a large part of all rows are told from a sample of the
     nodes; they are never gathered in one task, whatever the sample says of others.
@@ -74,7 +74,10 @@ def _shared(cells: DataFrame) -> DataFrame:
     hot = F.broadcast(counts.filter(F.col("n") > least).orderBy(F.desc("n")).limit(HOT_KEYS).select("cell"))
     own = Window.partitionBy("cell")
     cold = cells.join(hot, "cell", "left_anti").withColumns({"_lo": F.min("u").over(own), "_hi": F.max("u").over(own)})
-    return cold.filter("_lo <> _hi").select("cell", "u").distinct().unionByName(cells.join(hot, "cell").distinct())
+    cold = cold.filter("_lo <> _hi").select("cell", "u").distinct().withColumn("n", F.count("*").over(own))
+    some = durable(cells.join(hot, "cell").distinct())
+    sizes = some.groupBy("cell").agg(F.count("*").alias("n"))  # as few as hot cells
+    return cold.unionByName(some.join(F.broadcast(sizes.filter("n > 1")), "cell"))
 
 
 def linked_in_cells(
@@ -82,60 +85,67 @@ def linked_in_cells(
     info: DataFrame,
     columns: Sequence[str],
     near: str,
+    far: str,
     verify: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """(u, root) of the nodes that verified links between members of a cell connect.
 
     cells: (cell, u), rows may be repeated; info: u and ``columns``, a row or
     equal rows for each u; near: SQL over a_* and b_* of those columns that
-    every link fulfils; verify: the links among pairs (a, b).
-
-    Each cell's members are first compared with its centre, the member that
-    shares most cells with others. Only cells whose members that leaves in
-    several components go further, and there members are compared across
-    components: those outside the largest component with all, unless they are
-    over ``PAIRED``. Such cells are cut into those of members that agree on a
-    second such cell too, so that no large number of unlike members is paired.
+    every link fulfils; far: SQL for how unlike a pair is; verify: the links
+    among pairs (a, b).
+
+    In a small cell all members are compared. In a large one all are compared
+    with its centre, the member that shares most with others. Where that leaves
+    members in several components, those outside the largest are compared with
+    the nearest member of each other component, unless they are many. Such
+    cells are cut into those of members that agree on a next such cell too, and
+    compared there. So a cell's work goes with its members, not with its pairs.
     """
-    shared = stored(_shared(cells))
-    sizes = durable(shared.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").withColumn("k", F.col("n")))
-    sized = stored(join_hot(shared, sizes, "cell", "k"))
-    company = sized.groupBy("u").agg(F.sum("n").alias("company"))
-    about = info.select("u", *columns).join(company, "u").dropDuplicates(["u"])
-    members = stored(sized.join(about, "u"))
-    best = F.max(F.struct("company", "u", *columns)).alias("centre")
-    centres = members.groupBy("cell").agg(best, F.count("*").alias("k"))
-
-    def both(df: DataFrame, a: DataFrame | str, b: str = "") -> DataFrame:
-        return df.select(
-            F.col(f"{a}u").alias("a"), F.col(f"{b}u").alias("b"), *[F.col(f"{p}{c}").alias(f"{q}_{c}") for p, q in ((a, "a"), (b, "b")) for c in columns]
-        )
-
-    stars = both(join_hot(members, centres, "cell", "k"), "centre.").filter(f"a <> b AND {near}")
-    links = verify(durable(stars.select("a", "b").distinct()))
+    own = Window.partitionBy("u")
+    about = info.select("u", *columns).dropDuplicates(["u"])
+    members = stored(_shared(cells).join(about, "u").withColumn("company", F.sum("n").over(own)))
+    row = F.struct("u", *columns)
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """(a, b) of near pairs of structs a and b."""
+        flat = pairs.select(*[F.col(f"{p}.{c}").alias(p if c == "u" else f"{p}_{c}") for p in ("a", "b") for c in ("u", *columns)])
+        return flat.filter(f"a <> b AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    lists = members.filter(F.col("n") <= PAIRED).groupBy("cell").agg(F.collect_list(row).alias("v"))
+    small = lists.select(F.posexplode("v").alias("i", "a"), "v").select("a", F.explode(F.slice("v", F.col("i") + 2, PAIRED)).alias("b"))
+    big = members.filter(F.col("n") > PAIRED)
+    centres = big.groupBy("cell").agg(F.max(F.struct("company", "u", *columns)).alias("centre"), F.count("*").alias("k"))
+    stars = join_hot(big, durable(centres), "cell", "k").select(row.alias("b"), F.struct(*[F.col(f"centre.{c}") for c in ("u", *columns)]).alias("a"))
+    links = verify(durable(candidates(small.unionByName(stars)).distinct()))
     roots = durable(components(links).toDF("u", "root"))
+    if big.isEmpty():
+        return roots
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Rows of cells with several roots; top: the root of most; others: how many have another root."""
         each = stored(rows.groupBy("cell", "root").agg(F.count("*").alias("m")))
         found = each.groupBy("cell").agg(F.sum("m").alias("j"), F.count("*").alias("r"), F.max(F.struct("m", "root")).alias("top"))
         found = found.filter("r > 1").select("cell", "j", F.col("top.root").alias("top"), (F.col("j") - F.col("top.m")).alias("others"))
-        return stored(join_hot(rows, found, "cell", "j"))
+        return stored(join_hot(rows, durable(found), "cell", "j"))
 
-    def pairs(rows: DataFrame) -> DataFrame:
+    def nearest(rows: DataFrame) -> DataFrame:
+        """Of each member outside its cell's largest component the nearest member of each other component."""
         side = lambda df, p: df.select("cell", *[F.col(c).alias(f"{p}_{c}") for c in ("root", *columns)], F.col("u").alias(p))
         found = side(rows.filter("root <> top"), "a").join(side(rows, "b"), "cell").filter(f"a_root <> b_root AND {near}")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = found.groupBy("a", "b_root").agg(F.min(F.struct(F.expr(far).alias("far"), "b")).alias("x"))
+        return found.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
 
-    rows = members.select("cell", "u", *columns).join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
+    rows = big.select("cell", "u", *columns).join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u"))
     inner = mixed(stored(rows))
-    large = inner.filter(F.col("others") > PAIRED)
-    further = pairs(inner.filter(F.col("others") <= PAIRED))
-    if not large.isEmpty():
-        other = large.select("u", F.col("cell").alias("_cell"))
-        cut = large.drop("top", "others").join(other, "u").filter("cell < _cell")
-        further = further.unionAll(pairs(mixed(stored(cut.withColumn("cell", F.xxhash64("cell", "_cell")).drop("_cell")))))
+    many = inner.filter(F.col("others") > PAIRED)
+    further = nearest(inner.filter(F.col("others") <= PAIRED))
+    if not many.isEmpty():
+        next_cell = F.lead("cell").over(own.orderBy("cell"))
+        cut = many.withColumn("_next", next_cell).filter("_next is not null").drop("top", "others")
+        further = further.unionAll(nearest(mixed(stored(cut.withColumn("cell", F.xxhash64("cell", "_next")).drop("_next")))))
     further = durable(further.distinct())
     if further.isEmpty():
         return roots
     return durable(components(links.unionAll(verify(further))).toDF("u", "root"))
+

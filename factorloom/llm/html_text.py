@@ -4,8 +4,10 @@ Paragraphs pass points (one, one for each comma, up to three for their length)
 to their ancestors, less with each step up, discounted by the share of their
 text that stands in links. The container with most points is kept, with those
 of its siblings that look like parts of the article. Menus, forms, adverts,
-notices and the like never count. Pages are independent rows, so the work is
-one Arrow pass over the table; one page's tree is all that is held.
+notices and the like don't count, unless a page has its paragraphs in no other
+place: some pages are one form, or have a wrapper named like a sidebar. Pages
+are independent rows, so the work is one Arrow pass over the table; one page's
+tree is all that is held, and time is linear in its length.
 """
 
 from __future__ import annotations
@@ -38,14 +40,25 @@ _ENDS |= {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-_DROPPED = set("nav footer aside form button select input menu dialog svg canvas object audio video head".split())
+#: Elements without text of the page, skipped with all that is in them.
+_SKIPPED = set("head select svg canvas object audio video math datalist".split())
+#: What a head holds; any other element's start ends it.
+_IN_HEAD = set("title meta link style script base noscript template basefont bgsound".split())
+#: Elements that aren't part of an article.
+_ASIDE = set("nav footer aside form button menu dialog".split())
 _ROLES = set("navigation banner contentinfo complementary search dialog alert".split())
+#: A class or id is clutter if all its words are of these two sets and one is of the first.
 _CLUTTER = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "notice notices comment comments disqus reply replies sidebar widget widgets nav navbar navigation menu breadcrumb "
     "breadcrumbs footer masthead topbar toolbar share sharing social related recommended subscribe subscription "
     "newsletter signup login popup modal overlay pagination pager skip".split()
 )
+_NEUTRAL = set(
+    "a area bar block bottom box button buttons col column container content form group header holder icons inner item "
+    "items left link links list main outer panel post posts area primary right row secondary section site slot text "
+    "thread to top unit user wrap wrapper global page sticky fixed hidden desktop mobile".split()
+)
 _GOOD = set("article content main post body entry text story blog page hentry prose".split())
 _PARAGRAPH = set("p pre blockquote td li dd figcaption h1 h2 h3 h4 h5 h6".split())
 _CONTAINER = set("article main section div td blockquote body html table ul ol dl".split())
@@ -53,32 +66,44 @@ _START = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 3.0, "ul": -3.0,
 
 
 class _Node:
-    __slots__ = ("commas", "kids", "linked", "names", "parent", "score", "tag", "text_len")
+    __slots__ = ("aside", "box", "commas", "kids", "linked", "names", "parent", "points", "score", "tag", "text_len")
 
-    def __init__(self, tag: str, names: frozenset[str], parent: _Node | None):
-        self.tag, self.names, self.parent = tag, names, parent
+    def __init__(self, tag: str, names: frozenset[str], aside: int, parent: _Node | None):
+        self.tag, self.names, self.aside, self.parent = tag, names, aside, parent
         self.kids: list[_Node | str] = []
-        self.score, self.text_len, self.linked, self.commas = 0.0, 0, 0, 0
+        self.score, self.points, self.text_len, self.linked, self.commas = 0.0, 0.0, 0, 0, 0
+        #: The nearest container above.
+        self.box: _Node | None = None if parent is None else parent if parent.tag in _CONTAINER else parent.box
+
+
+#: Whether an element is part of an article: it may be; not, unless the page has nothing else; never.
+_MAY, _NOT, _NEVER = 0, 1, 2
 
 
-def _clutter(tag: str, attrs: str, inside: bool) -> tuple[bool, frozenset[str]]:
-    """Whether an element is dropped, and the words of its class and id. inside: it stands in an article."""
-    if tag in _DROPPED or tag == "header" and not inside:
-        return True, frozenset()
+def _clutter(tag: str, attrs: str, inside: bool) -> tuple[int, frozenset[str]]:
+    """Whether an element isn't part of an article, and the words of its class and id. inside: it stands in an article."""
+    out = _MAY
+    if tag in _ASIDE or tag == "header" and not inside:
+        out = _NEVER if tag in ("footer", "button", "menu", "dialog") else _NOT
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False, frozenset()
+        return out, frozenset()
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)}
     bare = _ATTR.sub(" ", attrs).lower().split()
-    names = frozenset(re.split(r"[^a-z0-9]+", found.get("class", "") + " " + found.get("id", ""))) - {""}
+    tokens = [frozenset(re.split(r"[^a-z0-9]+", t)) - {""} for t in (found.get("class", "") + " " + found.get("id", "")).split()]
     hidden = "hidden" in bare or "hidden" in found or found.get("aria-hidden") == "true"
     hidden |= "display:none" in found.get("style", "").replace(" ", "")
-    clutter = bool(names & _CLUTTER) and tag not in ("html", "body", "article", "main")
-    return hidden or clutter or found.get("role", "") in _ROLES, names
+    if hidden or found.get("role", "") in _ROLES:
+        out = _NEVER
+    elif tag not in ("html", "body", "article", "main"):
+        named = [t & _CLUTTER for t in tokens if t & _CLUTTER and all(w in _CLUTTER or w in _NEUTRAL or w.isdigit() for w in t)]
+        if named:
+            out = max(out, _NOT)
+    return out, frozenset().union(*tokens) if tokens else frozenset()
 
 
 def _tree(html: str) -> _Node:
-    """The elements and texts of a page, without dropped elements."""
-    root = _Node("html", frozenset(), None)
+    """The elements and texts of a page, without skipped elements."""
+    root = _Node("html", frozenset(), _MAY, None)
     here, dropped, pos, end = root, [], 0, len(html)  # dropped: open elements from a dropped one on
     opened: Counter[str] = Counter()  # how many elements of a kind are open
 
@@ -121,11 +146,19 @@ def _tree(html: str) -> _Node:
                 if tag in dropped:
                     while dropped.pop() != tag:
                         pass
+                    continue
+                if not opened[tag]:
+                    continue
+                dropped.clear()  # an element around it ends
             elif tag in _RAW:
                 pos = _after_raw(html, pos, tag)
-            elif tag not in _VOID and not attrs.endswith("/"):
-                dropped.append(tag)
-            continue
+                continue
+            elif dropped == ["head"] and tag not in _IN_HEAD:
+                dropped.clear()  # a head's end tag may be left out
+            else:
+                if tag not in _VOID and not attrs.endswith("/"):
+                    dropped.append(tag)
+                continue
         if closing:
             if opened[tag]:
                 node = here
@@ -148,15 +181,15 @@ def _tree(html: str) -> _Node:
             if last is not None:
                 leave(last.parent)
         if tag in _VOID:
-            if tag in ("br", "hr") and tag not in _DROPPED:
+            if tag in ("br", "hr"):
                 here.kids.append("\n")
             continue
-        drop, names = _clutter(tag, attrs, opened["article"] > 0)
-        if drop:
+        if tag in _SKIPPED:
             if not attrs.endswith("/"):
                 dropped.append(tag)
             continue
-        node = _Node(tag, names, here)
+        aside, names = _clutter(tag, attrs, opened["article"] > 0)
+        node = _Node(tag, names, aside, here)
         here.kids.append(node)
         if not attrs.endswith("/") or tag in _BLOCK:
             here = node
@@ -178,6 +211,53 @@ def _walk(root: _Node) -> list[_Node]:
     return out
 
 
+def _is_paragraph(node: _Node) -> bool:
+    """Whether an element's text counts as a paragraph's."""
+    if node.tag in _PARAGRAPH:
+        return node.text_len > 0
+    return node.tag in ("div", "section", "article", "main", "form") and any(isinstance(k, str) and k.strip() for k in node.kids)
+
+
+def _points(node: _Node) -> float:
+    """A paragraph's points."""
+    return (1 + node.commas + min(node.text_len / 100, 3)) * (1 - node.linked / node.text_len)
+
+
+def _without_asides(root: _Node) -> None:
+    """Take from the tree what isn't part of an article.
+
+    An aside whose paragraphs have more points than all that stand outside any
+    aside, and at least as many as a short text's, is where the page has its text.
+    """
+    nodes = _walk(root)
+    _measure(nodes)
+    for node in nodes:
+        if _is_paragraph(node):
+            node.points += _points(node)
+    inner: list[_Node] = []
+    for node in reversed(nodes):  # of each element the points below it outside of further asides
+        if node.parent is not None:
+            if node.aside == _MAY:
+                node.parent.points += node.points
+            elif node.aside == _NOT:
+                inner.append(node)
+    best = max(inner, key=lambda x: x.points, default=None)
+    if best is not None and best.points >= 2 and (root.points < 1 or best.tag == "form" and best.points > root.points):
+        node: _Node | None = best
+        while node is not None:
+            if node.aside == _NEVER:
+                break
+            node = node.parent
+        if node is None:
+            node = best
+            while node is not None:
+                node.aside = _MAY
+                node = node.parent
+    for node in nodes:
+        node.kids = [k for k in node.kids if not isinstance(k, _Node) or k.aside == _MAY]
+        node.text_len = node.linked = node.commas = 0
+
+
 def _measure(nodes: list[_Node]) -> None:
     for node in reversed(nodes):
         own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
@@ -211,19 +291,19 @@ def _plain(node: _Node) -> list[str]:
 def main_text(html: str) -> str:
     """The main text of one page; empty if it has none."""
     root = _tree(html)
+    _without_asides(root)
     nodes = _walk(root)
     _measure(nodes)
     for node in nodes:
-        direct = node.tag in ("div", "section", "article", "main") and any(isinstance(k, str) and k.strip() for k in node.kids)
-        if node.tag not in _PARAGRAPH and not direct or not node.text_len:
+        if not _is_paragraph(node):
             continue
-        points = (1 + node.commas + min(node.text_len / 100, 3)) * (1 - node.linked / node.text_len)
-        up, share = (node if direct else node.parent), 1.0
+        points = _points(node)
+        direct = node.tag not in _PARAGRAPH
+        up, share = (node if direct and node.tag in _CONTAINER else node.box), 1.0
         while up is not None and share > 0.05:
-            if up.tag in _CONTAINER:
-                up.score += points * share
-                share /= 2
-            up = up.parent
+            up.score += points * share
+            share /= 2
+            up = up.box
     best, most = None, 0.0
     for node in nodes:
         if node.tag in _CONTAINER and node.score > 0 and node.text_len:
@@ -251,7 +331,7 @@ def _belongs(node: _Node, best: _Node, most: float) -> bool:
         return True
     if node.tag in ("h1", "h2") and best.tag not in ("article", "main"):
         return links < 0.5
-    return node.tag in ("p", "pre", "blockquote") and node.text_len > 80 and links < 0.25
+    return node.tag in ("p", "pre", "blockquote") and links < 0.25
 
 
 def main_texts(html: Column) -> Column:

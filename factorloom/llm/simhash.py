@@ -282,7 +282,7 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     near = f"least(a_size, b_size) >= {least!r}D * greatest(a_size, b_size) - 1e-9D"
     cells = heads.select("u", F.explode("hashes").alias("cell"))
-    roots = linked_in_cells(cells, heads.select("u", "size"), ["size"], near, verify).toDF("u", "root")
+    roots = linked_in_cells(cells, heads.select("u", "size"), ["size"], near, "abs(a_size - b_size)", verify).toDF("u", "root")
     rooted = sets.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
     gone = durable(marked.select(F.col("row").alias(row)).join(kept, row, "left_anti"))

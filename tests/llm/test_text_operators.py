@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -34,6 +35,70 @@ def test_main_text():
     assert html_text.main_text("<div>x, " * 20_000).count("x") == 20_000
 
 
+ARTICLE = [f"Paragraph {k} of the article, which has some words, commas, and a full stop at its end, as usual." for k in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in ARTICLE)
+MENU = '<nav><a href="/">Home</a><a href="/b">About us</a></nav>'
+REAL = {
+    "no end of head": f"<html><head><title>x</title><meta charset=utf-8><body>{MENU}<article>{BODY}</article><footer>c</footer>",
+    "no head's end, no body": f"<html><head><title>x</title><div>{MENU}<article>{BODY}</article></div><footer>c</footer>",
+    "one form": f"<body><form id=aspnetForm>{MENU}<div>{BODY}</div><input></form><footer><p>Copyright, all of it.</p></footer></body>",
+    "open form": f"<body><div class=top><form><input></div><div class=content>{BODY}</div></body>",
+    "open nav": f"<body><div class=top><nav><a href=/>Home</a></div><div class=content>{BODY}</div></body>",
+    "social science": f"<body>{MENU}<div class='post social-science'>{BODY}</div><div class='social-links'><p>Share this, please, on all of them.</p></div></body>",
+    "comment-free": f"<body>{MENU}<div class='entry-content comment-free'>{BODY}</div><div class=comments><p>First, a comment, and another.</p></div></body>",
+    "skip-lazy": f"<body>{MENU}<div class='skip-lazy'>{BODY}</div></body>",
+    "named like a sidebar": f"<body>{MENU}<div class='sidebar-content'>{BODY}</div><footer><p>Copyright, all of it.</p></footer></body>",
+    "short last paragraph": f"<body>{MENU}<div><div>{BODY}</div><p>The end.</p></div></body>",
+}
+
+
+@pytest.mark.parametrize("name", list(REAL))
+def test_main_text_of_real_html(name):
+    want = " ".join(ARTICLE) + (" The end." if name == "short last paragraph" else "")
+    assert html_text.main_text(REAL[name]) == want
+
+
+def test_only_links_and_notices_have_no_text():
+    assert html_text.main_text("<body><footer><p>Copyright, all rights, reserved, as ever.</p></footer></body>") == ""
+    assert html_text.main_text(f"<body>{MENU}<div hidden><p>Nobody, ever, sees, this text of some length.</p></div></body>") == ""
+
+
+def test_time_is_linear_in_depth_and_length():
+    import time
+
+    began = time.time()
+    page = "<article>" + "<span>" * 300 + "".join("<p>a, b</p>" for _ in range(20_000))
+    assert html_text.main_text(page).startswith("a, b a, b") and time.time() - began < 10
+
+
+def test_words_of_generated_pages():
+    """Word precision and recall over random layouts, by an independent count of the words that were put in the article."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    sentence = lambda n: ", ".join(" ".join(word() for _ in range(rng.randrange(3, 9))) for _ in range(n)) + "."
+    hits = put = got = 0
+    for k in range(150):
+        parts = [sentence(rng.randrange(2, 6)) for _ in range(rng.randrange(3, 12))]
+        inner = "".join(rng.choice(["<p>{}</p>", "<p>{}<p>", "<blockquote><p>{}</p></blockquote>", "<p>{}<br></p>"]).format(x) for x in parts)
+        article = rng.choice(["<article>{}</article>", "<div class='post-body'>{}</div>", "<main><div>{}</div></main>", "<section id=story>{}</section>"]).format(inner)
+        links = "".join(f"<li><a href=/{word()}>menu{k} {word()}</a></li>" for _ in range(rng.randrange(3, 15)))
+        clutter = [
+            f"<ul class='main-menu'>{links}</ul>",
+            f"<div class=sidebar><p>side{k}, {sentence(1)}</p></div>",
+            f"<div class='cookie-notice'><p>cookie{k} {sentence(1)}</p></div>",
+            f"<div id=comments><p>comment{k} {sentence(2)}</p></div>",
+            f"<form><p>form{k} {sentence(1)}</p><input></form>",
+            f"<footer><p>foot{k} {sentence(1)}</p></footer>",
+        ]
+        rng.shuffle(clutter)
+        at = rng.randrange(len(clutter) + 1)
+        head = rng.choice(["<html><head><title>t</title></head><body>", "<head><title>t</title>", "", "<html><body>"])
+        text = html_text.main_text(head + "".join(clutter[:at]) + article + "".join(clutter[at:]))
+        want, found = Counter(" ".join(parts).split()), Counter(text.split())
+        hits, put, got = hits + sum((want & found).values()), put + sum(want.values()), got + sum(found.values())
+    assert hits / got > 0.99 and hits / put > 0.99, (hits, got, put)
+
+
 def test_main_text_of_pages(spark):
     pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet")
     rows = pages.select("html", html_text.main_texts(F.col("html")).alias("t")).collect()
