@@ -136,3 +136,21 @@ def combine(
 def mean_weights(weights: DataFrame) -> DataFrame:
     """(factor, weight): each factor's mean weight."""
     return weights.groupBy("factor").agg(F.avg("weight").alias("weight"))
+
+
+def summary(panel: DataFrame, factors: list[str], method: str = "icir", forward: str = "fwd_return", min_obs: int = 30) -> tuple[DataFrame, DataFrame]:
+    """((n_dates, ic_mean, ic_std, icir, positive), (factor, weight)): how a combination's ICs are, and its mean weights.
+
+    ICs are pairwise, of dates with ``min_obs`` names; icir is 0 without deviation.
+    """
+    combined, weights = combine(panel, factors, method, forward, min_obs=min_obs)
+    rows = combined.join(panel.select("date", "asset", forward), ["date", "asset"])
+    ics = rank_ic(rows, ["combined"], forward, pairwise=True, min_obs=min_obs).filter(finite(F.col("ic")))
+    found = ics.agg(
+        F.count("ic").alias("n_dates"),
+        F.avg("ic").alias("ic_mean"),
+        F.stddev_samp("ic").alias("ic_std"),
+        F.avg((F.col("ic") > 0).cast("double")).alias("positive"),
+    )
+    icir = F.when(F.col("ic_std") > 0, F.col("ic_mean") / F.col("ic_std")).otherwise(0.0)
+    return found.withColumn("icir", icir), mean_weights(weights)

@@ -80,26 +80,34 @@ def factor_returns(universe: DataFrame, model: RiskModel) -> DataFrame:
     """(date, factor, ret): of each date a least-squares regression weighted by the root of the cap.
 
     Industry returns, weighted by the industries' caps, sum to 0. A date needs
-    ten rows more than factors. Each cross-section is one task's small matrix.
+    ten rows more than factors, all of the universe's industries counted; an
+    industry without rows on a date has no return there. A date whose equations
+    have no single solution, with or without that rule, is left out. Each
+    cross-section is one task's small matrix.
     """
+    least = 1 + len(model.styles) + universe.select(F.col(model.industry)).dropna().distinct().count() + 10
 
     def regress(day: pd.DataFrame) -> pd.DataFrame:
         x, names, dummies = _design(day, model)
         empty = pd.DataFrame({"date": day["date"].iloc[:0], "factor": pd.Series(dtype=str), "ret": pd.Series(dtype=float)})
-        if len(day) < len(names) + 10:
+        if len(day) < least:
             return empty
-        cap = np.maximum(day["market_cap"].fillna(0).to_numpy(float), 1e-10)
-        w = np.sqrt(cap) / np.sqrt(cap).sum()
+        cap = day["market_cap"].fillna(0).to_numpy(float)
+        w = np.maximum(np.sqrt(cap), 1e-10)
+        w = w / w.sum()
         shares = cap @ dummies
         rule = np.zeros(len(names))
-        rule[-dummies.shape[1] :] = shares / shares.sum()
+        rule[-dummies.shape[1] :] = shares / shares.sum() if shares.sum() > 0 else 1 / len(shares)
         xw = x.T * w
         r = day["returns"].to_numpy(float)
         system = np.block([[xw @ x, rule[:, None]], [rule[None, :], np.zeros((1, 1))]])
         try:
             f = np.linalg.solve(system, np.append(xw @ r, 0.0))[:-1]
         except np.linalg.LinAlgError:
-            f = np.linalg.lstsq(xw @ x, xw @ r, rcond=None)[0]
+            try:
+                f = np.linalg.solve(xw @ x, xw @ r)
+            except np.linalg.LinAlgError:
+                return empty
         return pd.DataFrame({"date": day["date"].iloc[0], "factor": names, "ret": f}) if np.isfinite(f).all() else empty
 
     kind = universe.schema["date"].dataType.simpleString()
@@ -159,12 +167,14 @@ def factor_covariance(table: pd.DataFrame, model: RiskModel) -> pd.DataFrame:
     return pd.DataFrame(regime_scaled(cov, x, model.half_life), index=table.columns, columns=table.columns)
 
 
-def specific_risk(universe: DataFrame, returns: DataFrame, model: RiskModel, annual: bool = False) -> DataFrame:
-    """(asset, raw, structural, risk): an asset's deviation that the factors don't explain.
+def specific_risk(universe: DataFrame, returns: DataFrame, model: RiskModel, annual: bool = True, min_names: int = 30) -> DataFrame:
+    """(asset, raw, structural, risk): an asset's deviation that the factors don't explain, a year's unless told.
 
-    raw: the exponentially weighted deviation of its residuals; structural:
-    from a regression of its log on the log cap (the median under 30 assets).
-    The result is drawn towards the structural one by how far off raw is.
+    raw: the exponentially weighted deviation of its residuals, missing ones as
+    0, over the dates with ``min_names`` of them; 1e-6 at least. structural: from
+    a regression of its log on the log cap of the last date, a million where
+    that's missing (the median up to 30 assets). The risk is drawn towards the
+    structural one by how far off raw is; raw and structural are a date's.
     """
     pairs = lagged_pairs(universe, model)
     # exposure times return, one factor a row: country and styles are columns, the industry its own name
@@ -173,18 +183,22 @@ def specific_risk(universe: DataFrame, returns: DataFrame, model: RiskModel, ann
         F.struct(F.concat(F.lit("industry:"), F.col("industry")).alias("factor"), F.lit(1.0).alias("x")),
         *[F.struct(F.lit(s).alias("factor"), F.col(s).cast("double").alias("x")) for s in model.styles],
     )
-    rows = pairs.select("date", "asset", "returns", "market_cap", F.explode(values).alias("e")).select("*", "e.factor", "e.x")
+    rows = pairs.select("date", "asset", "returns", F.explode(values).alias("e")).select("*", "e.factor", "e.x")
     explained = rows.join(F.broadcast(returns), ["date", "factor"]).groupBy("date", "asset").agg(
-        (F.first("returns") - F.sum(F.col("x") * F.col("ret"))).alias("residual"), F.first("market_cap").alias("market_cap")
+        (F.first("returns") - F.sum(F.col("x") * F.col("ret"))).alias("residual")
     )
+    enough = explained.groupBy("date").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_names).select("date")  # one row a date
+    explained = explained.join(F.broadcast(enough), "date")
+    last = universe.agg(F.max("date")).first()[0]
+    caps = universe.filter(F.col("date") == F.lit(last)).groupBy("asset").agg(F.max("market_cap").cast("double").alias("cap"))
     age = F.dense_rank().over(Window.orderBy(F.desc("date"))) - 1
     ages = explained.select("date").distinct().withColumn("g", F.pow(F.lit(0.5), age / model.half_life))
     dated = explained.join(F.broadcast(ages), "date")
-    own = dated.groupBy("asset").agg(
-        F.sqrt(F.sum(F.col("g") * F.pow("residual", F.lit(2.0)))).alias("_s"), F.max_by("market_cap", "date").alias("cap")
-    )
+    own = dated.groupBy("asset").agg(F.sum(F.col("g") * F.pow("residual", F.lit(2.0))).alias("_s"))
     total = ages.agg(F.sum("g").alias("_g"))
-    raw = own.join(F.broadcast(total)).select("asset", "cap", (F.col("_s") / F.sqrt("_g")).alias("raw"))
+    deviation = F.sqrt(F.greatest(F.col("_s") / F.col("_g"), F.lit(1e-12)))
+    own = own.join(F.broadcast(total)).join(caps, "asset", "left")
+    raw = own.select("asset", F.coalesce("cap", F.lit(1e6)).alias("cap"), deviation.alias("raw"))
     fit = raw.filter((F.col("raw") > 0) & (F.col("cap") > 0)).agg(
         F.count("*").alias("n"),
         F.covar_samp(F.log("raw"), F.log("cap")).alias("c"),
@@ -202,6 +216,28 @@ def specific_risk(universe: DataFrame, returns: DataFrame, model: RiskModel, ann
     return found.select("asset", "raw", "structural", (risk * (52**0.5 if annual else 1.0)).alias("risk"))
 
 
+def distribution(specific: DataFrame, column: str = "risk") -> DataFrame:
+    """(mean, median, p10, p90) of the assets' specific risks."""
+    at = lambda q: F.percentile(column, F.lit(q))
+    return specific.agg(F.avg(column).alias("mean"), at(0.5).alias("median"), at(0.1).alias("p10"), at(0.9).alias("p90"))
+
+
+def largest_weights(weights: DataFrame, k: int = 3, by: tuple[str, ...] = ("date",), least: float = 1e-10) -> DataFrame:
+    """(by, asset, weight, place, n_long, n_short): the ``k`` largest weights of each portfolio, equal ones by asset, and its numbers of longs and shorts.
+
+    Weights up to ``least`` in size are none: they are what rounding leaves of 0.
+    """
+    own = Window.partitionBy(*by)
+    rows = weights.withColumns(
+        {
+            "place": F.row_number().over(own.orderBy(F.desc("weight"), "asset")),
+            "n_long": F.count_if(F.col("weight") > least).over(own),
+            "n_short": F.count_if(F.col("weight") < -least).over(own),
+        }
+    )
+    return rows.filter(F.col("place") <= k).select(*by, "asset", "weight", "place", "n_long", "n_short")
+
+
 def pure_portfolio(universe: DataFrame, model: RiskModel, target: str) -> DataFrame:
     """(date, asset, weight): of each date the portfolio with exposure to ``target`` alone, longs and shorts 2 together."""
 

@@ -620,7 +620,9 @@ def _model_queries() -> dict[str, tuple[Query, str | None]]:
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return _source_queries() | _operator_queries() | _evaluation_queries() | _portfolio_queries() | _model_queries()
+    from factorloom import solved
+
+    return _source_queries() | _operator_queries() | _evaluation_queries() | _portfolio_queries() | _model_queries() | solved.queries()
 
 
 def queries() -> dict[str, Query]:
