@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import HOT_KEYS, durable, join_hot, light, stored
@@ -32,7 +32,8 @@ def components(links: DataFrame, limit: int = 200) -> DataFrame:
     then whole; about twenty are what a chain of a billion nodes takes.
     """
     kind = links.schema["a"].dataType
-    edges = durable(links.filter("a is not null and b is not null and a <> b").select("a", "b").distinct())
+    # read from Parquet, as what the optimizer knows of checkpointed links may grow from round to round
+    edges = stored(links.filter("a is not null and b is not null and a <> b").select("a", "b").distinct())
     steps: list[DataFrame] = []
     for _ in range(limit):
         if edges.isEmpty():
@@ -86,41 +87,54 @@ def linked_in_cells(
     columns: Sequence[str],
     near: str,
     far: str,
-    verify: Callable[[DataFrame], DataFrame],
+    details: Callable[[DataFrame], DataFrame],
+    similar: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    """(u, root) of the nodes that verified links between members of a cell connect.
+    """(u, root) of the nodes that links between members of a cell connect.
 
     cells: (cell, u), rows may be repeated; info: u and ``columns``, a row or
     equal rows for each u; near: SQL over a_* and b_* of those columns that
-    every link fulfils; far: SQL for how unlike a pair is; verify: the links
-    among pairs (a, b).
-
-    In a small cell all members are compared. In a large one all are compared
-    with its centre, the member that shares most with others. Where that leaves
-    members in several components, those outside the largest are compared with
-    the nearest member of each other component, unless they are many. Such
-    cells are cut into those of members that agree on a next such cell too, and
-    compared there. So a cell's work goes with its members, not with its pairs.
+    every link fulfils; far: SQL for how unlike a pair is; details: (u, x) of
+    some nodes (u); similar: whether two x make a link.
+
+    In a small cell all members are candidates for links. In a large one all
+    are with its centre, the member that shares most with others. Of these,
+    each node's nearest pairs are looked at first, then the nearest pair of any
+    two components that these make, then what still stands between components.
+    With the last go, in large cells with several components, the members
+    outside the largest and the nearest member of each other component, unless
+    they are many. Such cells are cut into those of members that agree on a
+    next such cell too. So a cell's work goes with its members, not with its pairs.
     """
     own = Window.partitionBy("u")
     about = info.select("u", *columns).dropDuplicates(["u"])
     members = stored(_shared(cells).join(about, "u").withColumn("company", F.sum("n").over(own)))
     row = F.struct("u", *columns)
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """(a, b) of near pairs of structs a and b."""
-        flat = pairs.select(*[F.col(f"{p}.{c}").alias(p if c == "u" else f"{p}_{c}") for p in ("a", "b") for c in ("u", *columns)])
-        return flat.filter(f"a <> b AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
     lists = members.filter(F.col("n") <= PAIRED).groupBy("cell").agg(F.collect_list(row).alias("v"))
     small = lists.select(F.posexplode("v").alias("i", "a"), "v").select("a", F.explode(F.slice("v", F.col("i") + 2, PAIRED)).alias("b"))
     big = members.filter(F.col("n") > PAIRED)
     centres = big.groupBy("cell").agg(F.max(F.struct("company", "u", *columns)).alias("centre"), F.count("*").alias("k"))
     stars = join_hot(big, durable(centres), "cell", "k").select(row.alias("b"), F.struct(*[F.col(f"centre.{c}") for c in ("u", *columns)]).alias("a"))
-    links = verify(durable(candidates(small.unionByName(stars)).distinct()))
-    roots = durable(components(links).toDF("u", "root"))
-    if big.isEmpty():
-        return roots
+    flat = small.unionByName(stars).select(*[F.col(f"{p}.{c}").alias(p if c == "u" else f"{p}_{c}") for p in ("a", "b") for c in ("u", *columns)])
+    flat = flat.filter(f"a <> b AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr(far).cast("int").alias("far"))
+    candidates = stored(flat.distinct())
+    needed = candidates.select(F.explode(F.array("a", "b")).alias("u")).unionAll(big.select("u")).distinct()
+    known = stored(details(durable(needed)))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        degrees = pairs.groupBy("a").agg(F.count("*").alias("k"))
+        both = join_hot(pairs, known.toDF("a", "x").join(degrees, "a"), "a", "k", narrow=False).join(known.toDF("b", "y"), "b")
+        return stored(both.filter(similar(F.col("x"), F.col("y"))).select("a", "b"))
+
+    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """``pairs`` between different roots (a_root, b_root)."""
+        n = roots.count()
+        for p in ("a", "b"):
+            pairs = pairs.join(light(roots.toDF(p, f"{p}_root"), n), p, "left").withColumn(f"{p}_root", F.coalesce(f"{p}_root", p))
+        return pairs.filter("a_root <> b_root")
+
+    def joined(links: DataFrame) -> DataFrame:
+        return stored(components(links).toDF("u", "root"))
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Rows of cells with several roots; top: the root of most; others: how many have another root."""
@@ -136,16 +150,27 @@ def linked_in_cells(
         found = found.groupBy("a", "b_root").agg(F.min(F.struct(F.expr(far).alias("far"), "b")).alias("x"))
         return found.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
 
-    rows = big.select("cell", "u", *columns).join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    inner = mixed(stored(rows))
-    many = inner.filter(F.col("others") > PAIRED)
-    further = nearest(inner.filter(F.col("others") <= PAIRED))
-    if not many.isEmpty():
-        next_cell = F.lead("cell").over(own.orderBy("cell"))
-        cut = many.withColumn("_next", next_cell).filter("_next is not null").drop("top", "others")
-        further = further.unionAll(nearest(mixed(stored(cut.withColumn("cell", F.xxhash64("cell", "_next")).drop("_next")))))
-    further = durable(further.distinct())
-    if further.isEmpty():
-        return roots
-    return durable(components(links.unionAll(verify(further))).toDF("u", "root"))
-
+    ends = candidates.select("a", "b", "far").unionAll(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    first = ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x"))
+    first = stored(first.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
+    links = linked(first)
+    roots = joined(links)
+    between = F.struct("far", "a", "b")
+    second = rooted(candidates, roots).groupBy(F.least("a_root", "b_root").alias("p"), F.greatest("a_root", "b_root").alias("q")).agg(F.min(between).alias("x"))
+    second = stored(second.select("x.a", "x.b").join(first, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        links = stored(links.unionAll(linked(second)))
+        roots = joined(links)
+    third = rooted(candidates, roots).select("a", "b")
+    if not big.isEmpty():
+        rows = big.select("cell", "u", *columns).join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u"))
+        inner = mixed(stored(rows))
+        many = inner.filter(F.col("others") > PAIRED)
+        third = third.unionAll(nearest(inner.filter(F.col("others") <= PAIRED)))
+        if not many.isEmpty():
+            next_cell = F.lead("cell").over(own.orderBy("cell"))
+            cut = many.withColumn("_next", next_cell).filter("_next is not null").drop("top", "others")
+            third = third.unionAll(nearest(mixed(stored(cut.withColumn("cell", F.xxhash64("cell", "_next")).drop("_next")))))
+    looked_at = first.unionAll(second)
+    third = stored(third.distinct().join(looked_at, ["a", "b"], "left_anti"))
+    return roots if third.isEmpty() else joined(links.unionAll(linked(third)))

@@ -272,17 +272,17 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = sets.select(F.col("u").alias("row"))
     heads = marked.select("row", "size", "hashes").join(light(first, sets.count()), "row", "left_semi").withColumnRenamed("row", "u")
 
-    def verify(candidates: DataFrame) -> DataFrame:
-        needed = durable(candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-        hashes = stored(_shingled(texts.join(light(needed, needed.count()), "row", "left_semi"), words, None).select("row", "hashes"))
-        degrees = durable(candidates.groupBy("a").agg(F.count("*").alias("k")))
-        both = join_hot(candidates, hashes.toDF("a", "x").join(degrees, "a"), "a", "k", narrow=False).join(hashes.toDF("b", "y"), "b")
-        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
-        return durable(both.filter(F.expr(f"n >= {least!r}D * (all - n) - 1e-9D")).select("a", "b"))
+    def details(needed: DataFrame) -> DataFrame:
+        needed = needed.withColumnRenamed("u", "row")
+        return _shingled(texts.join(light(needed, needed.count()), "row", "left_semi"), words, None).select(F.col("row").alias("u"), F.col("hashes").alias("x"))
+
+    def similar(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x, y))
+        return both >= least * (F.size(x) + F.size(y) - both) - 1e-9
 
     near = f"least(a_size, b_size) >= {least!r}D * greatest(a_size, b_size) - 1e-9D"
     cells = heads.select("u", F.explode("hashes").alias("cell"))
-    roots = linked_in_cells(cells, heads.select("u", "size"), ["size"], near, "abs(a_size - b_size)", verify).toDF("u", "root")
+    roots = linked_in_cells(cells, heads.select("u", "size"), ["size"], near, "abs(a_size - b_size)", details, similar).toDF("u", "root")
     rooted = sets.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
     gone = durable(marked.select(F.col("row").alias(row)).join(kept, row, "left_anti"))

@@ -23,7 +23,7 @@ def brute_kept(rows, least=0.8):
     return sorted(min(i for (i, _), x in zip(rows, root, strict=True) if x == r) for r in set(root))
 
 
-@pytest.mark.parametrize("paired", [8, 1])
+@pytest.mark.parametrize("paired", [8, 4])
 def test_near_copies_go(spark, paired, monkeypatch):
     import corpus_pipeline as pipeline
 
