@@ -231,16 +231,36 @@ def test_top_k_of_huge_numbers(spark):
     assert [r["vec_id"] for r in far] == [1, 2, 3] and far[0]["score"] == 2**63 - 1
 
 
-def test_search_stops_early():
+def test_bounds_hold_and_rule_out():
     rng = np.random.default_rng(2)
-    v = np.floor(256 * rng.normal(size=(5000, 4)) * rng.exponential(size=(5000, 1)))
-    pivots = topk.choose_pivots(v[:500])
-    q = v[17]
-    apart = np.abs(topk.distances(q[None], pivots) - topk.distances(v, pivots)).max(axis=1)
-    bounds = ((q**2).sum() + (v**2).sum(axis=1) - apart**2) / 2 + 1
-    assert (bounds >= v @ q - 1e-6).all()
-    _, products, seen = topk.best(q, 17, bounds, np.arange(5000), v, 5)
-    assert seen < 2500 and products.tolist() == sorted((v @ q)[np.arange(5000) != 17], reverse=True)[:5]
+    for dim, spread, share in ((4, rng.exponential(size=(5000, 1)), 0.5), (64, 1.0, 0.4)):
+        v = rng.normal(size=(5000, dim))
+        v = np.floor(256 * v / np.linalg.norm(v, axis=1)[:, None] * spread)
+        pivots = topk.choose_pivots(v[:500])
+        table, squares = pivots.distances(v), (v**2).sum(axis=1)
+        assert np.allclose(table[:, 1:], np.linalg.norm(v[:, None] - pivots.points[None], axis=2), atol=1e-4)
+        bounds = topk.upper_bounds(pivots.places(table[:20]), pivots.places(table), squares[:20], squares)
+        assert (bounds >= v[:20] @ v.T).all()
+        for q in range(20):
+            open_ = np.flatnonzero(np.arange(5000) != q)
+            _, products, seen = topk.best(v[q], bounds[q], open_, np.arange(5000), v, 5, float("-inf"), False)
+            assert seen < share * 5000 and products.tolist() == sorted((v @ v[q])[open_], reverse=True)[:5]
+
+
+def test_products_beyond_a_long_are_ranked(spark):
+    rows = [(k, [1e10 * (k + 1), 1.0]) for k in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, df.filter("vec_id = 0"), k=3, scale=1.0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [8, 7, 6] and all(r["score"] == 2**63 - 1 for r in got)
+    keys = [topk.sort_key(x) for x in (-(2**90), -(2**64), -300, -1, 0, 1, 255, 256, 2**63, 2**64, 2**90)]
+    assert keys == sorted(keys)
+
+
+def test_repeated_vectors_and_queries(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, df.filter("vec_id = 50"), k=2)
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == sorted([(1, 1, 65536), (2, 1, 65536), (1, 2, 131072), (2, 1, 32768)])
 
 
 def test_pipeline_stage_by_stage(spark):
