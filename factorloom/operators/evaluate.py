@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,27 +119,34 @@ def redundancy(panel: DataFrame, factors: list[str], min_names: int = 10, min_pa
 
     A factor is ranked on a date with at least ``min_names`` rows and
     ``min_pairs`` values of its own; a pair counts on a date with at least
-    ``min_pairs`` rows that have both. All pairs come from one aggregation by
-    date over rank columns.
+    ``min_pairs`` rows that have both. A date's cross-section is one group, in
+    which products of its rank matrix give all pairs at once, so hundreds of
+    factors are no larger a plan than two; pairs are summed over dates by Spark.
     """
-    day = Window.partitionBy("date")
-    ranks = []
-    for k, f in enumerate(factors):
-        x = F.col(f"`{f}`")
-        enough = (F.count(F.lit(1)).over(day) >= min_names) & (F.count(x).over(day) >= min_pairs)
-        ranks.append(F.when(enough, average_rank(x, day)).alias(f"r{k}"))
-    ranked = panel.select("date", *ranks)
-    pairs = [(i, j) for i in range(len(factors)) for j in range(i + 1, len(factors))]
-    if not pairs:
-        return panel.sparkSession.createDataFrame([], "a string, b string, n_dates long, correlation double")
-    values = []
-    for i, j in pairs:
-        x, y = F.col(f"r{i}"), F.col(f"r{j}")
-        both = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
-        c = F.when(both >= min_pairs, safe_correlation(x, y))
-        values.append(F.struct(F.lit(factors[i]).alias("a"), F.lit(factors[j]).alias("b"), c.alias("c")))
-    daily = ranked.groupBy("date").agg(F.array(*values).alias("v")).select(F.explode("v").alias("p"))
-    return daily.groupBy("p.a", "p.b").agg(F.count("p.c").alias("n_dates"), F.avg("p.c").alias("correlation"))
+    kind = "a int, b int, c double"
+    names = F.array(*[F.lit(f) for f in factors])
+    columns = [f"x{k}" for k in range(len(factors))]
+
+    def pairs(day: pd.DataFrame) -> pd.DataFrame:
+        whole = day[columns].notna().to_numpy()
+        ranked = (whole.sum(axis=0) >= min_pairs) & (len(day) >= min_names)
+        there = (whole & ranked).astype(float)
+        ranks = np.where(there > 0, day[columns].rank().to_numpy() - (len(day) + 1) / 2, 0.0)
+        n, sums, squares = there.T @ there, ranks.T @ there, (ranks * ranks).T @ there
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = squares - sums * sums / n
+            c = (ranks.T @ ranks - sums * sums.T / n) / np.sqrt(spread * spread.T)
+        known = np.triu((n >= min_pairs) & (spread > 1e-9) & (spread.T > 1e-9), 1)
+        a, b = np.nonzero(known)
+        return pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "c": c[a, b]})
+
+    rows = panel.select("date", *[F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(factors, columns, strict=True)])
+    found = rows.groupBy("date").applyInPandas(pairs, kind).groupBy("a", "b").agg(F.count("c").alias("n_dates"), F.avg("c").alias("correlation"))
+    # pairs that never count are in the result too
+    every = [(i, j) for i in range(len(factors)) for j in range(i + 1, len(factors))]
+    grid = panel.sparkSession.createDataFrame(every, "a int, b int")
+    name = lambda c: F.get(names, F.col(c))
+    return grid.join(found, ["a", "b"], "left").select(name("a").alias("a"), name("b").alias("b"), F.coalesce("n_dates", F.lit(0).cast("long")).alias("n_dates"), "correlation")
 
 
 def remove_redundant(
