@@ -145,8 +145,11 @@ def pieces(
 
     A null text is as empty: its only piece is the end id. Null ids stay null.
     Repeated rows are packed each for itself. Of an empty table nothing comes
-    out. Other columns aren't read.
+    out. Other columns aren't read. An id that is called like another column of
+    the result raises an error.
     """
+    if id_col.lower() in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "ids"):
+        raise ValueError(f"the id can't be called {id_col}, as a column of the result is")
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest piece must be a power of two")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -167,8 +167,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     ``model`` is the path of a model file that all executors have. Null and
     empty texts have no ids (an empty array); null ids stay null; repeated rows
     stay; of an empty table nothing comes out. Characters that are no piece
-    become their bytes' ids. Other columns aren't read.
+    become their bytes' ids. Other columns aren't read; an id that is called
+    ``ids`` raises an error.
     """
+    if id_col.lower() == "ids":
+        raise ValueError("the id can't be called ids, as a column of the result is")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
