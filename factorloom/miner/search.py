@@ -12,10 +12,11 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, field as dataclass_field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.operators.evaluate import finite, pooled_correlations, rank_ic
+from factorloom.operators.evaluate import finite, pooled_matrix, rank_ic
 from factorloom.plans.graph import Node, compile_factors, field, node
 from factorloom.plans.text import BINARY, DAILY, FIELDS, ROLLING, ROLLING_PAIR, TEMPLATES, UNARY, loose, parse, to_text
 from factorloom.sources.panel import complete
@@ -166,7 +167,20 @@ class Miner:
         self.judged: dict[Node, tuple[float, float]] = {}
 
     def ics(self, trees: list[Node], coarse: bool) -> dict[Node, tuple[float, float]]:
-        """The mean daily IC and ICIR of expressions, of those that have enough dates, in one job."""
+        """The mean daily IC and ICIR of expressions, of those that have enough dates, in one job.
+
+        If Spark can't run them, each half is tried by itself, so an expression
+        that fails is missing and the others aren't.
+        """
+        try:
+            return self._ics(trees, coarse)
+        except PySparkException:
+            if len(trees) == 1:
+                return {}
+            half = len(trees) // 2
+            return self.ics(trees[:half], coarse) | self.ics(trees[half:], coarse)
+
+    def _ics(self, trees: list[Node], coarse: bool) -> dict[Node, tuple[float, float]]:
         p = self.parameters
         names = {f"x{k}": t for k, t in enumerate(trees)}
         rows = compile_factors(self.rows, names).select("date", "asset", self.forward, *names)
@@ -202,14 +216,16 @@ class Miner:
         ic = self.judged[x][0]
         return -1.0 if ic == -1.0 else abs(ic)
 
+    def alike(self, trees: list[Node]) -> set[frozenset[Node]]:
+        """The pairs of expressions that are too much like each other, over all rows; all pairs in one job."""
+        names = {f"x{k}": t for k, t in enumerate(trees)}
+        found = pooled_matrix(compile_factors(self.rows, names).select(*names), list(names), self.parameters.min_rows)
+        return {frozenset((names[a], names[b])) for (a, b), c in found.items() if abs(c) >= self.parameters.redundancy}
+
     def redundant(self, x: Node, pool: list[Found]) -> bool:
-        """Whether an expression is too much like one of the pool, over all rows; all pairs in one job."""
-        if not pool:
-            return False
-        names = {"x": x} | {f"p{k}": f.expression for k, f in enumerate(pool)}
-        rows = compile_factors(self.rows, names).select(*names)
-        found = pooled_correlations(rows, [("x", f"p{k}") for k in range(len(pool))], self.parameters.min_rows).collect()
-        return any(r["correlation"] is not None and abs(r["correlation"]) >= self.parameters.redundancy for r in found)
+        """Whether an expression is one of the pool or too much like one."""
+        others = [f.expression for f in pool]
+        return x in others or bool(others) and any(x in pair for pair in self.alike([x, *others]))
 
     def run(self) -> list[Found]:
         """The pool of expressions over the threshold that aren't alike, the strongest first."""
@@ -219,11 +235,11 @@ class Miner:
             self.judge(people)
             ranked = sorted(dict.fromkeys(people), key=lambda t: (-self.fitness(t), to_text(t)))
             before = len(pool)
-            for t in ranked[: p.checked]:
-                if t in tried or self.fitness(t) < p.threshold:
-                    continue
-                tried.add(t)
-                if not self.redundant(t, pool):
+            new = [t for t in ranked[: p.checked] if t not in tried and self.fitness(t) >= p.threshold]
+            alike = self.alike([*new, *(f.expression for f in pool)]) if new and len(new) + len(pool) > 1 else set()
+            tried.update(new)
+            for t in new:
+                if not any(frozenset((t, f.expression)) in alike for f in pool):
                     pool.append(Found(t, *self.judged[t]))
             stale = 0 if len(pool) > before else stale + 1
             if stale >= p.stale:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -187,6 +188,41 @@ def pooled_correlations(panel: DataFrame, pairs: list[tuple[str, str]], min_rows
     return panel.agg(F.array(*values).alias("v")).select(F.explode("v").alias("p")).select("p.*")
 
 
+def pooled_matrix(panel: DataFrame, names: list[str], min_rows: int = 100) -> dict[tuple[str, str], float]:
+    """The correlation of each two columns over all rows that have both, of those with ``min_rows`` and a deviation.
+
+    Each task sums the products of its rows, so a row for each pair is all that
+    is shuffled, or comes to the driver. Columns are taken off their means first.
+    """
+    columns = [F.col(f"`{n}`").cast("double") for n in names]
+    means = panel.agg(*[F.avg(F.when(finite(c), c)).alias(f"m{k}") for k, c in enumerate(columns)]).first()
+    rows = panel.select(*[F.when(finite(c), c - F.lit(means[k] or 0.0)).alias(f"x{k}") for k, c in enumerate(columns)])
+    a, b = np.triu_indices(len(names), 1)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            x = batch.to_numpy(float)
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            own, squares = x.T @ there, (x * x).T @ there
+            part = np.stack([(there.T @ there)[a, b], own[a, b], own.T[a, b], squares[a, b], squares.T[a, b], (x.T @ x)[a, b]])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"k": np.arange(len(a), dtype=np.int32)} | {c: v for c, v in zip("nxyuvw", total, strict=True)})
+
+    if not len(a):
+        return {}
+    made = rows.mapInPandas(sums, "k int, n double, x double, y double, u double, v double, w double")
+    found = made.groupBy("k").agg(*[F.sum(c).alias(c) for c in "nxyuvw"]).filter(F.col("n") >= min_rows).collect()
+    out = {}
+    for r in found:
+        below = (r["u"] - r["x"] ** 2 / r["n"]) * (r["v"] - r["y"] ** 2 / r["n"])
+        if below > 0:
+            out[names[a[r["k"]]], names[b[r["k"]]]] = (r["w"] - r["x"] * r["y"] / r["n"]) / below**0.5
+    return out
+
+
 def factor_report(panel: DataFrame, factors: list[str], forward: str = "fwd_return", buckets: int = 5) -> DataFrame:
     """One row a factor: its IC summary, coverage, the mean forward return of its lowest and highest bucket and their difference.
 

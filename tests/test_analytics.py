@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from test_expressions import panel
 
@@ -195,3 +196,32 @@ def test_streamed_bars(spark, tmp_path):
     query.stop()
     got = spark.table("bars").orderBy("date").collect()
     assert len(got) == 4 and (got[0]["open"], got[0]["close"], got[0]["volume"]) == (0.0, 2.0, 3.0)
+
+
+def test_search_survives_expressions_that_fail(spark, monkeypatch):
+    miner = search.Miner(forward_returns(panel(spark, 40, 90)), parameters=search.Parameters(min_obs=3, min_dates=1))
+    good, bad = parse("close - open"), parse("high - low")
+    whole = search.Miner._ics
+
+    def fails(self, trees, coarse):
+        if bad in trees:
+            raise AnalysisException("no such thing")
+        return whole(self, trees, coarse)
+
+    monkeypatch.setattr(search.Miner, "_ics", fails)
+    found = miner.ics([good, bad], False)
+    assert good in found and bad not in found
+
+
+def test_pooled_matrix(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 4)) + 1e6
+    x[:, 1] = x[:, 0] + rng.normal(size=500)
+    x[:, 3] = 5.0
+    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    got = evaluate.pooled_matrix(df, ["a", "b", "c", "d"])
+    table = df.toPandas()
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (p, q), c in got.items():
+        assert abs(c - table[p].corr(table[q])) < 1e-6
