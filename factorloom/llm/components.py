@@ -10,8 +10,11 @@ counts comes to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,10 @@ from factorloom.llm.common import HOT_KEYS, durable, join_hot, light, stored
 
 #: Of so many nodes one goes into the sample that tells which cells are hot.
 HOT_SAMPLE = 32
-#: In cells of so many members all are compared in pairs; in larger ones so many outside the largest component with all members.
+#: In cells of up to so many members all are compared in pairs at once; in larger ones all are with a centre, then, block by block, what is still apart.
 PAIRED = 8
+#: Members of a cell in a block, those of them that are compared with a block at a time, and how many of the nearest a member gives in a round.
+BLOCK, TOGETHER, NEAREST = 4096, 256, 2
 
 
 def components(links: DataFrame, limit: int = 200) -> DataFrame:
@@ -81,31 +86,140 @@ def _shared(cells: DataFrame) -> DataFrame:
     return cold.unionByName(some.join(F.broadcast(sizes.filter("n > 1")), "cell"))
 
 
+@dataclass(frozen=True)
+class Nearness:
+    """What every link fulfils, by the sizes and sketches of its ends, once as SQL over a_size and b_size and once for arrays.
+
+    ``bits`` is how many bits of the sketches may differ, under 0 where sizes
+    are too unlike. Sketches of more bits, twice as many or another power of
+    two, hold the shorter ones: their halves' exclusive or.
+    """
+
+    bits_sql: str
+    bits: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+#: SQL for the number of differing bits of a_s and b_s; only of the words that both have, if one is longer.
+FAR = "aggregate(zip_with(a_s, b_s, (x, y) -> coalesce(bit_count(x ^ y), 0)), 0, (n, x) -> n + x)"
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (a row each) of so many words, by the exclusive or of halves."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def near_in_block(
+    a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], sketches: tuple[np.ndarray, np.ndarray], nearness: Nearness, nearest: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, far) of the pairs of two blocks of (u, root, size) that may be links between roots; ``nearest`` of each a, all if that is 0."""
+    u, root, size = a
+    for at in range(0, len(u), TOGETHER):
+        some = slice(at, at + TOGETHER)
+        far = np.zeros((len(u[some]), len(b[0])), dtype=np.int32)
+        for w in range(sketches[0].shape[1]):
+            far += np.bitwise_count(sketches[0][some, w, None] ^ sketches[1][None, :, w])
+        fits = (far <= nearness.bits(size[some, None], b[2][None, :])) & (root[some, None] != b[1][None, :])
+        i, j = np.nonzero(fits)
+        if nearest and len(i):
+            order = np.lexsort((b[0][j], far[i, j], i))
+            i, j = i[order], j[order]
+            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+            i, j = i[place < nearest], j[place < nearest]
+        if len(i):
+            yield u[some][i], b[0][j], far[i, j]
+
+
+def _apart(rows: DataFrame, nearness: Nearness, nearest: int) -> DataFrame:
+    """(a, b, far) of pairs in a cell of ``rows`` (cell, u, root, size, s, top, j, others) that may be links between different roots.
+
+    Each member whose root isn't the cell's commonest is compared with all of
+    the cell. A cell's members are dealt into blocks by a hash, so a task only
+    ever holds two blocks of one cell; pairs of blocks are as many as a cell's
+    blocks times those of its members outside the commonest root.
+    """
+    left = F.greatest(F.lit(1), F.ceil(F.col("others") / BLOCK)).cast("int")
+    right = F.ceil(F.col("j") / BLOCK).cast("int")
+    own = rows.withColumns({"_l": left, "_r": right})
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n, seed: F.pmod(F.xxhash64("u", F.lit(seed)), F.col(n)).cast("int")
+    a = own.filter("root <> top").withColumn("_i", at("_l", 3)).withColumn("_k", places("_r")).withColumn("_side", F.lit(0))
+    b = own.withColumn("_k", at("_r", 5)).withColumn("_i", places("_l")).withColumn("_side", F.lit(1))
+    names = ["cell", "_i", "_k", "_side", "u", "root", "size", "s"]
+    dealt = a.select(*names).unionAll(b.select(*names)).repartition("cell", "_i", "_k").sortWithinPartitions("cell", "_i", "_k", "_side")
+
+    def compared(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        column = lambda name: block.column(name).to_numpy()
+        side, u, root, size = column("_side"), column("u"), column("root"), column("size").astype(np.int64)
+        lists = block.column("s").combine_chunks()
+        widths = lists.value_lengths().to_numpy()
+        words = lists.flatten().to_numpy().view(np.uint64)
+        ends = np.cumsum(widths)
+        kinds = np.unique(widths)
+        for x in kinds:
+            for y in kinds:
+                width = int(min(x, y))
+                picks, sketches = [], []
+                for which, kind in ((0, x), (1, y)):
+                    rows = np.flatnonzero((side == which) & (widths == kind))
+                    picks.append(rows)
+                    at = (ends[rows] - kind)[:, None] + np.arange(kind)[None, :]
+                    sketches.append(folded(words[at], width))
+                if not len(picks[0]) or not len(picks[1]):
+                    continue
+                sides = [(u[r], root[r], size[r]) for r in picks]
+                for found in near_in_block(*sides, tuple(sketches), nearness, nearest):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (found[0], found[1], found[2].astype(np.int32))], ["a", "b", "far"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            key = [table.column(n).to_numpy() for n in ("cell", "_i", "_k")]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+            edges = [0, *cuts.tolist(), len(table)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                part = table.slice(start, end - start)
+                if held and any(held[-1].column(n)[0] != part.column(n)[0] for n in ("cell", "_i", "_k")):
+                    yield from compared(pa.concat_tables(held))
+                    held = []
+                if len(part):
+                    held.append(part)
+        if held:
+            yield from compared(pa.concat_tables(held))
+
+    found = dealt.mapInArrow(run, "a long, b long, far int")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far"))
+
+
 def linked_in_cells(
-    cells: DataFrame,
-    info: DataFrame,
-    columns: Sequence[str],
-    near: str,
-    far: str,
-    details: Callable[[DataFrame], DataFrame],
-    similar: Callable[[Column, Column], Column],
+    cells: DataFrame, info: DataFrame, nearness: Nearness, details: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]
 ) -> DataFrame:
-    """(u, root) of the nodes that links between members of a cell connect.
+    """(u, root) of the nodes that links between members of a cell connect; nodes are longs.
 
-    cells: (cell, u), rows may be repeated; info: u and ``columns``, a row or
-    equal rows for each u; near: SQL over a_* and b_* of those columns that
-    every link fulfils; far: SQL for how unlike a pair is; details: (u, x) of
-    some nodes (u); similar: whether two x make a link.
+    cells: (cell, u), rows may be repeated; info: (u, size, s), a row or equal
+    rows for each u, s being a sketch of 64-bit words; nearness: what every
+    link fulfils; details: (u, x) of some nodes (u); similar: whether two x make
+    a link.
 
     In a small cell all members are candidates for links. In a large one all
     are with its centre, the member that shares most with others. Of these,
     each node's nearest pairs are looked at first, then the nearest pair of any
     two components that these make, then what still stands between components.
-    With the last go, in large cells with several components, the members
-    outside the largest and the nearest member of each other component, unless
-    they are many. Such cells are cut into those of members that agree on a
-    next such cell too. So a cell's work goes with its members, not with its pairs.
+    Then, in large cells with several components, each member outside the
+    commonest looks for the nearest members of other components in the whole
+    cell, round after round as long as that finds links; at last all pairs
+    between components that may be links are looked at. So no link is left out
+    between two members of a cell, while those within a component, which may be
+    as many as the square of its members, needn't be looked at.
     """
+    columns = ["size", "s"]
+    near = f"({FAR}) <= ({nearness.bits_sql})"
+    # a longer sketch folds to the shorter, which the SQL doesn't do: then sizes decide alone
+    near = f"CASE WHEN size(a_s) = size(b_s) THEN {near} ELSE ({nearness.bits_sql}) >= 0 END"
     own = Window.partitionBy("u")
     about = info.select("u", *columns).dropDuplicates(["u"])
     members = stored(_shared(cells).join(about, "u").withColumn("company", F.sum("n").over(own)))
@@ -116,14 +230,16 @@ def linked_in_cells(
     centres = big.groupBy("cell").agg(F.max(F.struct("company", "u", *columns)).alias("centre"), F.count("*").alias("k"))
     stars = join_hot(big, durable(centres), "cell", "k").select(row.alias("b"), F.struct(*[F.col(f"centre.{c}") for c in ("u", *columns)]).alias("a"))
     flat = small.unionByName(stars).select(*[F.col(f"{p}.{c}").alias(p if c == "u" else f"{p}_{c}") for p in ("a", "b") for c in ("u", *columns)])
-    flat = flat.filter(f"a <> b AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr(far).cast("int").alias("far"))
+    flat = flat.filter(f"a <> b AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr(FAR).cast("int").alias("far"))
     candidates = stored(flat.distinct())
     needed = candidates.select(F.explode(F.array("a", "b")).alias("u")).unionAll(big.select("u")).distinct()
     known = stored(details(durable(needed)))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        degrees = pairs.groupBy("a").agg(F.count("*").alias("k"))
-        both = join_hot(pairs, known.toDF("a", "x").join(degrees, "a"), "a", "k", narrow=False).join(known.toDF("b", "y"), "b")
+        both = pairs
+        for end, name in (("a", "x"), ("b", "y")):  # an end may be in any part of all pairs
+            degrees = pairs.groupBy(end).agg(F.count("*").alias("k"))
+            both = join_hot(both, known.toDF(end, name).join(degrees, end), end, "k", narrow=False)
         return stored(both.filter(similar(F.col("x"), F.col("y"))).select("a", "b"))
 
     def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -141,36 +257,38 @@ def linked_in_cells(
         each = stored(rows.groupBy("cell", "root").agg(F.count("*").alias("m")))
         found = each.groupBy("cell").agg(F.sum("m").alias("j"), F.count("*").alias("r"), F.max(F.struct("m", "root")).alias("top"))
         found = found.filter("r > 1").select("cell", "j", F.col("top.root").alias("top"), (F.col("j") - F.col("top.m")).alias("others"))
-        return stored(join_hot(rows, durable(found), "cell", "j"))
-
-    def nearest(rows: DataFrame) -> DataFrame:
-        """Of each member outside its cell's largest component the nearest member of each other component."""
-        side = lambda df, p: df.select("cell", *[F.col(c).alias(f"{p}_{c}") for c in ("root", *columns)], F.col("u").alias(p))
-        found = side(rows.filter("root <> top"), "a").join(side(rows, "b"), "cell").filter(f"a_root <> b_root AND {near}")
-        found = found.groupBy("a", "b_root").agg(F.min(F.struct(F.expr(far).alias("far"), "b")).alias("x"))
-        return found.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
+        return join_hot(rows, durable(found.withColumn("_n", F.col("j"))), "cell", "_n")
 
     ends = candidates.select("a", "b", "far").unionAll(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
     first = ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x"))
     first = stored(first.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
+    looked_at = first
     links = linked(first)
     roots = joined(links)
     between = F.struct("far", "a", "b")
-    second = rooted(candidates, roots).groupBy(F.least("a_root", "b_root").alias("p"), F.greatest("a_root", "b_root").alias("q")).agg(F.min(between).alias("x"))
-    second = stored(second.select("x.a", "x.b").join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = stored(links.unionAll(linked(second)))
-        roots = joined(links)
-    third = rooted(candidates, roots).select("a", "b")
-    if not big.isEmpty():
-        rows = big.select("cell", "u", *columns).join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u"))
-        inner = mixed(stored(rows))
-        many = inner.filter(F.col("others") > PAIRED)
-        third = third.unionAll(nearest(inner.filter(F.col("others") <= PAIRED)))
-        if not many.isEmpty():
-            next_cell = F.lead("cell").over(own.orderBy("cell"))
-            cut = many.withColumn("_next", next_cell).filter("_next is not null").drop("top", "others")
-            third = third.unionAll(nearest(mixed(stored(cut.withColumn("cell", F.xxhash64("cell", "_next")).drop("_next")))))
-    looked_at = first.unionAll(second)
-    third = stored(third.distinct().join(looked_at, ["a", "b"], "left_anti"))
-    return roots if third.isEmpty() else joined(links.unionAll(linked(third)))
+    nearest = rooted(candidates, roots).groupBy(F.least("a_root", "b_root").alias("p"), F.greatest("a_root", "b_root").alias("q")).agg(F.min(between).alias("x"))
+    for pairs in (lambda: nearest.select("x.a", "x.b"), lambda: rooted(candidates, roots).select("a", "b")):
+        new = stored(pairs().join(looked_at, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            looked_at = looked_at.unionAll(new)
+            links = stored(links.unionAll(linked(new)))
+            roots = joined(links)
+    if big.isEmpty():
+        return roots
+    every = False
+    while True:
+        rows = stored(big.select("cell", "u", *columns).join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u")))
+        new = _apart(mixed(rows), nearness, 0 if every else NEAREST).select("a", "b")
+        new = stored(new.join(looked_at, ["a", "b"], "left_anti"))
+        found = None if new.isEmpty() else linked(new)
+        if found is not None:
+            looked_at = looked_at.unionAll(new)
+        if found is not None and not found.isEmpty():
+            links = stored(links.unionAll(found))
+            roots = joined(links)
+            if every:
+                return roots
+        elif every:
+            return roots
+        else:
+            every = True

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import durable, fresh, join_hot, light, quoted, slices, stored, worker_memory
-from factorloom.llm.components import linked_in_cells
+from factorloom.llm.components import Nearness, linked_in_cells
 
 #: Of the 64-bit hash of words; 16 characters.
 HASH_KEY = "lines' word hash"
@@ -290,10 +290,13 @@ def line_groups(rows: DataFrame, marks: str, row: str, order: list[Column], text
     )
     marked = rows.select(F.explode(marks).alias("m")).filter("size(m.keys) > 0")
     marked = marked.select(F.xxhash64("m.h").alias("u"), "m.w", "m.s", "m.keys")
-    most = f"floor({1 - least!r}D * greatest(a_w, b_w) + 1e-9D)"
-    # sketches of two lengths are compared in the words that both have; such lines are few
-    far = "aggregate(zip_with(a_s, b_s, (x, y) -> coalesce(bit_count(x ^ y), 0)), 0, (n, x) -> n + x)"
-    near = f"abs(a_w - b_w) <= {most} AND (size(a_s) <> size(b_s) OR {far} <= 2 * {most})"
+    most = f"floor({1 - least!r}D * greatest(a_size, b_size) + 1e-9D)"
+
+    def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        edits_most = np.floor((1 - least) * np.maximum(a, b) + 1e-9)
+        return np.where(np.abs(a - b) <= edits_most, 2 * edits_most, -1)
+
+    nearness = Nearness(f"if(abs(a_size - b_size) <= {most}, 2 * {most}, -1)", bits)
 
     def line_texts(needed: DataFrame) -> DataFrame:
         at = distinct.select("u", F.col("first.row").alias("_row"), F.col("first.pos").alias("_pos"))
@@ -307,7 +310,8 @@ def line_groups(rows: DataFrame, marks: str, row: str, order: list[Column], text
         return texts.select("u", _normal(F.col("line")).alias("line"))
 
     cells = marked.select("u", F.explode("keys").alias("cell"))
-    roots = durable(linked_in_cells(cells, marked.select("u", "w", "s"), ["w", "s"], near, far, line_texts, lambda x, y: verified(x, y, least)).toDF("u", "root"))
+    sketched = marked.select("u", F.col("w").alias("size"), "s")
+    roots = durable(linked_in_cells(cells, sketched, nearness, line_texts, lambda x, y: verified(x, y, least)).toDF("u", "root"))
     grouped = distinct.join(light(roots, roots.count()), "u", "left").filter("root is not null or n > 1")
     grouped = durable(grouped.select("h", "n", "first", F.coalesce("root", "u").alias("root")))
     keep = durable(grouped.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("k")))

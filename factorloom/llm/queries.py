@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import html_text, lines, packing, quality, sharding, simhash, spm, topk, toxicity, urlrules
+from factorloom.llm import codes, html_text, lines, minhash, packing, quality, resampling, sharding, simhash, spm, topk, toxicity, urlrules
 from factorloom.llm.common import read_table
 
 SHARD_BYTES = 1 << 20
@@ -120,6 +120,91 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "text", "n_removed")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near every document's words are to those of the benchmark, and the tenth of the documents that is drawn by that."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    target = read_table(spark, sf_dir, "benchmark").select("text")
+    return resampling.resample(docs, target)
+
+
+OP11_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT NULL, coalesce(text, '') FROM benchmark)
+), numbered AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM words),
+one AS (SELECT r, doc_id, unnest(w) AS word FROM numbered),
+crcs AS (
+    SELECT word, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+        lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda b, k: xor(b >> 1, (b & 1) * 3988292384)))) % 10000 AS bucket
+    FROM (SELECT DISTINCT word FROM one)
+), counts AS (
+    SELECT bucket, count(doc_id) AS s, count(*) - count(doc_id) AS t FROM one JOIN crcs USING (word) GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE))) AS gain FROM counts
+), sums AS (SELECT r, sum(gain) AS total FROM one JOIN crcs USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+    SELECT doc_id, n, CAST(floor(coalesce(total / n, 0)) AS BIGINT) AS weight,
+           CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+    FROM numbered LEFT JOIN sums USING (r) WHERE doc_id IS NOT NULL
+), ranked AS (
+    SELECT *, weight + noise AS score, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY weight + noise DESC, doc_id) END AS place,
+           count(*) FILTER (n >= 20) OVER () AS of
+    FROM scored
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * of // 100 THEN place END AS rank FROM ranked
+"""
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document, and whether it is the one that stays."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs)
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, by codebooks of 256 entries for each of its four parts."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return codes.compress(vectors)
+
+
+def codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """The rounds one after the other, each part compared with all entries of its book."""
+    nearest = (
+        "SELECT vec_id, label, p, x, min(row(list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), k)) AS best"
+        " FROM parts JOIN {book} USING (p) GROUP BY vec_id, label, p, x"
+    )
+    steps = []
+    for r in range(rounds):
+        steps.append(f"near{r} AS MATERIALIZED ({nearest.format(book=f'book{r}')})")
+        steps.append(
+            f"""book{r + 1} AS MATERIALIZED (
+            SELECT b.p, b.k, coalesce(m.e, b.e) AS e FROM book{r} b LEFT JOIN (
+                SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM (
+                    SELECT p, k, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, best[2] AS k, unnest(x) AS v, unnest(range(len(x))) AS i FROM near{r})
+                    GROUP BY p, k, i) GROUP BY p, k
+            ) m ON b.p = m.p AND b.k = m.k)"""
+        )
+    return f"""
+    WITH whole AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), parts AS MATERIALIZED (
+        SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM whole, range({parts}) t(p)
+    ), book0 AS MATERIALIZED (
+        SELECT p, n - 1 AS k, x AS e FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS n FROM parts) WHERE n <= {entries}
+    ), {', '.join(steps)},
+    last AS ({nearest.format(book=f'book{rounds}')}),
+    coded AS (
+        SELECT vec_id, any_value(label) AS label, string_agg(lower(lpad(to_hex(best[2]), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+        FROM last GROUP BY vec_id
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+           (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) FROM book{rounds}) AS codebooks_sha256
+    FROM coded
+    """
+
+
 def url_rules() -> list[urlrules.Rule]:
     """The five host rules, and wildcards for what they leave: calendars, print views and session ids."""
     return [
@@ -180,10 +265,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_top_k,
         op9_url_filter,
         op10_line_dedup,
+        op11_resampling,
+        op12_minhash,
+        op13_codes,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op1_sharding": sharding_sql(), "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_sharding": sharding_sql(), "op8_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_resampling": OP11_SQL, "op13_codes": codes_sql()}

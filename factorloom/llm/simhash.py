@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import durable, fresh, join_hot, light, quoted, stored, worker_memory
-from factorloom.llm.components import components, linked_in_cells
+from factorloom.llm.components import Nearness, components, linked_in_cells
 
 SEED = 42
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -191,6 +191,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Segments of a long fingerprint that are used, of all that it has.
 USED = 8
+#: 64-bit words of a text's sketch, by which SimHash of all its shingles similar texts' fingerprints are near. Similar sets differ in 0.15 of the bits at most, small ones in more.
+SKETCH, DIFFERING, SMALL, DIFFERING_SMALL = 4, 64, 30, 100
 #: Shingles in a segment of the shortest texts of a class, the least class's shingles, the next one's share of them.
 SHINGLES, FIRST, RATIO = 2.4, 10, 1.6
 
@@ -234,25 +236,40 @@ def segment_keys(hashes: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate(out) if out else hashes[:1]
 
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes, of ``SKETCH`` times 64 bits."""
+    ones = np.zeros(64 * SKETCH, dtype=np.int64)
+    salts = np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    for i in range(0, len(hashes), CHUNK):
+        x = hashes[i : i + CHUNK, None] * salts[None, :]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        ones += np.unpackbits(x.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64).view(np.int64)
+
+
 def _shingled(docs: DataFrame, words: int, least: float | None) -> DataFrame:
-    """(row, id, digest, size, hashes) for (row, id, text): all shingles' hashes, or, with ``least``, the segments' keys."""
+    """(row, id, digest, size, s, hashes) for (row, id, text): all shingles' hashes, or, with ``least``, the sketch and the segments' keys."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory("shingles", lambda: None)
         for batch in batches:
-            digests, sizes, taken = [], [], []
+            digests, sizes, taken, sketches = [], [], [], [np.zeros(0, dtype=np.int64)]
             for text in batch.column(2).to_pylist():
                 own = shingle_hashes(text or "", words)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 taken.append((own if least is None else segment_keys(own, least)).view(np.int64))
+                if least is not None:
+                    sketches.append(sketch_of(own))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in taken])]).astype(np.int32)
             hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *taken])))
-            arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), hashes]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "digest", "size", "hashes"])
+            width = 0 if least is None else SKETCH
+            of_sketch = pa.ListArray.from_arrays(np.arange(len(taken) + 1, dtype=np.int32) * width, pa.array(np.concatenate(sketches)))
+            arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), of_sketch, hashes]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "digest", "size", "s", "hashes"])
 
-    return docs.mapInArrow(run, f"row long, id {kind}, digest binary, size int, hashes array<long>")
+    return docs.mapInArrow(run, f"row long, id {kind}, digest binary, size int, s array<long>, hashes array<long>")
 
 
 def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -270,7 +287,7 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = stored(_shingled(texts, words, least))
     sets = durable(marked.groupBy("digest").agg(F.min("row").alias("u"), F.min(own).alias("least"), F.count("*").alias("n")))
     first = sets.select(F.col("u").alias("row"))
-    heads = marked.select("row", "size", "hashes").join(light(first, sets.count()), "row", "left_semi").withColumnRenamed("row", "u")
+    heads = marked.select("row", "size", "s", "hashes").join(light(first, sets.count()), "row", "left_semi").withColumnRenamed("row", "u")
 
     def details(needed: DataFrame) -> DataFrame:
         needed = needed.withColumnRenamed("u", "row")
@@ -280,9 +297,15 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = F.size(F.array_intersect(x, y))
         return both >= least * (F.size(x) + F.size(y) - both) - 1e-9
 
-    near = f"least(a_size, b_size) >= {least!r}D * greatest(a_size, b_size) - 1e-9D"
+    most = f"if(least(a_size, b_size) < {SMALL}, {DIFFERING_SMALL}, {DIFFERING})"
+
+    def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(a, b), np.maximum(a, b)
+        return np.where(small >= least * large - 1e-9, np.where(small < SMALL, DIFFERING_SMALL, DIFFERING), -1)
+
+    nearness = Nearness(f"if(least(a_size, b_size) >= {least!r}D * greatest(a_size, b_size) - 1e-9D, {most}, -1)", bits)
     cells = heads.select("u", F.explode("hashes").alias("cell"))
-    roots = linked_in_cells(cells, heads.select("u", "size"), ["size"], near, "abs(a_size - b_size)", details, similar).toDF("u", "root")
+    roots = linked_in_cells(cells, heads.select("u", "size", "s"), nearness, details, similar).toDF("u", "root")
     rooted = sets.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
     gone = durable(marked.select(F.col("row").alias(row)).join(kept, row, "left_anti"))
