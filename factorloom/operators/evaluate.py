@@ -102,9 +102,13 @@ def filter_by_ic(panel: DataFrame, factors: list[str], forward: str = "fwd_retur
 
 def gate_by_first_dates(panel: DataFrame, factors: list[str], forward: str = "fwd_return", dates: int = 100, min_obs: int = 20, min_dates: int = 10, threshold: float = 0.01) -> DataFrame:
     """(factor, n_dates, ic_mean) of the factors whose mean IC over the panel's first ``dates`` dates is large enough in size."""
-    early = panel.select("date").distinct().orderBy("date").limit(dates)
-    rows = panel.join(F.broadcast(early), "date", "left_semi")
-    ics = rank_ic(rows, factors, forward, pairwise=True, min_obs=min_obs).filter(finite(F.col("ic")))
+    early = panel.select("date").distinct().orderBy("date").limit(dates)  # one row a date
+    return gate_by_ic(panel.join(F.broadcast(early), "date", "left_semi"), factors, forward, min_obs, min_dates, threshold)
+
+
+def gate_by_ic(panel: DataFrame, factors: list[str], forward: str = "fwd_return", min_obs: int = 20, min_dates: int = 10, threshold: float = 0.01) -> DataFrame:
+    """(factor, n_dates, ic_mean) of the factors whose mean IC over all dates with ``min_obs`` names is large enough in size."""
+    ics = rank_ic(panel, factors, forward, pairwise=True, min_obs=min_obs).filter(finite(F.col("ic")))
     found = ics.groupBy("factor").agg(F.count("ic").alias("n_dates"), F.avg("ic").alias("ic_mean"))
     return found.filter((F.col("n_dates") >= min_dates) & (F.abs("ic_mean") >= threshold))
 

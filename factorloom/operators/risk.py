@@ -21,15 +21,22 @@ COUNTRY = "country"
 
 @dataclass(frozen=True)
 class RiskModel:
-    """Names of the style columns and of the industry, and the model's parameters."""
+    """Names of the style columns and of the industry, and the model's parameters.
+
+    half_life: of the weights of covariances and specific risks; regime_half_life:
+    of the weights by which recent volatility is measured; caution: what corrected
+    roots of eigenvalues are multiplied by.
+    """
 
     styles: tuple[str, ...]
     industry: str = "industry"
     lookback: int = 52
-    half_life: float = 26.0
+    half_life: float = 52.0
     lags: int = 2
     simulations: int = 100
     seed: int = 42
+    regime_half_life: float = 26.0
+    caution: float = 1.2
 
 
 def exponential_weights(n: int, half_life: float) -> np.ndarray:
@@ -121,33 +128,45 @@ def returns_table(returns: DataFrame) -> pd.DataFrame:
 
 
 def newey_west(table: np.ndarray, weights: np.ndarray, lags: int) -> np.ndarray:
-    """Weighted covariance of demeaned rows, with lagged products under Bartlett's weights."""
-    cov = (table * weights[:, None]).T @ table
-    for lag in range(1, lags + 1):
-        if len(table) <= lag:
-            break
-        w = weights[lag:] / weights[lag:].sum()
-        cross = (table[lag:] * w[:, None]).T @ table[:-lag]
+    """Weighted covariance of demeaned rows, with lagged products under Bartlett's weights; a product has the weight of its later row."""
+    weighted = table * weights[:, None]
+    cov = weighted.T @ table
+    for lag in range(1, min(lags, len(table) - 1) + 1):
+        cross = weighted[lag:].T @ table[:-lag]
         cov = cov + (1 - lag / (lags + 1)) * (cross + cross.T)
     return cov
 
 
-def eigen_adjusted(cov: np.ndarray, n_dates: int, simulations: int, seed: int) -> np.ndarray:
-    """Eigenvalues corrected by the bias that simulated samples of the same length show; as it is with too few dates."""
-    k = len(cov)
-    if simulations <= 0 or n_dates < k + 5:
-        return cov
-    values, vectors = np.linalg.eigh(cov)
-    values = np.maximum(values, 1e-12)
+def eigenvalue_bias(values: np.ndarray, n_dates: int, simulations: int, seed: int) -> np.ndarray:
+    """Of eigenvalues in descending order the mean root of what samples of ``n_dates`` rows show over what is true.
+
+    Sample eigenvalues don't change when all rows are turned, so samples are
+    drawn along the eigenvectors: a row of normal numbers for each date, each
+    number scaled by the root of its eigenvalue.
+    """
     rng = np.random.default_rng(seed)
-    bias = np.zeros(k)
+    total = np.zeros(len(values))
     for _ in range(simulations):
-        sample = vectors @ (np.sqrt(values)[:, None] * rng.standard_normal((k, n_dates)))
-        own, turned = np.linalg.eigh(np.cov(sample))
-        real = np.einsum("ij,jk,ki->i", turned.T, cov, turned)
-        bias += np.sqrt(np.maximum(real, 1e-12) / np.maximum(own, 1e-12))
-    bias /= simulations
-    return (vectors * (values * (1.2 / np.maximum(bias, 0.1)) ** 2)) @ vectors.T
+        sample = rng.standard_normal((n_dates, len(values))) * np.sqrt(values)
+        shown = np.linalg.eigvalsh(np.atleast_2d(np.cov(sample, rowvar=False)))[::-1]
+        total += np.sqrt(np.maximum(shown, 1e-12) / values)
+    return total / simulations
+
+
+def eigen_adjusted(cov: np.ndarray, n_dates: int, simulations: int, seed: int, caution: float = 1.2) -> np.ndarray:
+    """Eigenvalues corrected by the bias that simulated samples of the same length show.
+
+    Large eigenvalues come out too large in samples and small ones too small, so
+    each is divided by the square of its bias (0.1 at least) and multiplied by
+    that of ``caution``. Without simulations, or with under five dates more than
+    factors, eigenvalues are only kept above 1e-12.
+    """
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = np.maximum(values[::-1], 1e-12), vectors[:, ::-1]
+    if simulations > 0 and n_dates >= len(cov) + 5:
+        values = values * (caution / np.maximum(eigenvalue_bias(values, n_dates, simulations, seed), 0.1)) ** 2
+    made = (vectors * values) @ vectors.T
+    return (made + made.T) / 2
 
 
 def regime_scaled(cov: np.ndarray, table: np.ndarray, half_life: float) -> np.ndarray:
@@ -158,13 +177,13 @@ def regime_scaled(cov: np.ndarray, table: np.ndarray, half_life: float) -> np.nd
 
 
 def factor_covariance(table: pd.DataFrame, model: RiskModel) -> pd.DataFrame:
-    """The covariance of factor returns: exponentially weighted, Newey-West, eigenvalues, volatility regime."""
+    """The covariance of factor returns: exponentially weighted, Newey-West, eigenvalues, volatility regime (of returns as they are, not less their mean)."""
     x = table.to_numpy()
     w = exponential_weights(len(x), model.half_life)
-    x = x - w @ x
-    cov = newey_west(x, w, model.lags)
-    cov = eigen_adjusted(cov, len(x), model.simulations, model.seed)
-    return pd.DataFrame(regime_scaled(cov, x, model.half_life), index=table.columns, columns=table.columns)
+    own = x - w @ x
+    cov = newey_west(own, w, model.lags)
+    cov = eigen_adjusted(cov, len(x), model.simulations, model.seed, model.caution)
+    return pd.DataFrame(regime_scaled(cov, x, model.regime_half_life), index=table.columns, columns=table.columns)
 
 
 def specific_risk(universe: DataFrame, returns: DataFrame, model: RiskModel, annual: bool = True, min_names: int = 30) -> DataFrame:

@@ -88,9 +88,12 @@ filled AS (
     SELECT t, n, m.date, names.factor, coalesce(ret, 0) AS x, pow(0.5, (n - 1 - t) / {base.RISK.half_life}) AS g
     FROM moments m CROSS JOIN names LEFT JOIN factor_returns f ON f.date = m.date AND f.factor = names.factor
 ),
-demeaned AS MATERIALIZED (SELECT t, n, factor, g, x - sum(g * x) OVER f / sum(g) OVER f AS x FROM filled WINDOW f AS (PARTITION BY factor)),
+demeaned AS MATERIALIZED (
+    SELECT t, n, factor, g / sum(g) OVER f AS g, x - sum(g * x) OVER f / sum(g) OVER f AS x, x AS ret, pow(0.5, (n - 1 - t) / {base.RISK.regime_half_life}) AS recent
+    FROM filled WINDOW f AS (PARTITION BY factor)
+),
 lagged AS (
-    SELECT a.factor AS a, b.factor AS b, a.t - b.t AS lag, sum(a.g * a.x * b.x) / sum(a.g) AS c
+    SELECT a.factor AS a, b.factor AS b, a.t - b.t AS lag, sum(a.g * a.x * b.x) AS c
     FROM demeaned a JOIN demeaned b ON b.t BETWEEN a.t - {base.RISK.lags} AND a.t GROUP BY ALL
 ),
 newey AS (
@@ -98,7 +101,7 @@ newey AS (
     FROM lagged p JOIN lagged q ON q.a = p.b AND q.b = p.a AND q.lag = p.lag GROUP BY p.a, p.b
 ),
 spread AS (SELECT a AS factor, greatest(c, 1e-12) AS v FROM newey WHERE a = b),
-regime AS (SELECT sum(g * m) / sum(g) AS k FROM (SELECT t, any_value(g) AS g, avg(x * x / v) AS m FROM demeaned d JOIN spread s ON s.factor = d.factor GROUP BY t)),
+regime AS (SELECT sum(g * m) / sum(g) AS k FROM (SELECT t, any_value(recent) AS g, avg(ret * ret / v) AS m FROM demeaned d JOIN spread s ON s.factor = d.factor GROUP BY t)),
 covariance AS MATERIALIZED (SELECT a, b, c * k AS covariance FROM newey, regime)
 """
 _SPECIFIC = f"""
@@ -304,18 +307,30 @@ def _crossed_sql() -> str:
     return rounded_sql(sql, ["value"], ["asset", "date", "factor"])
 
 
-def _library_crosses(spark: SparkSession, folder: str) -> DataFrame:
-    panel = sources.forward_returns(sources.weekly_panel(spark, folder))
-    return rounded(library.gate(panel, library.library(["crossed"])))
+def _library_gate(layers: list[str]) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        bars = sources.weekly_panel(spark, folder, returns=False)
+        return rounded(library.gate(bars, library.library(layers)))
+
+    return query
 
 
-def _library_sql() -> str:
-    made = library.library(["crossed"])
-    rows = _long_sql(oracle.factor_sql(base._FORWARD, ["asset", "date", "fwd_return"], made), [], list(made))
+def _library_sql(layers: list[str], at_once: int = 64) -> str:
+    """The gate over the panel's first hundred dates; each run of factors is a table of its own, unpivoted."""
+    made = library.library(layers)
+    names = list(made)
+    parts = [{n: made[n] for n in names[i : i + at_once]} for i in range(0, len(names), at_once)]
+    keys = ["asset", "date", "fwd_return"]
+    tables = [f"part{k} AS MATERIALIZED ({oracle.factor_sql('early', keys, part)})" for k, part in enumerate(parts)]
+    rows = " UNION ALL ".join(
+        f"SELECT asset, date, factor, value, fwd_return AS forward FROM (UNPIVOT part{k} ON COLUMNS(* EXCLUDE (asset, date, fwd_return)) INTO NAME factor VALUE value)"
+        for k in range(len(parts))
+    )
     sql = (
-        f"WITH made AS MATERIALIZED (SELECT * FROM {rows}) SELECT factor, count(ic) AS n_dates, avg(ic) AS ic_mean FROM ({base._ic_sql(True, 20, source='made')})"
-        f" WHERE ic IS NOT NULL AND date IN (SELECT date FROM (SELECT DISTINCT date FROM {base._PANEL}) ORDER BY date LIMIT 100)"
-        " GROUP BY factor HAVING count(ic) >= 10 AND abs(avg(ic)) >= 0.02"
+        f"WITH early AS MATERIALIZED (SELECT * FROM {base._FORWARD} WHERE date IN (SELECT date FROM (SELECT DISTINCT date FROM {base._PANEL}) ORDER BY date LIMIT 100)),"
+        f" {', '.join(tables)}, made AS MATERIALIZED ({rows})"
+        f" SELECT factor, count(ic) AS n_dates, avg(ic) AS ic_mean FROM ({base._ic_sql(True, 20, source='made')})"
+        " WHERE ic IS NOT NULL GROUP BY factor HAVING count(ic) >= 10 AND abs(avg(ic)) >= 0.02"
     )
     return rounded_sql(sql, ["ic_mean"], ["factor", "n_dates"])
 
@@ -413,7 +428,8 @@ def queries() -> dict[str, tuple[Query, str | None]]:
         ),
         "backtest_comparison": (lambda s, d: backtest.comparison(base.subjects(s, d), names), _COMPARISON),
         "cross_selected_long": (_crossed, _crossed_sql()),
-        "library_crosses": (_library_crosses, _library_sql()),
+        "library_crosses": (_library_gate(["crossed"]), _library_sql(["crossed"])),
+        "library_gate": (_library_gate(list(library.LAYERS)), _library_sql(list(library.LAYERS))),
         "cap_turnover": (_turnover, rounded_sql(_TURNOVER, ["turnover", "buys", "sells", "cost", "cost_bps"], ["date"], 4)),
         "weekly_resample_mean": (
             lambda s, d: rounded(sources.resample_weekly(sources.daily_event_panel(s, d), "close", "mean")),

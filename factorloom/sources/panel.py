@@ -26,10 +26,11 @@ def week_ending_friday(date: Column) -> Column:
     return F.next_day(F.date_sub(F.to_date(date), 1), "FRI")
 
 
-def bars(trades: DataFrame, asset: Column, date: Column, price: Column, size: Column, order: list[Column]) -> DataFrame:
-    """Bars of trades: one aggregation, which combines before its only shuffle.
+def bars(trades: DataFrame, asset: Column, date: Column, price: Column, size: Column, order: list[Column], returns: bool = True) -> DataFrame:
+    """Bars of trades: one aggregation, which combines before its only shuffle; with returns unless told.
 
-    order: what makes the order of an asset's trades within a bar; ties left by
+    Without returns nothing looks at other rows, so a filter by date or asset
+    reaches the trades. order: what makes the order of an asset's trades within a bar; ties left by
     it make open and close arbitrary. Trades without an asset, date or price
     are left out; without a size they count as none.
     """
@@ -48,7 +49,7 @@ def bars(trades: DataFrame, asset: Column, date: Column, price: Column, size: Co
         F.sum("n").alias("volume"),
         ratio(F.sum(F.col("p") * F.col("n")), F.sum("n")).alias("vwap"),
     )
-    return with_returns(found)
+    return with_returns(found) if returns else found
 
 
 def with_returns(panel: DataFrame, asset: str = "asset", date: str = "date") -> DataFrame:
@@ -68,8 +69,8 @@ def complete(panel: DataFrame, asset: str = "asset", date: str = "date") -> Data
     return with_returns(out, asset, date)
 
 
-def weekly_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Weekly bars of suppliers (assets) from order lines, with the supplier's nation as industry."""
+def weekly_panel(spark: SparkSession, folder: str, returns: bool = True) -> DataFrame:
+    """Weekly bars of suppliers (assets) from order lines; with returns unless told."""
     trades = read(spark, folder, "lineitem")
     found = bars(
         trades,
@@ -78,6 +79,7 @@ def weekly_panel(spark: SparkSession, folder: str) -> DataFrame:
         ratio(F.col("l_extendedprice"), F.col("l_quantity")),
         F.col("l_quantity"),
         [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")],
+        returns,
     )
     return found
 

@@ -156,6 +156,72 @@ def test_covariance_parts():
     np.testing.assert_allclose(risk.eigen_adjusted(np.eye(3), 5, 100, 1), np.eye(3))
 
 
+def sampling_bias(cov, n_dates, simulations, seed):
+    """Eigenvalues of samples in full coordinates over the true ones, largest first."""
+    values, vectors = np.linalg.eigh(cov)
+    order = np.argsort(-values)
+    values, vectors = values[order], vectors[:, order]
+    rng, ratios = np.random.default_rng(seed), []
+    for _ in range(simulations):
+        rows = []
+        for z in rng.standard_normal((n_dates, len(cov))):
+            rows.append(vectors @ (np.sqrt(values) * z))
+        rows = np.array(rows) - np.mean(rows, axis=0)
+        ratios.append(np.sqrt(np.sort(np.linalg.eigvalsh(rows.T @ rows / (n_dates - 1)))[::-1] / values))
+    return values, vectors, np.mean(ratios, axis=0)
+
+
+def test_eigenvalues_are_corrected_by_their_sampling_bias():
+    rng = np.random.default_rng(8)
+    spread = rng.standard_normal((10, 10))
+    cov = spread @ np.diag(0.1 * 1.7 ** np.arange(10)) @ spread.T
+    values, vectors, bias = sampling_bias(cov, 52, 40, 42)
+    np.testing.assert_allclose(risk.eigenvalue_bias(values, 52, 40, 42), bias, rtol=1e-12)
+    want = sum(v * (1.2 / max(b, 0.1)) ** 2 * np.outer(x, x) for v, b, x in zip(values, bias, vectors.T, strict=True))
+    np.testing.assert_allclose(risk.eigen_adjusted(cov, 52, 40, 42), want, rtol=0, atol=1e-12 * np.abs(want).max())
+    # samples spread eigenvalues, so the correction draws them together
+    assert bias[0] > 1 > bias[-1]
+    np.testing.assert_allclose(risk.eigen_adjusted(cov, 14, 40, 42), cov, atol=1e-12 * np.abs(cov).max())
+
+
+def test_covariance_and_decomposition_with_simulations(spark):
+    """The whole covariance from plain loops over dates, and a portfolio's decomposition by it."""
+    import pandas as pd
+
+    model = risk.RiskModel(styles=("size", "value"), lookback=30)
+    assert model.simulations == 100
+    rng = np.random.default_rng(3)
+    names = ["country", "industry:a", "size", "value"]
+    table = pd.DataFrame(rng.standard_normal((29, 4)) * [0.02, 0.01, 0.005, 0.001] + 0.002, columns=names)
+    x = table.to_numpy()
+    w = np.array([0.5 ** ((28 - t) / 52) for t in range(29)])
+    w = w / w.sum()
+    mean = sum(w[t] * x[t] for t in range(29))
+    y = x - mean
+    cov = sum(w[t] * np.outer(y[t], y[t]) for t in range(29))
+    for lag in (1, 2):
+        part = sum(w[t] * np.outer(y[t], y[t - lag]) for t in range(lag, 29))
+        cov = cov + (1 - lag / 3) * (part + part.T)
+    values, vectors, bias = sampling_bias(cov, 29, 100, 42)
+    cov = (vectors * (values * (1.2 / np.maximum(bias, 0.1)) ** 2)) @ vectors.T
+    recent = np.array([0.5 ** ((28 - t) / 26) for t in range(29)])
+    cov = cov * sum(r * np.mean(x[t] ** 2 / np.diag(cov)) for t, r in enumerate(recent / recent.sum()))
+    got = risk.factor_covariance(table, model)
+    np.testing.assert_allclose(got.to_numpy(), cov, rtol=0, atol=1e-12 * np.abs(cov).max())
+    rows = [(1, f"s{k}", "a", 10.0 + k, 0.01, float(k), 1.0 - k) for k in range(6)]
+    universe = spark.createDataFrame(rows, "date int, asset string, industry string, market_cap double, returns double, size double, value double")
+    held = spark.createDataFrame([(f"s{k}", (-1.0) ** k * (k + 1) / 7) for k in range(6)], "asset string, weight double")
+    specific = spark.createDataFrame([(f"s{k}", 0.1 + k / 100) for k in range(6)], "asset string, risk double")
+    found = risk.decompose(universe, held, got, specific, model, 1)
+    h = np.array([(-1.0) ** k * (k + 1) / 7 for k in range(6)])
+    own = np.array([h.sum(), h.sum(), h @ np.arange(6.0), h @ (1.0 - np.arange(6.0))])
+    alone = float(((h * (0.1 + np.arange(6) / 100)) ** 2).sum())
+    assert found["factor_variance"] == pytest.approx(own @ cov @ own, rel=1e-9)
+    assert found["specific_variance"] == pytest.approx(alone) and found["total_risk"] ** 2 == pytest.approx(own @ cov @ own + alone)
+    for k, n in enumerate(names):
+        assert found["share"][n] == pytest.approx(own[k] * (cov @ own)[k] / (own @ cov @ own + alone), rel=1e-8)
+
+
 def test_miner_finds_what_is_planted(spark):
     rows = panel(spark, 30, 40, gaps=0.0)
     planted = rows.withColumn("fwd_return", F.col("high") / F.col("low") - 1)
