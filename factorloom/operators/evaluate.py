@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.columns import TIE_DIGITS, average_rank, ratio, safe_correlation
+from factorloom.sources.stored import shared_folder
 
 
 def finite(x: Column) -> Column:
@@ -33,6 +34,7 @@ def rank_ic(
     min_obs: int = 1,
     finite_only: bool = False,
     keep_empty: bool = False,
+    spread: bool = False,
 ) -> DataFrame:
     """(date, factor, n, ic): of each date the correlation of a factor's ranks with the forward return's.
 
@@ -40,7 +42,9 @@ def rank_ic(
     among its own values and the return among all returns of the date; with
     ``pairwise`` both are ranked among the rows that have both. Dates with fewer
     than ``min_obs`` pairs are left out, or have a NULL if ``keep_empty``.
-    All factors go through one shuffle by date and factor.
+    All factors go through one shuffle by date and factor, a task holding a
+    date's values of a factor; with ``spread``, for dates of so many names that
+    none could, ranks come from ``spread_rank``.
     """
     rows = long_factors(panel, factors, forward).filter(F.col("forward").isNotNull())
     if finite_only:
@@ -48,9 +52,14 @@ def rank_ic(
     if pairwise:
         rows = rows.filter(F.col("value").isNotNull())
     day = Window.partitionBy("date", "factor")
-    ranked = rows.select(
-        "date", "factor", average_rank(F.col("value"), day).alias("x"), average_rank(F.col("forward"), day).alias("y")
-    )
+    if spread:
+        both = ["date", "factor"]
+        known = spread_rank(rows.filter(F.col("value").isNotNull()), both, "value", "x").select(*both, "asset", "x")
+        ranked = spread_rank(rows, both, "forward", "y").join(known, [*both, "asset"], "left").select(*both, "x", "y")
+    else:
+        ranked = rows.select(
+            "date", "factor", average_rank(F.col("value"), day).alias("x"), average_rank(F.col("forward"), day).alias("y")
+        )
     ic = F.round(safe_correlation(F.col("x"), F.col("y")), TIE_DIGITS)
     n = F.count("x")
     found = ranked.groupBy("date", "factor").agg(n.alias("n"), ic.alias("ic"))
@@ -248,28 +257,41 @@ def factor_report(panel: DataFrame, factors: list[str], forward: str = "fwd_retu
 
 
 def spearman(rows: DataFrame, x: str, y: str, min_rows: int = 10) -> float | None:
-    """The rank correlation over all rows; None under ``min_rows`` of them.
+    """The rank correlation over all rows; None under ``min_rows`` of them."""
+    found = spearman_by(rows.withColumn("_all", F.lit(0)), ["_all"], x, y, min_rows).first()
+    return found["ic"] if found is not None else None
+
+
+def spearman_by(rows: DataFrame, keys: list[str], x: str, y: str, min_rows: int = 10) -> DataFrame:
+    """(keys, n, ic): the rank correlation of each group, NULL under ``min_rows`` rows; a group may hold any share of all rows."""
+    pairs = rows.filter(finite(F.col(x)) & finite(F.col(y))).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ranked = spread_rank(spread_rank(pairs, keys, "_x", "_rx"), keys, "_y", "_ry")
+    found = ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_correlation(F.col("_rx"), F.col("_ry")).alias("ic"))
+    return found.withColumn("ic", F.when(F.col("n") >= min_rows, F.col("ic")))
+
+
+def spread_rank(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """``rows`` whose keys and column are known, with the average rank of the column in its group, no matter how large groups are.
 
-    Global ranks without a window over everything: counts of each distinct
-    value are ranged over partitions, and running totals go from one partition
-    to the next as one number each.
+    A window over a group would take all its rows to one task. Here the counts
+    of distinct values are ranged over partitions by group and value, and
+    running totals go from one partition to the next as a number for each group
+    that both hold.
     """
-    pairs = rows.filter(finite(F.col(x)) & finite(F.col(y))).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = global_rank(global_rank(pairs, "x", "rx"), "y", "ry")
-    r = ranked.agg(F.count("*").alias("n"), safe_correlation(F.col("rx"), F.col("ry")).alias("c")).first()
-    return r["c"] if r["n"] >= min_rows else None
-
-
-def global_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """``rows`` with the average rank of a column over all of them, by a range partitioning of its distinct values."""
-    counts = rows.groupBy(column).agg(F.count("*").alias("_n"))
-    parts = counts.repartitionByRange(F.col(column)).withColumn("_part", F.spark_partition_id()).cache()
-    sizes = parts.groupBy("_part").agg(F.sum("_n").alias("_size"))
-    # one row a partition, so its window is as small as the number of partitions
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = parts.join(F.broadcast(starts), "_part").select(column, (F.col("_start") + before + (F.col("_n") + 1) / 2).alias(name))
-    return rows.join(ranks, column)
+    whole = F.lit(True)
+    for c in [*keys, column]:
+        whole = whole & F.col(c).isNotNull()
+    counts = rows.filter(whole).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    shared_folder(rows.sparkSession)
+    parts = counts.repartitionByRange(*[F.col(c) for c in (*keys, column)]).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = parts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))  # as many as groups and partitions together
+    order = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(order), F.lit(0))).drop("_size")
+    inside = Window.partitionBy("_part", *keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    ranks = parts.withColumn("_before", before).join(starts, [*keys, "_part"])
+    ranks = ranks.select(*keys, column, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(ranks, [*keys, column])
 
 
 def correlation_matrix(pairs: DataFrame, factors: list[str]) -> np.ndarray:
