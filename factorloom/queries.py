@@ -590,7 +590,7 @@ def _rolling_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 def _model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     makers = {k: (lambda f, t, k=k: ensemble.get_model(k, f, t)) for k in ("ridge", "elastic_net")}
-    found = rolling.compare(subjects(spark, folder), makers, _FEATURES, n=2, min_names=5)
+    found = rolling.compare(subjects(spark, folder), makers, _FEATURES, min_names=5)
     return rounded(found.drop("seconds"))
 
 
@@ -610,8 +610,10 @@ def _model_queries() -> dict[str, tuple[Query, str | None]]:
         "rolling_splits": (_rolling_splits, sql),
         "ridge": (_model_query("ridge"), None),
         "elastic_net": (_model_query("elastic_net"), None),
-        "gbt": (_model_query("boosted", rounds=5, depth=3), None),
-        "double_ensemble": (_model_query("double_ensemble", models=2, rounds=3), None),
+        "gbt": (_model_query("boosted", rounds=20), None),
+        "gbt_levels": (_model_query("boosted_levels", rounds=20), None),
+        "gbt_symmetric": (_model_query("boosted_symmetric", rounds=20), None),
+        "double_ensemble": (_model_query("double_ensemble", models=3, rounds=10), None),
         "stacking": (_ensemble_query(ensemble.StackingEnsemble), None),
         "blending": (_ensemble_query(ensemble.BlendingEnsemble), None),
         "model_comparison": (_model_comparison, None),
