@@ -26,6 +26,8 @@ HOT_SAMPLE = 32
 PAIRED = 8
 #: Members of a cell in a block, those of them that are compared with a block at a time, and how many of the nearest a member gives in a round.
 BLOCK, TOGETHER, NEAREST = 4096, 256, 2
+#: Bytes of details that a task holds of one side of a group of pairs, about.
+HELD = 8 << 20
 
 
 def components(links: DataFrame, limit: int = 200) -> DataFrame:
@@ -97,10 +99,18 @@ class Nearness:
 
     bits_sql: str
     bits: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    #: Bits come in pairs that count as one.
+    paired: bool = False
 
+    def far_sql(self) -> str:
+        """SQL for the number of differing bits of a_s and b_s; only of the words that both have, if one is longer."""
+        differing = "(x ^ y | shiftrightunsigned(x ^ y, 1)) & 6148914691236517205L" if self.paired else "x ^ y"
+        return f"aggregate(zip_with(a_s, b_s, (x, y) -> coalesce(bit_count({differing}), 0)), 0, (n, x) -> n + x)"
 
-#: SQL for the number of differing bits of a_s and b_s; only of the words that both have, if one is longer.
-FAR = "aggregate(zip_with(a_s, b_s, (x, y) -> coalesce(bit_count(x ^ y), 0)), 0, (n, x) -> n + x)"
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of differing bits of words."""
+        x = a ^ b
+        return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555) if self.paired else x)
 
 
 def folded(sketches: np.ndarray, words: int) -> np.ndarray:
@@ -120,7 +130,7 @@ def near_in_block(
         some = slice(at, at + TOGETHER)
         far = np.zeros((len(u[some]), len(b[0])), dtype=np.int32)
         for w in range(sketches[0].shape[1]):
-            far += np.bitwise_count(sketches[0][some, w, None] ^ sketches[1][None, :, w])
+            far += nearness.far(sketches[0][some, w, None], sketches[1][None, :, w])
         fits = (far <= nearness.bits(size[some, None], b[2][None, :])) & (root[some, None] != b[1][None, :])
         i, j = np.nonzero(fits)
         if nearest and len(i):
@@ -133,6 +143,30 @@ def near_in_block(
             yield u[some][i], b[0][j], far[i, j]
 
 
+def _streamed(rows: DataFrame, keys: list[str], of: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``of`` makes of the rows of each group, which come sorted, one group after the other; keys are longs and ints, the last tells the rows of a group apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            key = [table.column(n).to_numpy() for n in keys[:-1]]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+            edges = [0, *cuts.tolist(), len(table)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                part = table.slice(start, end - start)
+                if held and any(held[-1].column(n)[0] != part.column(n)[0] for n in keys[:-1]):
+                    yield from of(pa.concat_tables(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from of(pa.concat_tables(held))
+
+    return rows.repartition(*keys[:-1]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def _apart(rows: DataFrame, nearness: Nearness, nearest: int) -> DataFrame:
     """(a, b, far) of pairs in a cell of ``rows`` (cell, u, root, size, s, top, j, others) that may be links between different roots.
 
@@ -149,7 +183,7 @@ def _apart(rows: DataFrame, nearness: Nearness, nearest: int) -> DataFrame:
     a = own.filter("root <> top").withColumn("_i", at("_l", 3)).withColumn("_k", places("_r")).withColumn("_side", F.lit(0))
     b = own.withColumn("_k", at("_r", 5)).withColumn("_i", places("_l")).withColumn("_side", F.lit(1))
     names = ["cell", "_i", "_k", "_side", "u", "root", "size", "s"]
-    dealt = a.select(*names).unionAll(b.select(*names)).repartition("cell", "_i", "_k").sortWithinPartitions("cell", "_i", "_k", "_side")
+    dealt = a.select(*names).unionAll(b.select(*names))
 
     def compared(block: pa.Table) -> Iterator[pa.RecordBatch]:
         column = lambda name: block.column(name).to_numpy()
@@ -174,36 +208,60 @@ def _apart(rows: DataFrame, nearness: Nearness, nearest: int) -> DataFrame:
                 for found in near_in_block(*sides, tuple(sketches), nearness, nearest):
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in (found[0], found[1], found[2].astype(np.int32))], ["a", "b", "far"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            key = [table.column(n).to_numpy() for n in ("cell", "_i", "_k")]
-            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
-            edges = [0, *cuts.tolist(), len(table)]
-            for start, end in zip(edges, edges[1:], strict=False):
-                part = table.slice(start, end - start)
-                if held and any(held[-1].column(n)[0] != part.column(n)[0] for n in ("cell", "_i", "_k")):
-                    yield from compared(pa.concat_tables(held))
-                    held = []
-                if len(part):
-                    held.append(part)
-        if held:
-            yield from compared(pa.concat_tables(held))
-
-    found = dealt.mapInArrow(run, "a long, b long, far int")
+    found = _streamed(dealt, ["cell", "_i", "_k", "_side"], compared, "a long, b long, far int")
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far"))
 
 
+def verified(pairs: DataFrame, known: DataFrame, similar: Callable[[object, object], bool]) -> DataFrame:
+    """The pairs (a, b) whose details (u, x, bytes) are similar.
+
+    Pairs that hang together are dealt to one group, in which a node's details
+    are sent once, however many pairs it has there. The group is told by the
+    node with the least hash among a node and its partners; large groups are cut
+    into blocks of nodes by another hash, and pairs into those of two blocks.
+    """
+    pairs = stored(pairs)
+    ends = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = F.min(F.struct(F.xxhash64("b").alias("h"), "b"))
+    own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"))
+    heads = durable(ends.groupBy("a").agg(first.alias("m"), F.count("*").alias("k")).select("a", F.least("m", own)["b"].alias("g"), "k"))
+    sizes = known.select("u", "bytes")
+    with_group = join_hot(pairs, heads, "a", "k").join(light(heads.select(F.col("a").alias("b"), F.col("g").alias("h")), heads.count()), "b")
+    dealt = durable(with_group.select(F.least("g", "h").alias("g"), "a", "b"))
+    members = dealt.select("g", F.explode(F.array("a", "b")).alias("u")).distinct()
+    held = members.join(sizes, "u").groupBy("g").agg(F.sum("bytes").alias("n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / HELD)).cast("int")
+    groups = durable(held.select("g", parts.alias("parts")).join(dealt.groupBy("g").agg(F.count("*").alias("k")), "g"))
+    at = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.col("parts")).cast("int")
+    cut = durable(join_hot(dealt, groups, "g", "k").select("g", at("a").alias("_i"), at("b").alias("_j"), "a", "b"))
+    places = durable(cut.select("g", "_i", "_j", F.explode(F.array("a", "b")).alias("u")).distinct())
+    kind = known.schema["x"].dataType.simpleString()
+    texts = known.select("u", "x").join(light(places, places.count()), "u").select("g", "_i", "_j", F.lit(0).alias("_side"), "u", F.lit(None).cast("long").alias("b"), "x")
+    asked = cut.select("g", "_i", "_j", F.lit(1).alias("_side"), F.col("a").alias("u"), "b", F.lit(None).cast(kind).alias("x"))
+
+    def judged(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, u = group.column("_side").to_numpy(), group.column("u").to_numpy()
+        x = group.column("x").combine_chunks()
+        plain = (lambda k: x[k].values.to_numpy()) if pa.types.is_list(x.type) else (lambda k: x[k].as_py())
+        own = {int(u[k]): plain(k) for k in np.flatnonzero(side == 0).tolist()}
+        rows = np.flatnonzero(side == 1)
+        a, b = u[rows], group.column("b").fill_null(0).to_numpy()[rows]  # as doubles, which nulls would make them, ids lose digits
+        good = np.array([similar(own[p], own[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+
+    return stored(_streamed(texts.unionAll(asked), ["g", "_i", "_j", "_side"], judged, "a long, b long"))
+
+
 def linked_in_cells(
-    cells: DataFrame, info: DataFrame, nearness: Nearness, details: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column]
+    cells: DataFrame, info: DataFrame, nearness: Nearness, details: Callable[[DataFrame], DataFrame], similar: Callable[[object, object], bool]
 ) -> DataFrame:
     """(u, root) of the nodes that links between members of a cell connect; nodes are longs.
 
     cells: (cell, u), rows may be repeated; info: (u, size, s), a row or equal
     rows for each u, s being a sketch of 64-bit words; nearness: what every
-    link fulfils; details: (u, x) of some nodes (u); similar: whether two x make
-    a link.
+    link fulfils; details: (u, x, bytes) of some nodes (u), x an array or a
+    string of about so many bytes; similar: whether two x, an array as NumPy's,
+    make a link.
 
     In a small cell all members are candidates for links. In a large one all
     are with its centre, the member that shares most with others. Of these,
@@ -216,10 +274,9 @@ def linked_in_cells(
     between two members of a cell, while those within a component, which may be
     as many as the square of its members, needn't be looked at.
     """
-    columns = ["size", "s"]
-    near = f"({FAR}) <= ({nearness.bits_sql})"
+    columns, far = ["size", "s"], nearness.far_sql()
     # a longer sketch folds to the shorter, which the SQL doesn't do: then sizes decide alone
-    near = f"CASE WHEN size(a_s) = size(b_s) THEN {near} ELSE ({nearness.bits_sql}) >= 0 END"
+    near = f"CASE WHEN size(a_s) = size(b_s) THEN ({far}) <= ({nearness.bits_sql}) ELSE ({nearness.bits_sql}) >= 0 END"
     own = Window.partitionBy("u")
     about = info.select("u", *columns).dropDuplicates(["u"])
     members = stored(_shared(cells).join(about, "u").withColumn("company", F.sum("n").over(own)))
@@ -230,65 +287,61 @@ def linked_in_cells(
     centres = big.groupBy("cell").agg(F.max(F.struct("company", "u", *columns)).alias("centre"), F.count("*").alias("k"))
     stars = join_hot(big, durable(centres), "cell", "k").select(row.alias("b"), F.struct(*[F.col(f"centre.{c}") for c in ("u", *columns)]).alias("a"))
     flat = small.unionByName(stars).select(*[F.col(f"{p}.{c}").alias(p if c == "u" else f"{p}_{c}") for p in ("a", "b") for c in ("u", *columns)])
-    flat = flat.filter(f"a <> b AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr(FAR).cast("int").alias("far"))
+    flat = flat.filter(f"a <> b AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr(far).cast("int").alias("far"))
     candidates = stored(flat.distinct())
     needed = candidates.select(F.explode(F.array("a", "b")).alias("u")).unionAll(big.select("u")).distinct()
     known = stored(details(durable(needed)))
+    roots = stored(candidates.limit(0).select(F.col("a").alias("u"), F.col("b").alias("root")))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs
-        for end, name in (("a", "x"), ("b", "y")):  # an end may be in any part of all pairs
-            degrees = pairs.groupBy(end).agg(F.count("*").alias("k"))
-            both = join_hot(both, known.toDF(end, name).join(degrees, end), end, "k", narrow=False)
-        return stored(both.filter(similar(F.col("x"), F.col("y"))).select("a", "b"))
-
-    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    def rooted(pairs: DataFrame) -> DataFrame:
         """``pairs`` between different roots (a_root, b_root)."""
         n = roots.count()
         for p in ("a", "b"):
             pairs = pairs.join(light(roots.toDF(p, f"{p}_root"), n), p, "left").withColumn(f"{p}_root", F.coalesce(f"{p}_root", p))
         return pairs.filter("a_root <> b_root")
 
-    def joined(links: DataFrame) -> DataFrame:
-        return stored(components(links).toDF("u", "root"))
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of cells with several roots; top: the root of most; others: how many have another root."""
-        each = stored(rows.groupBy("cell", "root").agg(F.count("*").alias("m")))
-        found = each.groupBy("cell").agg(F.sum("m").alias("j"), F.count("*").alias("r"), F.max(F.struct("m", "root")).alias("top"))
-        found = found.filter("r > 1").select("cell", "j", F.col("top.root").alias("top"), (F.col("j") - F.col("top.m")).alias("others"))
-        return join_hot(rows, durable(found.withColumn("_n", F.col("j"))), "cell", "_n")
+    def merged(links: DataFrame) -> DataFrame:
+        """The roots with more links; only roots that these connect are gone through again."""
+        moved = durable(components(rooted(links).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).toDF("root", "_to"))
+        n = moved.count()
+        before = roots.join(light(moved, n), "root", "left").select("u", F.coalesce("_to", "root").alias("root"))
+        alone = moved.join(light(roots.select(F.col("u").alias("root")), roots.count()), "root", "left_anti").select(F.col("root").alias("u"), F.col("_to").alias("root"))
+        return stored(before.unionAll(alone))
 
     ends = candidates.select("a", "b", "far").unionAll(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
     first = ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x"))
-    first = stored(first.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
-    looked_at = first
-    links = linked(first)
-    roots = joined(links)
+    looked_at = stored(first.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
+    roots = merged(verified(looked_at, known, similar))
     between = F.struct("far", "a", "b")
-    nearest = rooted(candidates, roots).groupBy(F.least("a_root", "b_root").alias("p"), F.greatest("a_root", "b_root").alias("q")).agg(F.min(between).alias("x"))
-    for pairs in (lambda: nearest.select("x.a", "x.b"), lambda: rooted(candidates, roots).select("a", "b")):
-        new = stored(pairs().join(looked_at, ["a", "b"], "left_anti"))
+    for nearest_only in (True, False):
+        new = rooted(candidates)
+        if nearest_only:
+            new = new.groupBy(F.least("a_root", "b_root").alias("p"), F.greatest("a_root", "b_root").alias("q")).agg(F.min(between).alias("x")).select("x.a", "x.b")
+        new = stored(new.select("a", "b").join(looked_at, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             looked_at = looked_at.unionAll(new)
-            links = stored(links.unionAll(linked(new)))
-            roots = joined(links)
-    if big.isEmpty():
-        return roots
-    every = False
-    while True:
-        rows = stored(big.select("cell", "u", *columns).join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u")))
-        new = _apart(mixed(rows), nearness, 0 if every else NEAREST).select("a", "b")
-        new = stored(new.join(looked_at, ["a", "b"], "left_anti"))
-        found = None if new.isEmpty() else linked(new)
-        if found is not None:
-            looked_at = looked_at.unionAll(new)
-        if found is not None and not found.isEmpty():
-            links = stored(links.unionAll(found))
-            roots = joined(links)
+            roots = merged(verified(new, known, similar))
+    rows = big.select("cell", "u", *columns)
+    every = big.isEmpty()
+    while not every:
+        placed = rows.join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u"))
+        each = durable(placed.groupBy("cell", "root").agg(F.count("*").alias("m")))
+        tops = each.groupBy("cell").agg(F.sum("m").alias("j"), F.count("*").alias("r"), F.max(F.struct("m", "root")).alias("top"))
+        # top: the root of most of a cell's members; others: how many have another root
+        tops = tops.filter("r > 1").select("cell", "j", F.col("top.root").alias("top"), (F.col("j") - F.col("top.m")).alias("others"))
+        mixed = stored(join_hot(placed, durable(tops.withColumn("_n", F.col("j"))), "cell", "_n"))
+        if mixed.isEmpty():
+            break
+        rows = mixed.select("cell", "u", *columns)  # cells of one component stay so
+        while True:
+            new = stored(_apart(mixed, nearness, 0 if every else NEAREST).select("a", "b").join(looked_at, ["a", "b"], "left_anti"))
+            found = None if new.isEmpty() else verified(new, known, similar)
+            if found is not None:
+                looked_at = looked_at.unionAll(new)
+                if not found.isEmpty():
+                    roots = merged(found)
+                    break
             if every:
-                return roots
-        elif every:
-            return roots
-        else:
+                break
             every = True
+    return roots

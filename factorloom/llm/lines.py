@@ -263,17 +263,6 @@ def similar(a: str, b: str, least: float) -> bool:
     return edits(x, y, most) <= most
 
 
-def verified(left: Column, right: Column, least: float) -> Column:
-    """``similar`` of two columns of normalised lines."""
-
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([similar(x, y, least) for x, y in zip(a, b, strict=True)], dtype="bool")
-
-    return run(left, right)
-
-
 def line_groups(rows: DataFrame, marks: str, row: str, order: list[Column], text: Column, least: float) -> DataFrame:
     """(h, keep_row, keep_pos, n) for each hash of more than one occurrence or with near copies: which occurrence stays, and how many there are.
 
@@ -307,11 +296,11 @@ def line_groups(rows: DataFrame, marks: str, row: str, order: list[Column], text
             .select(F.split("_text", "\n", -1).alias("_lines"), F.explode("_at").alias("x"))
             .select("x.u", F.get("_lines", F.col("x._pos")).alias("line"))
         )
-        return texts.select("u", _normal(F.col("line")).alias("line"))
+        return texts.select("u", _normal(F.col("line")).alias("line")).select("u", "line", F.length("line").alias("bytes")).toDF("u", "x", "bytes")
 
     cells = marked.select("u", F.explode("keys").alias("cell"))
     sketched = marked.select("u", F.col("w").alias("size"), "s")
-    roots = durable(linked_in_cells(cells, sketched, nearness, line_texts, lambda x, y: verified(x, y, least)).toDF("u", "root"))
+    roots = durable(linked_in_cells(cells, sketched, nearness, line_texts, lambda x, y: similar(x, y, least)).toDF("u", "root"))
     grouped = distinct.join(light(roots, roots.count()), "u", "left").filter("root is not null or n > 1")
     grouped = durable(grouped.select("h", "n", "first", F.coalesce("root", "u").alias("root")))
     keep = durable(grouped.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("k")))

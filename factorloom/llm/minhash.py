@@ -4,10 +4,10 @@ A document's set holds its distinct shingles. Of each of ``HASHES`` hash
 functions the least value over the set is taken; two sets agree on one with the
 probability of their Jaccard similarity. Runs of ``ROWS`` minima are bands, and
 documents that agree on a band are candidates. Of each minimum only the lowest
-bit is kept, so a signature is a few 64-bit numbers. Bits of different minima
-agree by chance half of the time, so the share of differing bits is half of what
-the similarity lacks to 1; candidates whose bits differ in more than links do
-are left out, the others are verified on their full sets.
+two bits are kept, so a signature is a few 64-bit numbers. Those of different
+minima agree by chance a quarter of the time, so the share of differing ones is
+three quarters of what the similarity lacks to 1; candidates that differ in more
+than links do are left out, the others are verified on their full sets.
 
 Equal sets are one by a 128-bit hash. What is linked in cells that very many
 documents share is found without looking at all pairs; see ``components``.
@@ -20,13 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import durable, join_hot, light, quoted, slices, stored, worker_memory
 from factorloom.llm.components import Nearness, linked_in_cells
 
-#: Minima, of which each gives the signature a bit; bands, and minima in a band. Sets of similarity 0.8 share no band once in ten thousand.
+#: Minima, of which each gives the signature two bits; bands, and minima in a band. Sets of similarity 0.8 share no band once in ten thousand.
 HASHES, BANDS, ROWS = 256, 24, 5
 #: Standard deviations of the estimate that a link's may be off: four in a hundred thousand links are.
 DEVIATIONS = 4.0
@@ -82,8 +82,9 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def low_bits(least: np.ndarray) -> np.ndarray:
-    """The signature: a bit of each minimum, packed into 64-bit numbers. The bits come from a mixture, as those of products run alike."""
-    return np.packbits((_mixed(least) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    """The signature: two bits of each minimum, packed into 64-bit numbers. The bits come from a mixture, as those of products run alike."""
+    two = (_mixed(least) & np.uint64(3)).reshape(-1, 32)
+    return np.bitwise_or.reduce(two << (2 * np.arange(32, dtype=np.uint64)), axis=1).view(np.int64)
 
 
 def bands(least: np.ndarray) -> np.ndarray:
@@ -95,15 +96,20 @@ def bands(least: np.ndarray) -> np.ndarray:
     return found.view(np.int64)
 
 
-def differing_bits(least: float) -> int:
-    """How many bits of signatures may differ for sets of similarity ``least``, with room for chance."""
-    p = (1 - least) / 2
+def differing(least: float) -> int:
+    """How many minima's bits may differ for sets of similarity ``least``, with room for chance."""
+    p = (1 - least) * 3 / 4
     return int(np.ceil(HASHES * p + DEVIATIONS * np.sqrt(HASHES * p * (1 - p))))
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """The similarity that two signatures tell, without what bits agree by chance."""
-    return 1 - 2 * float(np.bitwise_count((a ^ b).view(np.uint64)).sum()) / HASHES
+    """The similarity that two signatures tell, without what agrees by chance."""
+    return 1 - 4 / 3 * float(apart(a, b)) / HASHES
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """How many minima's bits differ."""
+    return int(Nearness("", differing, True).far(a.view(np.uint64), b.view(np.uint64)).sum())
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
@@ -124,7 +130,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                         own_bands.append(bands(least))
             has = np.append(0, np.cumsum(np.array(sizes) > 0)).astype(np.int32)
             lists = lambda found, width: pa.ListArray.from_arrays(pa.array(has * np.int32(width)), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found])))
-            arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists(signs, HASHES // 64), lists(own_bands, BANDS)]
+            arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists(signs, HASHES // 32), lists(own_bands, BANDS)]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "digest", "size", "s", "bands"])
 
     return docs.mapInArrow(run, f"row long, id {kind}, digest binary, size long, s array<long>, bands array<long>")
@@ -174,18 +180,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def details(needed: DataFrame) -> DataFrame:
         texts = rows.select(F.col("row").alias("u"), "text").join(light(needed, needed.count()), "u", "left_semi")
-        return _sets(texts, words)
+        return _sets(texts, words).withColumn("bytes", 8 * F.size("x"))
 
-    def similar(x: Column, y: Column) -> Column:
-        both = F.size(F.array_intersect(x, y)).cast("long")
-        return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
-    most = differing_bits(percent / 100)
+    most = differing(percent / 100)
 
     def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(100 * np.minimum(a, b) >= percent * np.maximum(a, b), most, -1)
 
-    nearness = Nearness(f"if(100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size), {most}, -1)", bits)
+    nearness = Nearness(f"if(100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size), {most}, -1)", bits, True)
     cells = heads.select("u", F.explode("bands").alias("cell"))
     roots = linked_in_cells(cells, heads.select("u", "size", "s"), nearness, details, similar)
     roots = durable(roots.toDF("u", "root"))

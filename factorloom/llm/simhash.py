@@ -291,11 +291,11 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def details(needed: DataFrame) -> DataFrame:
         needed = needed.withColumnRenamed("u", "row")
-        return _shingled(texts.join(light(needed, needed.count()), "row", "left_semi"), words, None).select(F.col("row").alias("u"), F.col("hashes").alias("x"))
+        return _shingled(texts.join(light(needed, needed.count()), "row", "left_semi"), words, None).select(F.col("row").alias("u"), F.col("hashes").alias("x"), (8 * F.size("hashes")).alias("bytes"))
 
-    def similar(x: Column, y: Column) -> Column:
-        both = F.size(F.array_intersect(x, y))
-        return both >= least * (F.size(x) + F.size(y) - both) - 1e-9
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= least * (len(x) + len(y) - both) - 1e-9
 
     most = f"if(least(a_size, b_size) < {SMALL}, {DIFFERING_SMALL}, {DIFFERING})"
 

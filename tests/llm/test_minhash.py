@@ -91,7 +91,7 @@ def test_pairs_at_the_least_similarity_share_a_band_and_pass_the_estimate():
             split = rng.randrange(len(gone) + 1)
             a, b = (minhash.minima(np.sort(np.delete(union, x))) for x in (gone[:split], gone[split:]))
             shared += bool(set(minhash.bands(a).tolist()) & set(minhash.bands(b).tolist()))
-            passed += int(np.bitwise_count((minhash.low_bits(a) ^ minhash.low_bits(b)).view(np.uint64)).sum()) <= minhash.differing_bits(0.8)
+            passed += minhash.apart(minhash.low_bits(a), minhash.low_bits(b)) <= minhash.differing(0.8)
         assert shared >= 299 and passed >= 299, (n, shared, passed)
 
 
