@@ -19,10 +19,13 @@ def equal_width_group(share: Column, day: WindowSpec, groups: int) -> Column:
     return F.when(share.isNotNull(), sum(above, F.lit(1)))
 
 
-def grouped(panel: DataFrame, factors: list[str], forward: str = "fwd_return", groups: int = 5, min_obs: int | None = None) -> DataFrame:
-    """(date, asset, factor, forward, grp) of the rows with both value and return, on dates with at least 5 names a group."""
+def grouped(panel: DataFrame, factors: list[str], forward: str | None = "fwd_return", groups: int = 5, min_obs: int | None = None) -> DataFrame:
+    """(date, asset, factor, forward, grp) of the rows with both value and return, on dates with at least 5 names a group; a value is enough if ``forward`` is None."""
     least = groups * 5 if min_obs is None else min_obs
-    rows = long_factors(panel, factors, forward).filter(F.col("value").isNotNull() & F.col("forward").isNotNull())
+    if forward is None:
+        rows = long_factors(panel.withColumn("_none", F.lit(None).cast("double")), factors, "_none").filter(F.col("value").isNotNull())
+    else:
+        rows = long_factors(panel, factors, forward).filter(F.col("value").isNotNull() & F.col("forward").isNotNull())
     day = Window.partitionBy("date", "factor")
     shares = rows.withColumn("share", average_rank(F.col("value"), day) / F.count("value").over(day))
     marked = shares.withColumn("n", F.count("value").over(day)).withColumn("grp", equal_width_group(F.col("share"), day, groups))

@@ -60,7 +60,6 @@ def priced(sums: DataFrame, value: float, costs: Costs) -> DataFrame:
 def group_turnover(
     panel: DataFrame,
     factors: list[str],
-    forward: str = "fwd_return",
     groups: int = 5,
     value: float = 1e8,
     costs: Costs = Costs(),
@@ -68,12 +67,16 @@ def group_turnover(
 ) -> DataFrame:
     """(factor, grp, date, turnover, buys, sells, cost, cost_bps) of equally weighted groups against their last date.
 
-    A weight on a date and the negative of the weight on the date before are
+    Groups are of all names with a value, whether or not a return follows. Group
+    0 holds the highest group and owes the lowest. A weight on a date and the negative of the weight on the date before are
     rows of one aggregation, so there's no join of the panel with itself.
     """
-    marked = grouped(panel, factors, forward, groups, min_obs)
     size = F.count(F.lit(1)).over(Window.partitionBy("factor", "grp", "date"))
-    weights = marked.select("factor", "grp", "date", "asset", (1 / size).alias("w"))
+    marked = grouped(panel, factors, None, groups, min_obs).withColumn("_size", size)
+    own = F.struct(F.col("grp").alias("grp"), (1 / F.col("_size")).alias("w"))
+    both = F.struct(F.lit(0).alias("grp"), (F.when(F.col("grp") == groups, 1.0).when(F.col("grp") == 1, -1.0) / F.col("_size")).alias("w"))
+    weights = marked.select("factor", "date", "asset", F.explode(F.array(own, both)).alias("x")).select("factor", "x.grp", "date", "asset", "x.w")
+    weights = weights.filter(F.col("w").isNotNull())
     dates = marked.select("factor", "date").distinct()
     later = dates.withColumn("next", F.lead("date").over(Window.partitionBy("factor").orderBy("date")))
     held = weights.join(later, ["factor", "date"])

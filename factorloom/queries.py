@@ -200,13 +200,14 @@ def _summary_sql(ics: str, population: bool = False) -> str:
 
 
 _STATS = ["ic_mean", "ic_std", "abs_ic", "positive", "strong", "icir", "t_stat"]
-_GROUPED = f"""
+_GROUPED_BY = f"""
 (SELECT date, asset, factor, forward, 1 + {' + '.join(f"CASE WHEN share > {i} * ((hi - lo) / 5) + lo THEN 1 ELSE 0 END" for i in range(1, 5))} AS grp
  FROM (SELECT *, min(share) OVER d AS lo, max(share) OVER d AS hi, count(*) OVER d AS n
        FROM (SELECT *, ({oracle.average_rank('value', 'date, factor')}) / count(value) OVER (PARTITION BY date, factor) AS share
-             FROM {_LONG} WHERE value IS NOT NULL AND forward IS NOT NULL)
+             FROM {_LONG} WHERE value IS NOT NULL AND KNOWN)
        WINDOW d AS (PARTITION BY date, factor)) WHERE n >= 25)
 """
+_GROUPED, _HELD = _GROUPED_BY.replace("KNOWN", "forward IS NOT NULL"), _GROUPED_BY.replace("KNOWN", "true")
 _GROUP_RETURNS = f"""
 (SELECT *, coalesce(G5 - G1, 0) AS LS FROM (
     SELECT factor, date, {', '.join(f"avg(forward) FILTER (grp = {g}) AS G{g}" for g in range(1, 6))}
@@ -377,7 +378,8 @@ def _weights_sql(method: str) -> str:
 
 
 _TURNOVER = f"""
-(WITH held AS (SELECT factor, grp, date, asset, 1.0 / count(*) OVER (PARTITION BY factor, grp, date) AS w FROM {_GROUPED}),
+(WITH groups_ AS (SELECT factor, grp, date, asset, 1.0 / count(*) OVER (PARTITION BY factor, grp, date) AS w FROM {_HELD}),
+ held AS (SELECT * FROM groups_ UNION ALL SELECT factor, 0 AS grp, date, asset, CASE WHEN grp = 5 THEN w ELSE -w END FROM groups_ WHERE grp IN (1, 5)),
  days AS (SELECT factor, date, lag(date) OVER (PARTITION BY factor ORDER BY date) AS prev FROM (SELECT DISTINCT factor, date FROM held)),
  moves AS (
     SELECT h.factor, grp, h.date, asset, w FROM held h

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factorloom import queries as base
 from factorloom.operators import backtest, combine, costs, evaluate, expand, risk, style
-from factorloom.plans import library, oracle
+from factorloom.plans import library, oracle, runs
 from factorloom.plans.graph import compile_factors, field
 from factorloom.sources import panel as sources
 from factorloom.sources import universe as universes
@@ -335,6 +335,112 @@ def _library_sql(layers: list[str], at_once: int = 64) -> str:
     return rounded_sql(sql, ["ic_mean"], ["factor", "n_dates"])
 
 
+#: The layers of the research queries; ``library_gate`` has all five.
+RESEARCHED = ("alphas", "expanded", "crossed")
+
+
+def _research(models: bool) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        bars = sources.weekly_panel(spark, folder, returns=False)
+        with runs.research_run(bars, RESEARCHED, models=None if models else {}, min_names=5) as run:
+            if models:
+                return rounded(run.steps["models"].drop("seconds"))
+            rows = [tuple(r) for r in run.steps["top"].collect()]  # as many as the table has places
+            return rounded(spark.createDataFrame(rows, run.steps["top"].schema))
+
+    return query
+
+
+def _research_sql(at_once: int = 64, most: int = 500, k: int = 20) -> str:
+    """The factors that the gate lets through, the first so many in the library's order, and of those the highest ICIRs over all dates."""
+    made = library.library(RESEARCHED)
+    names = list(made)
+    parts = [{n: made[n] for n in names[i : i + at_once]} for i in range(0, len(names), at_once)]
+    keys = ["asset", "date", "fwd_return"]
+    tables = [f"part{i} AS MATERIALIZED ({oracle.factor_sql('whole', keys, part)})" for i, part in enumerate(parts)]
+    rows = " UNION ALL ".join(
+        f"SELECT asset, date, factor, value, fwd_return AS forward FROM (UNPIVOT part{i} ON COLUMNS(* EXCLUDE (asset, date, fwd_return)) INTO NAME factor VALUE value)"
+        for i in range(len(parts))
+    )
+    places = ", ".join(f"('{n}', {i})" for i, n in enumerate(names))
+    early = f"(SELECT date FROM (SELECT DISTINCT date FROM {base._PANEL}) ORDER BY date LIMIT 100)"
+    sql = f"""
+    WITH whole AS MATERIALIZED (SELECT * FROM {base._FORWARD}), {', '.join(tables)}, made AS MATERIALIZED ({rows}),
+    ics AS MATERIALIZED ({base._ic_sql(True, 20, source='made')}),
+    strong AS (
+        SELECT factor FROM ics JOIN (VALUES {places}) v(name, place) ON name = factor WHERE ic IS NOT NULL AND date IN {early}
+        GROUP BY factor, place HAVING count(ic) >= 10 AND abs(avg(ic)) >= 0.02 ORDER BY place LIMIT {most}
+    )
+    SELECT * FROM ({base._summary_sql('SELECT * FROM ics WHERE n >= 30 AND factor IN (SELECT factor FROM strong)', True)}) WHERE n_dates > 10
+    ORDER BY icir DESC NULLS LAST, factor LIMIT {k}
+    """
+    return rounded_sql(sql, base._STATS, ["factor", "n_dates"])
+
+
+def _backtest(spark: SparkSession, folder: str) -> DataFrame:
+    with runs.backtest_run(base.subjects(spark, folder), list(base.SUBJECTS)) as run:
+        rows = [tuple(r) for r in run.table().collect()]  # a row for each factor, group or method and measure
+    return rounded(spark.createDataFrame(rows, "step string, item string, measure string, value double"), 4)
+
+
+def _backtest_sql() -> str:
+    names = list(base.SUBJECTS)
+    days = f"(SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS d FROM (SELECT DISTINCT date FROM {base._PANEL})) WHERE d > 62)"
+    weights = {"ic": base._weights_sql("ic"), "icir": base._weights_sql("icir"), "max_icir": _max_icir_sql()}
+    combined = {
+        "equal": f"SELECT date, asset, sum(coalesce(value, 0)) / {len(names)} AS value, any_value(forward) AS forward FROM {base._LONG} GROUP BY date, asset HAVING count(value) > 0"
+    }
+    for m, w in weights.items():
+        combined[m] = (
+            f"SELECT l.date, asset, sum(weight * coalesce(value, 0)) AS value, any_value(forward) AS forward FROM {base._LONG} l JOIN {w} w"
+            f" ON w.date = l.date AND w.factor = l.factor WHERE l.date IN {days} GROUP BY l.date, asset"
+        )
+    rows = " UNION ALL ".join(f"SELECT date, asset, '{m}' AS factor, value, forward FROM ({q})" for m, q in combined.items())
+    mean = [f"SELECT 'equal' AS method, unnest({names}) AS factor, {1 / len(names)} AS weight"]
+    mean += [f"SELECT '{m}', factor, avg(weight) FROM {w} WHERE date IN {days} GROUP BY factor" for m, w in weights.items()]
+    ends = " UNION ALL ".join(f"SELECT factor, '{g}' AS grp, {g} AS r FROM returns_" for g in base._LAYERS)
+    long = lambda step, item, measures, source: " UNION ALL ".join(
+        f"SELECT '{step}' AS step, {item} AS item, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM {source}" for m in measures
+    )
+    sql = f"""
+    WITH returns_ AS MATERIALIZED (SELECT * FROM {base._GROUP_RETURNS}),
+    performance AS MATERIALIZED (
+        SELECT *, coalesce(annual_return / nullif(annual_vol, 0), 0) AS sharpe FROM (
+            SELECT factor, grp, count(r) AS n_dates, avg(r) * 52 AS annual_return, stddev_samp(r) * sqrt(52.0) AS annual_vol FROM ({ends}) GROUP BY factor, grp)
+    ),
+    turnover AS MATERIALIZED (
+        SELECT factor, grp, avg(turnover) AS mean_turnover, avg(cost_bps) AS mean_cost_bps, avg(cost_bps) * 52 / 1e4 AS annual_cost FROM {base._TURNOVER} GROUP BY factor, grp
+    ),
+    stats AS MATERIALIZED ({base._summary_sql(base._ic_sql(True, 30))}),
+    mixed AS MATERIALIZED ({rows}),
+    combinations AS MATERIALIZED (
+        SELECT *, CASE WHEN ic_std > 0 THEN ic_mean / ic_std ELSE 0 END AS icir FROM (
+            SELECT factor AS method, count(ic) AS n_dates, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS positive
+            FROM ({base._ic_sql(True, 30, source='mixed')}) WHERE ic IS NOT NULL GROUP BY factor)
+    ),
+    coverages AS (SELECT factor, count(value) / count(*) AS coverage FROM {base._LONG} GROUP BY factor),
+    best AS (SELECT * FROM ({' UNION ALL '.join(mean)}) WHERE method = (SELECT method FROM combinations ORDER BY abs(icir) DESC LIMIT 1)),
+    net AS (
+        SELECT p.factor, annual_return AS gross, annual_cost, annual_return - coalesce(annual_cost, 0) AS net
+        FROM (SELECT * FROM performance WHERE grp = 'LS') p LEFT JOIN (SELECT * FROM turnover WHERE grp = 0) t ON t.factor = p.factor
+    )
+    {long('coverage', 'factor', ['coverage'], 'coverages')}
+    UNION ALL {long('ics', 'factor', ['n_dates', *base._STATS], 'stats')}
+    UNION ALL {long('groups', "factor || ' ' || grp", ['n_dates', 'annual_return', 'annual_vol', 'sharpe'], 'performance')}
+    UNION ALL {long('combinations', 'method', ['n_dates', 'ic_mean', 'ic_std', 'positive', 'icir'], 'combinations')}
+    UNION ALL {long('weights', "method || ' ' || factor", ['weight'], 'best')}
+    UNION ALL {long('turnover', "factor || ' ' || grp", ['mean_turnover', 'mean_cost_bps', 'annual_cost'], 'turnover')}
+    UNION ALL {long('net', 'factor', ['gross', 'annual_cost', 'net'], 'net')}
+    """
+    return rounded_sql(sql, ["value"], ["step", "item", "measure"], 4)
+
+
+def _risk(spark: SparkSession, folder: str) -> DataFrame:
+    with runs.risk_run(base.styled(spark, folder), base.RISK) as run:
+        rows = [tuple(r) for r in run.table().collect()]
+    return rounded(spark.createDataFrame(rows, "step string, item string, measure string, value double"), 4)
+
+
 def _turnover(spark: SparkSession, folder: str) -> DataFrame:
     """From each date's weights by capitalisation to the next date's."""
     rows = sources.weekly_universe(spark, folder).filter(F.col("market_cap").isNotNull())
@@ -429,6 +535,10 @@ def queries() -> dict[str, tuple[Query, str | None]]:
         "backtest_comparison": (lambda s, d: backtest.comparison(base.subjects(s, d), names), _COMPARISON),
         "cross_selected_long": (_crossed, _crossed_sql()),
         "library_crosses": (_library_gate(["crossed"]), _library_sql(["crossed"])),
+        "research_top": (_research(False), _research_sql()),
+        "research_models": (_research(True), None),
+        "backtest_run": (_backtest, _backtest_sql()),
+        "risk_run": (_risk, None),
         "library_gate": (_library_gate(list(library.LAYERS)), _library_sql(list(library.LAYERS))),
         "cap_turnover": (_turnover, rounded_sql(_TURNOVER, ["turnover", "buys", "sells", "cost", "cost_bps"], ["date"], 4)),
         "weekly_resample_mean": (

@@ -66,13 +66,19 @@ def test_turnover_and_costs(spark, rows):
     each = 5e7 * (0.0003 + 0.1 * 0.5**0.5)
     assert r["cost"] == pytest.approx(2 * each + 5e7 * 0.0005)
     got = costs.group_turnover(rows, ["f"]).toPandas()
-    marked = backtest.grouped(rows, ["f"]).toPandas()
+    marked = backtest.grouped(rows, ["f"], None).toPandas()  # whether or not a return follows
     dates = sorted(marked["date"].unique())
     for a, b in list(zip(dates, dates[1:]))[:5]:
         one, two = (marked[(marked["date"] == d) & (marked["grp"] == 5)].set_index("asset")["factor"] for d in (a, b))
         w = [pd.Series(1 / max(1, len(x)), index=x.index) for x in (one, two)]
         want = w[1].sub(w[0], fill_value=0).abs().sum() / 2
         assert got[(got["date"] == b) & (got["grp"] == 5)]["turnover"].iloc[0] == pytest.approx(want)
+        held = []
+        for d in (a, b):  # the highest group less the lowest
+            day = marked[marked["date"] == d].set_index("asset")["grp"]
+            held.append((day == 5) / (day == 5).sum() - (day == 1) / (day == 1).sum())
+        want = held[1].astype(float).sub(held[0].astype(float), fill_value=0).abs().sum() / 2
+        assert got[(got["date"] == b) & (got["grp"] == 0)]["turnover"].iloc[0] == pytest.approx(want)
 
 
 def test_weights_have_size_one(rows):

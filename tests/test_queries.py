@@ -13,7 +13,7 @@ QUERIES, SQL = queries.queries(), queries.oracle_sql()
 #: A cross-section of the smallest tables is too small for a risk model, or has no single solution.
 MANY_NAMES = {
     "factor_returns_wls", "factor_cov_plain", "specific_risk", "specific_risk_distribution", "pure_portfolio_last",
-    "pure_portfolio_largest", "risk_decomposition_plain", "combine_max_icir", "combine_summary", "library_crosses", "library_gate",
+    "pure_portfolio_largest", "risk_decomposition_plain", "combine_max_icir", "combine_summary", "library_crosses", "library_gate", "research_top", "backtest_run",
 }
 
 
