@@ -5,15 +5,17 @@ to their ancestors, less with each step up, discounted by the share of their
 text that stands in links. The container with most points is kept, with those
 of its siblings that look like parts of the article. Menus, forms, adverts,
 notices and the like don't count, unless a page has its paragraphs in no other
-place: some pages are one form, or have a wrapper named like a sidebar. Pages
-are independent rows, so the work is one Arrow pass over the table; one page's
+place: some pages are one form, or have a wrapper named like a sidebar. Beside
+it stay headings, short sections, lists, tables and captions of the same
+container, unless they are links. Pages are independent rows, so the work is one Arrow pass over the table; one page's
 tree is all that is held, and time is linear in its length.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,7 +54,8 @@ _CLUTTER = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "notice notices comment comments disqus reply replies sidebar widget widgets nav navbar navigation menu breadcrumb "
     "breadcrumbs footer masthead topbar toolbar share sharing social related recommended subscribe subscription "
-    "newsletter signup login popup modal overlay pagination pager skip".split()
+    "newsletter signup login popup modal overlay pagination pager skip commentlist commentslist commentform commentbox "
+    "commentarea adsbygoogle adsense adslot adbox adunit sharethis addthis".split()
 )
 _NEUTRAL = set(
     "a area bar block bottom box button buttons col column container content form group header holder icons inner item "
@@ -61,6 +64,9 @@ _NEUTRAL = set(
 )
 _GOOD = set("article content main post body entry text story blog page hentry prose".split())
 _PARAGRAPH = set("p pre blockquote td li dd figcaption h1 h2 h3 h4 h5 h6".split())
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: What may be a part of an article beside its best container.
+_PART = set("p pre blockquote section div ul ol dl table figure figcaption details address dd li".split())
 _CONTAINER = set("article main section div td blockquote body html table ul ol dl".split())
 _START = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 
@@ -105,7 +111,8 @@ def _tree(html: str) -> _Node:
     """The elements and texts of a page, without skipped elements."""
     root = _Node("html", frozenset(), _MAY, None)
     here, dropped, pos, end = root, [], 0, len(html)  # dropped: open elements from a dropped one on
-    opened: Counter[str] = Counter()  # how many elements of a kind are open
+    path = [root]  # the open elements, each in the one before
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # where in the path those of a kind stand
 
     def text(raw: str) -> None:
         if raw and not dropped:
@@ -114,7 +121,8 @@ def _tree(html: str) -> _Node:
     def leave(to: _Node) -> None:
         nonlocal here
         while here is not to:
-            opened[here.tag] -= 1
+            opened[here.tag].pop()
+            path.pop()
             here = here.parent
 
     while pos < end:
@@ -173,13 +181,10 @@ def _tree(html: str) -> _Node:
             continue
         kinds, stops = _ENDS.get(tag, (None, None))
         if kinds and any(opened[k] for k in kinds):
-            node, last = here, None
-            while node is not None and node.tag not in stops:
-                if node.tag in kinds:
-                    last = node
-                node = node.parent
+            stop = max((opened[k][-1] for k in stops if opened[k]), default=0)
+            last = min((own[k] for own in map(opened.__getitem__, kinds) if (k := bisect_right(own, stop)) < len(own)), default=None)
             if last is not None:
-                leave(last.parent)
+                leave(path[last].parent)
         if tag in _VOID:
             if tag in ("br", "hr"):
                 here.kids.append("\n")
@@ -188,12 +193,13 @@ def _tree(html: str) -> _Node:
             if not attrs.endswith("/"):
                 dropped.append(tag)
             continue
-        aside, names = _clutter(tag, attrs, opened["article"] > 0)
+        aside, names = _clutter(tag, attrs, bool(opened["article"]))
         node = _Node(tag, names, aside, here)
         here.kids.append(node)
         if not attrs.endswith("/") or tag in _BLOCK:
             here = node
-            opened[tag] += 1
+            opened[tag].append(len(path))
+            path.append(node)
     return root
 
 
@@ -318,27 +324,37 @@ def main_text(html: str) -> str:
         best = best.parent
     kept = [best]
     if best.parent is not None and best.tag not in ("main", "html"):
-        kept = [k for k in best.parent.kids if isinstance(k, _Node) and (k is best or _belongs(k, best, most))]
+        kids = [k for k in best.parent.kids if isinstance(k, _Node)]
+        parts = [k for k, node in enumerate(kids) if node is best or _belongs(node, best, most)]
+        # what stands between two parts of an article is one too, unless it is links
+        kept = [node for k, node in enumerate(kids) if k in parts or parts[0] < k < parts[-1] and node.text_len > 2 * node.linked]
     return " ".join("".join(t for k in kept for t in _plain(k)).split())
 
 
 def _belongs(node: _Node, best: _Node, most: float) -> bool:
-    """Whether a sibling of the best container is part of the article."""
+    """Whether a sibling of the best container is part of the article.
+
+    Beside a container that isn't the page itself, all that isn't links is:
+    short sections, lists, tables and captions too.
+    """
     if not node.text_len:
         return False
     links = node.linked / node.text_len
     if node.tag in _CONTAINER and node.score >= max(10.0, most / 5) and links < 0.3:
         return True
-    if node.tag in ("h1", "h2") and best.tag not in ("article", "main"):
-        return links < 0.5
-    return node.tag in ("p", "pre", "blockquote") and links < 0.25
+    inside = best.parent.parent is not None and best.tag not in ("article", "main")
+    if node.tag in _HEADINGS:
+        return links < 0.5 and (inside or node.tag in ("h1", "h2") and best.tag not in ("article", "main"))
+    return (inside or node.tag in ("p", "pre", "blockquote")) and node.tag in _PART and links < 0.25
 
 
 def main_texts(html: Column) -> Column:
     """The main text of each page of a column of html.
 
     Null html is as empty, and an empty page's text is empty; the result is
-    never null. A page of any length is one row's work.
+    never null. A page of any length is one row's work. Of containers with
+    equally many points the first is the best; repeated rows have equal texts,
+    and of an empty table there are none.
     """
 
     @F.pandas_udf("string")

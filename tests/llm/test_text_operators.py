@@ -48,6 +48,7 @@ REAL = {
     "comment-free": f"<body>{MENU}<div class='entry-content comment-free'>{BODY}</div><div class=comments><p>First, a comment, and another.</p></div></body>",
     "skip-lazy": f"<body>{MENU}<div class='skip-lazy'>{BODY}</div></body>",
     "named like a sidebar": f"<body>{MENU}<div class='sidebar-content'>{BODY}</div><footer><p>Copyright, all of it.</p></footer></body>",
+    "commentlist": f"<body>{MENU}<div class=post><div>{BODY}</div><ol class=commentlist><li><p>First, a comment, and another, of some length.</p></li></ol><div class=adsbygoogle>Buy this, now, and that.</div></div></body>",
     "short last paragraph": f"<body>{MENU}<div><div>{BODY}</div><p>The end.</p></div></body>",
 }
 
@@ -58,6 +59,33 @@ def test_main_text_of_real_html(name):
     assert html_text.main_text(REAL[name]) == want
 
 
+LAST = {
+    "section": "<section><h2>Conclusion</h2>It ends here.</section>",
+    "div": "<div>It ends here.</div>",
+    "list": "<ul><li>one thing</li><li>another thing</li></ul>",
+    "table": "<table><tr><td>cell</td><td>other cell</td></tr></table>",
+    "figure": "<figure><img src=x><figcaption>What it shows.</figcaption></figure>",
+}
+
+
+@pytest.mark.parametrize("name", list(LAST))
+def test_parts_beside_the_container_stay(name):
+    page = f"<html><body>{MENU}<div id=content><h3>Before it</h3><div>{BODY}</div>{LAST[name]}<div>{BODY}</div>{LAST[name]}</div><footer>c</footer></body>"
+    part = " ".join(re.sub("<[^>]*>", " ", LAST[name]).split())
+    assert html_text.main_text(page) == f"Before it {' '.join(ARTICLE)} {part} {' '.join(ARTICLE)} {part}"
+
+
+def test_time_is_linear_in_lists():
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        began = time.time()
+        html_text.main_text("<ul>" + "<span>" * n + "<li>item, of it" * n)
+        took.append(time.time() - began)
+    assert took[1] < 10 * max(took[0], 0.05)
+
+
 def test_only_links_and_notices_have_no_text():
     assert html_text.main_text("<body><footer><p>Copyright, all rights, reserved, as ever.</p></footer></body>") == ""
     assert html_text.main_text(f"<body>{MENU}<div hidden><p>Nobody, ever, sees, this text of some length.</p></div></body>") == ""
