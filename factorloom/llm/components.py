@@ -26,6 +26,8 @@ HOT_SAMPLE = 32
 PAIRED = 8
 #: Members of a cell in a block, those of them that are compared with a block at a time, and how many of the nearest a member gives in a round.
 BLOCK, TOGETHER, NEAREST = 4096, 256, 2
+#: Members in a block whose details are there too.
+LINKED = 1024
 #: Bytes of details that a task holds of one side of a group of pairs, about.
 HELD = 8 << 20
 
@@ -167,49 +169,99 @@ def _streamed(rows: DataFrame, keys: list[str], of: Callable[[pa.Table], Iterato
     return rows.repartition(*keys[:-1]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _apart(rows: DataFrame, nearness: Nearness, nearest: int) -> DataFrame:
-    """(a, b, far) of pairs in a cell of ``rows`` (cell, u, root, size, s, top, j, others) that may be links between different roots.
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """(cell, _i, _k, _side, u, root, size, s): rows of cells (with top, j, others) in pairs of blocks.
 
-    Each member whose root isn't the cell's commonest is compared with all of
-    the cell. A cell's members are dealt into blocks by a hash, so a task only
-    ever holds two blocks of one cell; pairs of blocks are as many as a cell's
-    blocks times those of its members outside the commonest root.
+    Side 0 holds the members whose root isn't the cell's commonest, side 1 all
+    members. They are dealt into blocks by a hash, so a task only ever holds two
+    blocks of one cell; pairs of blocks are as many as a cell's blocks times
+    those of its members outside the commonest root.
     """
-    left = F.greatest(F.lit(1), F.ceil(F.col("others") / BLOCK)).cast("int")
-    right = F.ceil(F.col("j") / BLOCK).cast("int")
+    left = F.greatest(F.lit(1), F.ceil(F.col("others") / block)).cast("int")
+    right = F.ceil(F.col("j") / block).cast("int")
     own = rows.withColumns({"_l": left, "_r": right})
     places = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n, seed: F.pmod(F.xxhash64("u", F.lit(seed)), F.col(n)).cast("int")
     a = own.filter("root <> top").withColumn("_i", at("_l", 3)).withColumn("_k", places("_r")).withColumn("_side", F.lit(0))
     b = own.withColumn("_k", at("_r", 5)).withColumn("_i", places("_l")).withColumn("_side", F.lit(1))
     names = ["cell", "_i", "_k", "_side", "u", "root", "size", "s"]
-    dealt = a.select(*names).unionAll(b.select(*names))
+    return a.select(*names).unionAll(b.select(*names))
+
+
+def _near_pairs(block: pa.Table, nearness: Nearness, nearest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``near_in_block`` of the two sides of a pair of blocks, whose sketches may be of several lengths."""
+    column = lambda name: block.column(name).to_numpy()
+    side, u, root, size = column("_side"), column("u"), column("root"), column("size").astype(np.int64)
+    lists = block.column("s").combine_chunks()
+    widths = lists.value_lengths().to_numpy()
+    words = lists.flatten().to_numpy().view(np.uint64)
+    ends = np.cumsum(widths)
+    kinds = np.unique(widths)
+    for x in kinds:
+        for y in kinds:
+            picks, sketches = [], []
+            for which, kind in ((0, x), (1, y)):
+                rows = np.flatnonzero((side == which) & (widths == kind))
+                picks.append(rows)
+                sketches.append(folded(words[(ends[rows] - kind)[:, None] + np.arange(kind)[None, :]], int(min(x, y))))
+            if len(picks[0]) and len(picks[1]):
+                yield from near_in_block(*[(u[r], root[r], size[r]) for r in picks], tuple(sketches), nearness, nearest)
+
+
+def _apart(rows: DataFrame, nearness: Nearness) -> DataFrame:
+    """(a, b) of the nearest pairs in a cell that may be links between roots, some for each member outside the cell's commonest root."""
 
     def compared(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        column = lambda name: block.column(name).to_numpy()
-        side, u, root, size = column("_side"), column("u"), column("root"), column("size").astype(np.int64)
-        lists = block.column("s").combine_chunks()
-        widths = lists.value_lengths().to_numpy()
-        words = lists.flatten().to_numpy().view(np.uint64)
-        ends = np.cumsum(widths)
-        kinds = np.unique(widths)
-        for x in kinds:
-            for y in kinds:
-                width = int(min(x, y))
-                picks, sketches = [], []
-                for which, kind in ((0, x), (1, y)):
-                    rows = np.flatnonzero((side == which) & (widths == kind))
-                    picks.append(rows)
-                    at = (ends[rows] - kind)[:, None] + np.arange(kind)[None, :]
-                    sketches.append(folded(words[at], width))
-                if not len(picks[0]) or not len(picks[1]):
-                    continue
-                sides = [(u[r], root[r], size[r]) for r in picks]
-                for found in near_in_block(*sides, tuple(sketches), nearness, nearest):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (found[0], found[1], found[2].astype(np.int32))], ["a", "b", "far"])
-
-    found = _streamed(dealt, ["cell", "_i", "_k", "_side"], compared, "a long, b long, far int")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far"))
+        for a, b, _ in _near_pairs(block, nearness, NEAREST):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return _streamed(_dealt(rows, BLOCK), ["cell", "_i", "_k", "_side"], compared, "a long, b long").distinct()
+
+
+def _own_details(x: pa.Array) -> Callable[[int], object]:
+    return (lambda k: x[k].values.to_numpy()) if pa.types.is_list(x.type) else (lambda k: x[k].as_py())
+
+
+def _linked_apart(rows: DataFrame, known: DataFrame, nearness: Nearness, similar: Callable[[object, object], bool]) -> DataFrame:
+    """(a, b) of links between roots in a cell: of each member outside the commonest root the nearest partner in a block that it is linked with.
+
+    All pairs that may be links are looked at where their blocks are, the
+    nearest first, and only links leave the task. A pair that shares several
+    cells is looked at in the first of them; rows have all their cells.
+    """
+    dealt = _dealt(rows, LINKED).join(rows.select("u", "cells").dropDuplicates(["u"]).join(known.select("u", "x"), "u"), "u")
+
+    def compared(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        u, of = block.column("u").to_numpy(), _own_details(block.column("x").combine_chunks())
+        where = dict(zip(u.tolist(), range(len(u)), strict=True))
+        lists, cell = block.column("cells").combine_chunks(), block.column("cell")[0].as_py()
+        lengths = lists.value_lengths().to_numpy()
+        known_by = np.arange(lengths.max(initial=1))[None, :] < lengths[:, None]
+        cells = np.zeros(known_by.shape, dtype=np.int64)
+        cells[known_by] = lists.flatten().to_numpy()
+
+        def first_met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether this cell is the least that two members share."""
+            out = np.zeros(len(a), dtype=bool)
+            for at in range(0, len(a), 20_000):
+                p, q = a[at : at + 20_000], b[at : at + 20_000]
+                shared = ((cells[p][:, :, None] == cells[q][:, None, :]) & known_by[q][:, None, :]).any(axis=2) & known_by[p]
+                out[at : at + 20_000] = np.where(shared, cells[p], np.iinfo(np.int64).max).min(axis=1) == cell
+            return out
+
+        for a, b, far in _near_pairs(block, nearness, 0):
+            at = [np.fromiter((where[x] for x in ids.tolist()), dtype=np.int64, count=len(ids)) for ids in (a, b)]
+            here = first_met(*at)
+            a, b, far = a[here], b[here], far[here]
+            order = np.lexsort((far, a))
+            links, done = [], None
+            for p, q in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                if p != done and similar(of(where[p]), of(where[q])):
+                    links.append((min(p, q), max(p, q)))
+                    done = p
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _streamed(dealt, ["cell", "_i", "_k", "_side"], compared, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, known: DataFrame, similar: Callable[[object, object], bool]) -> DataFrame:
@@ -241,9 +293,8 @@ def verified(pairs: DataFrame, known: DataFrame, similar: Callable[[object, obje
 
     def judged(group: pa.Table) -> Iterator[pa.RecordBatch]:
         side, u = group.column("_side").to_numpy(), group.column("u").to_numpy()
-        x = group.column("x").combine_chunks()
-        plain = (lambda k: x[k].values.to_numpy()) if pa.types.is_list(x.type) else (lambda k: x[k].as_py())
-        own = {int(u[k]): plain(k) for k in np.flatnonzero(side == 0).tolist()}
+        of = _own_details(group.column("x").combine_chunks())
+        own = {int(u[k]): of(k) for k in np.flatnonzero(side == 0).tolist()}
         rows = np.flatnonzero(side == 1)
         a, b = u[rows], group.column("b").fill_null(0).to_numpy()[rows]  # as doubles, which nulls would make them, ids lose digits
         good = np.array([similar(own[p], own[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
@@ -270,9 +321,10 @@ def linked_in_cells(
     Then, in large cells with several components, each member outside the
     commonest looks for the nearest members of other components in the whole
     cell, round after round as long as that finds links; at last all pairs
-    between components that may be links are looked at. So no link is left out
-    between two members of a cell, while those within a component, which may be
-    as many as the square of its members, needn't be looked at.
+    between components that may be links are looked at, block by block, until
+    that finds none. So no link is left out between two members of a cell, while
+    those within a component, which may be as many as the square of its members,
+    needn't be looked at, and pairs that are no links needn't leave their task.
     """
     columns, far = ["size", "s"], nearness.far_sql()
     # a longer sketch folds to the shorter, which the SQL doesn't do: then sizes decide alone
@@ -321,9 +373,8 @@ def linked_in_cells(
         if not new.isEmpty():
             looked_at = looked_at.unionAll(new)
             roots = merged(verified(new, known, similar))
-    rows = big.select("cell", "u", *columns)
-    every = big.isEmpty()
-    while not every:
+    rows, every = stored(big.select("cell", "u", *columns, F.collect_list("cell").over(own).alias("cells"))), False
+    while not big.isEmpty():
         placed = rows.join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u"))
         each = durable(placed.groupBy("cell", "root").agg(F.count("*").alias("m")))
         tops = each.groupBy("cell").agg(F.sum("m").alias("j"), F.count("*").alias("r"), F.max(F.struct("m", "root")).alias("top"))
@@ -332,16 +383,15 @@ def linked_in_cells(
         mixed = stored(join_hot(placed, durable(tops.withColumn("_n", F.col("j"))), "cell", "_n"))
         if mixed.isEmpty():
             break
-        rows = mixed.select("cell", "u", *columns)  # cells of one component stay so
-        while True:
-            new = stored(_apart(mixed, nearness, 0 if every else NEAREST).select("a", "b").join(looked_at, ["a", "b"], "left_anti"))
+        rows = mixed.select("cell", "u", *columns, "cells")  # cells of one component stay so
+        if not every:
+            new = stored(_apart(mixed, nearness).join(looked_at, ["a", "b"], "left_anti"))
             found = None if new.isEmpty() else verified(new, known, similar)
-            if found is not None:
-                looked_at = looked_at.unionAll(new)
-                if not found.isEmpty():
-                    roots = merged(found)
-                    break
-            if every:
+            looked_at = looked_at.unionAll(new)
+            every = found is None or found.isEmpty()
+        if every:
+            found = stored(_linked_apart(mixed, known, nearness, similar))
+            if found.isEmpty():
                 break
-            every = True
+        roots = merged(found)
     return roots

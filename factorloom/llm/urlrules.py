@@ -27,6 +27,10 @@ from factorloom.llm.common import fresh, quoted
 _OTHER = 0
 
 
+#: So many texts or fewer are taken one by one.
+FEW = 4
+
+
 @dataclass(frozen=True)
 class Rule:
     """A wildcard rule over canonical URLs. name: shown in results; weight: the fitting rule with most weight wins, the first of equals."""
@@ -95,6 +99,14 @@ class Automaton:
             table[ord(c)] = k
         return table[np.minimum(points, len(table) - 1)], np.array([len(t) for t in texts], dtype=np.int64)
 
+    def _finish(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The state after the rest of one text."""
+        moves, stays = ([int.from_bytes(row.astype("<u8").tobytes(), "little") for row in table] for table in (self.move, self.stay))
+        x = int.from_bytes(state.astype("<u8").tobytes(), "little")
+        for c in codes.tolist():
+            x = x << 1 & moves[c] | x & stays[c]
+        return np.frombuffer(x.to_bytes(8 * self.words, "little"), dtype="<u8")
+
     def winners(self, texts: list[str]) -> np.ndarray:
         """Of each canonical URL the number of the rule that wins, -1 if none fits."""
         codes, sizes = self._codes(texts)
@@ -105,6 +117,10 @@ class Automaton:
         top = np.uint64(63)
         for pos in range(int(sizes.max(initial=0))):
             live = int(np.searchsorted(-sorted_sizes, -pos, side="left"))
+            if live <= FEW:  # what is left of a few long ones goes on one by one, the masks as whole numbers
+                for k in range(live):
+                    state[k] = self._finish(state[k], codes[starts[k] + pos : starts[k] + sorted_sizes[k]])
+                break
             c = codes[starts[:live] + pos]
             old = state[:live]
             moved = old << np.uint64(1)

@@ -208,6 +208,16 @@ def test_automaton_is_every_rule_by_itself():
         fits = [k for k, r in enumerate(rules) if _glob(r).fullmatch(t)]
         want.append(min(fits, key=lambda k: (-rules[k].weight, k)) if fits else -1)
     assert automaton.winners(texts).tolist() == want
+    assert [automaton.winners([t])[0] for t in texts] == want  # one by one
+
+
+def test_long_urls_take_no_longer_for_each_character():
+    import time
+
+    automaton = urlrules.Automaton(url_rules())
+    began = time.time()
+    found = automaton.winners([".a.com?/en/" + "x" * 400_000, ".a.org?/b/" + "y" * 400_000 + "/print/x", ".b?/"])
+    assert time.time() - began < 5 and [url_rules()[k].verdict if k >= 0 else None for k in found] == ["block", "block", None]
 
 
 def test_verdicts(spark):
