@@ -1,15 +1,19 @@
 """An evolutionary search for factor expressions.
 
-The population lives on the driver; a generation is judged in one or two Spark
-jobs, whatever its size: all expressions are compiled together, so what they
-share is computed once, and every IC comes from one aggregation. A first pass
-over a sample of dates (after the windows, which see all dates) spares
-expressions without promise the full one.
+The population lives on the driver; a generation is judged in batches of two
+jobs: the expressions of a batch are compiled together, so what they share is
+computed once, and every IC comes from one aggregation. A first pass over a
+sample of dates (after the windows, which see all dates) spares expressions
+without promise the full one. The values of window operators that several
+batches take are stored by node and kept from generation to generation, so a
+generation computes what is new in it; what wasn't used for longest goes when
+the store is full.
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
 from dataclasses import dataclass, field as dataclass_field
 
 from pyspark.errors import PySparkException
@@ -17,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.operators.evaluate import finite, pooled_matrix, rank_ic
-from factorloom.plans.graph import Node, compile_factors, field, node
+from factorloom.plans.graph import Node, compile_factors, field, node, shared_nodes, substituted, walk
 from factorloom.plans.text import BINARY, DAILY, FIELDS, ROLLING, ROLLING_PAIR, TEMPLATES, UNARY, loose, parse, to_text
 from factorloom.sources.panel import complete
+from factorloom.sources.stored import Tables
 
 #: The windows and constants of the search.
 WINDOWS = (5, 10, 20, 40, 60)
@@ -45,6 +50,46 @@ class Parameters:
     min_dates: int = 5
     min_rows: int = 100
     seed: int = 42
+    #: Bytes of stored values, of eight for each row and node; 0 stores none.
+    stored_bytes: int = 1 << 31
+
+
+class Values:
+    """A panel with columns for the values of some nodes, in one stored table."""
+
+    def __init__(self, rows: DataFrame, room: int):
+        self.tables = Tables(rows.sparkSession)
+        self.table = self.tables.store(rows)
+        self.base, self.room = rows.columns, room // (8 * max(1, self.table.count()))
+        self.names: dict[Node, str] = {}
+        self.used: dict[Node, int] = {}
+        self.made = self.turn = 0
+
+    def prepare(self, trees: list[Node], most: int = 100) -> None:
+        """Store what several expressions take and isn't there yet, the ``most`` that most take, in place of what wasn't used for longest."""
+        self.turn += 1
+        count = Counter(x for t in trees for x in walk([t]))
+        for x in count.keys() & self.names.keys():
+            self.used[x] = self.turn
+        new = [x for x in shared_nodes([[t] for t in trees]) if x not in self.names]
+        new = sorted(new, key=lambda x: (-count[x], to_text(x)))[: min(most, self.room)]
+        if not new:
+            return
+        stay = sorted(self.names, key=lambda x: -self.used[x])[: max(0, self.room - len(new))]
+        columns = {}
+        for x in new:
+            columns[x] = f"_v{self.made}"
+            self.made += 1
+        made = dict(zip(columns.values(), self.by_columns(new), strict=True))
+        table = compile_factors(self.table, made)
+        self.names = {x: c for x, c in self.names.items() if x in set(stay)} | columns
+        self.used = {x: self.used.get(x, self.turn) for x in self.names}
+        self.table = self.tables.store(table.select(*self.base, *self.names.values()))
+        self.tables.keep_last()
+
+    def by_columns(self, trees: list[Node]) -> list[Node]:
+        """Expressions with what is stored in place of the operators."""
+        return substituted(trees, {x: field(c) for x, c in self.names.items()})
 
 
 @dataclass
@@ -159,11 +204,9 @@ class Miner:
     parameters: Parameters = dataclass_field(default_factory=Parameters)
 
     def __post_init__(self) -> None:
-        self.rows = complete(self.panel).filter(F.col("close").isNotNull()).cache()
+        rows = complete(self.panel).filter(F.col("close").isNotNull())
+        self.values = Values(rows, self.parameters.stored_bytes)
         self.grower = Grower(self.parameters.seed, max_depth=self.parameters.max_depth)
-        dates = self.rows.select("date").distinct()
-        share = max(1, round(1 / max(self.parameters.coarse_share, 1e-9)))
-        self.sample = dates.filter(F.pmod(F.xxhash64(F.lit(self.parameters.seed), "date"), F.lit(share)) == 0)
         self.judged: dict[Node, tuple[float, float]] = {}
 
     def ics(self, trees: list[Node], coarse: bool) -> dict[Node, tuple[float, float]]:
@@ -183,9 +226,10 @@ class Miner:
     def _ics(self, trees: list[Node], coarse: bool) -> dict[Node, tuple[float, float]]:
         p = self.parameters
         names = {f"x{k}": t for k, t in enumerate(trees)}
-        rows = compile_factors(self.rows, names).select("date", "asset", self.forward, *names)
+        rows = self.compiled(names).select("date", "asset", self.forward, *names)
         if coarse:
-            rows = rows.join(F.broadcast(self.sample), "date", "left_semi")
+            share = max(1, round(1 / max(p.coarse_share, 1e-9)))
+            rows = rows.filter(F.pmod(F.xxhash64(F.lit(p.seed), "date"), F.lit(share)) == 0)
         daily = rank_ic(rows, list(names), self.forward, pairwise=True, min_obs=p.min_obs, finite_only=True)
         found = (
             daily.filter(finite(F.col("ic")))
@@ -198,13 +242,25 @@ class Miner:
             names[r["factor"]]: (r["m"], r["m"] / r["s"] if r["s"] and r["s"] >= 1e-10 else 0.0) for r in found if r["n"] >= least
         }
 
+    def compiled(self, names: dict[str, Node]) -> DataFrame:
+        """The panel with columns for some expressions, from what is stored."""
+        return compile_factors(self.values.table, dict(zip(names, self.values.by_columns(list(names.values())), strict=True)))
+
+    def close(self) -> None:
+        """Delete what is stored."""
+        self.values.tables.drop()
+
     def judge(self, trees: list[Node], batch: int = 60) -> None:
         """Fitness of those not seen before; what has no promise on the sample of dates has none."""
         new = [t for t in dict.fromkeys(trees) if t not in self.judged and any(x.op == "field" for x in _walk(t))]
         for t in set(trees) - set(new) - self.judged.keys():
             self.judged[t] = (-1.0, 0.0)
-        for k in range(0, len(new), batch):
-            part = new[k : k + batch]
+        parts = [new[k : k + batch] for k in range(0, len(new), batch)]
+        try:
+            self.values.prepare(new)
+        except PySparkException:
+            pass  # a node that fails is met again in its batch, where it costs only its own expressions
+        for part in parts:
             rough = self.ics(part, True) if self.parameters.coarse_share < 1 else dict.fromkeys(part, (1.0, 0.0))
             hopeful = [t for t in part if abs(rough.get(t, (0.0, 0.0))[0]) >= 0.5 * self.parameters.threshold]
             full = self.ics(hopeful, False) if hopeful else {}
@@ -219,7 +275,7 @@ class Miner:
     def alike(self, trees: list[Node]) -> set[frozenset[Node]]:
         """The pairs of expressions that are too much like each other, over all rows; all pairs in one job."""
         names = {f"x{k}": t for k, t in enumerate(trees)}
-        found = pooled_matrix(compile_factors(self.rows, names).select(*names), list(names), self.parameters.min_rows)
+        found = pooled_matrix(self.compiled(names).select(*names), list(names), self.parameters.min_rows)
         return {frozenset((names[a], names[b])) for (a, b), c in found.items() if abs(c) >= self.parameters.redundancy}
 
     def redundant(self, x: Node, pool: list[Found]) -> bool:
@@ -258,7 +314,11 @@ def _walk(x: Node) -> list[Node]:
 
 def mine_factors(panel: DataFrame, forward: str = "fwd_return", parameters: Parameters | None = None) -> list[Found]:
     """The pool that a search over ``panel`` finds."""
-    return Miner(panel, forward, parameters or Parameters()).run()
+    miner = Miner(panel, forward, parameters or Parameters())
+    try:
+        return miner.run()
+    finally:
+        miner.close()
 
 
 def pool_table(panel: DataFrame, pool: list[Found]) -> DataFrame:

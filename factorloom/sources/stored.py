@@ -32,9 +32,17 @@ class Tables:
         df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_last(self) -> None:
+        """Delete all tables but the last one."""
+        for k in range(self.paths - 1):
+            self._delete(f"{self.folder}/{k}")
+
     def drop(self) -> None:
         """Delete all tables; results that were built on them must have been written or collected before."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._delete(self.folder)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def __enter__(self) -> Tables:

@@ -242,6 +242,27 @@ def test_miner_finds_what_is_planted(spark):
     assert search.pool_table(planted, []).columns == ["expression", "ic", "icir", "depth", "size"]
 
 
+def test_stored_values_change_nothing(spark):
+    """The same pool with a store, with one that holds two nodes, and without; what is stored is what the expressions take."""
+    from dataclasses import replace
+
+    rows = panel(spark, 30, 40, gaps=0.0).withColumn("fwd_return", F.col("high") / F.col("low") - 1)
+    p = search.Parameters(population=10, generations=2, threshold=0.2, min_obs=5, min_rows=50, checked=4)
+    n = rows.count()
+    pools = [[(f.text, round(f.ic, 9)) for f in search.mine_factors(rows, parameters=replace(p, stored_bytes=b))] for b in (1 << 31, 16 * n, 0)]
+    assert pools[0] == pools[1] == pools[2] and pools[0]
+    values = search.Values(rows, 16 * n)
+    mean, std = parse("ts_mean(close, 5)"), parse("ts_std(close, 5)")
+    values.prepare([mean + 1, mean - 1, std + 1, std - 1])
+    assert set(values.names) == {mean, std} and values.room == 2
+    top = parse("ts_max(high, 5)")
+    values.prepare([mean + 2, mean * 2])
+    values.prepare([top + 1, top - 1])
+    assert set(values.names) == {mean, top}  # what wasn't used for longest went
+    assert [x.op for x in values.by_columns([mean + 1])[0].args] == ["field", "const"]
+    values.tables.drop()
+
+
 def test_universe_sources(spark, tmp_path):
     u = universes.synthetic_universe(spark, 5, "2020-01-03", "2021-12-31")
     a, b = u.orderBy("asset", "date").collect(), u.repartition(7).orderBy("asset", "date").collect()
