@@ -60,19 +60,28 @@ def durable(df: DataFrame) -> DataFrame:
 _written: dict[str, list[str]] = {}
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df``, written once as compressed Parquet into the shared folder; it stays there until ``clear_stored`` or until the folder is cleared."""
+def stored(df: DataFrame, places: list[str] | None = None) -> DataFrame:
+    """``df``, written once as compressed Parquet into the shared folder; it stays there until ``forget``, ``clear_stored`` or until the folder is cleared.
+
+    places: gets where it is, for ``forget``.
+    """
     folder = shared_folder(df.sparkSession)
     path = f"{folder}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.setdefault(folder, []).append(path)
+    if places is not None:
+        places.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Delete what ``stored`` wrote for this session; results that were built on it must have been written before."""
-    paths = _written.pop(shared_folder(spark), [])
-    for p in paths:
+    forget(spark, _written.pop(shared_folder(spark), []))
+
+
+def forget(spark: SparkSession, places: list[str]) -> None:
+    """Delete what ``stored`` wrote at some places, which nothing needs any more."""
+    for p in places:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import HOT_KEYS, durable, join_hot, light, stored
+from factorloom.llm.common import HOT_KEYS, durable, forget, join_hot, light, stored
 
 #: Of so many nodes one goes into the sample that tells which cells are hot.
 HOT_SAMPLE = 32
@@ -209,13 +209,14 @@ def _near_pairs(block: pa.Table, nearness: Nearness, nearest: int) -> Iterator[t
 
 
 def _apart(rows: DataFrame, nearness: Nearness) -> DataFrame:
-    """(a, b) of the nearest pairs in a cell that may be links between roots, some for each member outside the cell's commonest root."""
+    """(cell, a, b) of the nearest pairs in a cell that may be links between roots, some for each member outside the cell's commonest root."""
 
     def compared(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell = block.column("cell")[0].as_py()
         for a, b, _ in _near_pairs(block, nearness, NEAREST):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), cell)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["cell", "a", "b"])
 
-    return _streamed(_dealt(rows, BLOCK), ["cell", "_i", "_k", "_side"], compared, "a long, b long").distinct()
+    return _streamed(_dealt(rows, BLOCK), ["cell", "_i", "_k", "_side"], compared, "cell long, a long, b long")
 
 
 def _own_details(x: pa.Array) -> Callable[[int], object]:
@@ -373,19 +374,27 @@ def linked_in_cells(
         if not new.isEmpty():
             looked_at = looked_at.unionAll(new)
             roots = merged(verified(new, known, similar))
-    rows, every = stored(big.select("cell", "u", *columns, F.collect_list("cell").over(own).alias("cells"))), False
+    places: list[str] = []
+    rows, every = stored(big.select("cell", "u", *columns, F.collect_list("cell").over(own).alias("cells")), places), False
     while not big.isEmpty():
         placed = rows.join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u"))
         each = durable(placed.groupBy("cell", "root").agg(F.count("*").alias("m")))
         tops = each.groupBy("cell").agg(F.sum("m").alias("j"), F.count("*").alias("r"), F.max(F.struct("m", "root")).alias("top"))
         # top: the root of most of a cell's members; others: how many have another root
         tops = tops.filter("r > 1").select("cell", "j", F.col("top.root").alias("top"), (F.col("j") - F.col("top.m")).alias("others"))
-        mixed = stored(join_hot(placed, durable(tops.withColumn("_n", F.col("j"))), "cell", "_n"))
+        mixed = stored(join_hot(placed, durable(tops.withColumn("_n", F.col("j"))), "cell", "_n"), places)
+        forget(cells.sparkSession, places[:-1])
+        del places[:-1]
         if mixed.isEmpty():
             break
         rows = mixed.select("cell", "u", *columns, "cells")  # cells of one component stay so
         if not every:
-            new = stored(_apart(mixed, nearness).join(looked_at, ["a", "b"], "left_anti"))
+            near_pairs = durable(_apart(mixed, nearness))
+            # cells without a pair that may be a link never have one, as roots only become fewer
+            near_cells = durable(near_pairs.select("cell").distinct())
+            n = near_cells.count()
+            rows, mixed = (x.join(light(near_cells, n), "cell", "left_semi") for x in (rows, mixed))
+            new = stored(near_pairs.select("a", "b").distinct().join(looked_at, ["a", "b"], "left_anti"))
             found = None if new.isEmpty() else verified(new, known, similar)
             looked_at = looked_at.unionAll(new)
             every = found is None or found.isEmpty()
