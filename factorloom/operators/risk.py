@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.operators.evaluate import finite
+from factorloom.sources.stored import shared_folder
 
 COUNTRY = "country"
 
@@ -207,7 +208,8 @@ def specific_risk(universe: DataFrame, returns: DataFrame, model: RiskModel, ann
         (F.first("returns") - F.sum(F.col("x") * F.col("ret"))).alias("residual")
     )
     enough = explained.groupBy("date").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_names).select("date")  # one row a date
-    explained = explained.join(F.broadcast(enough), "date")
+    shared_folder(universe.sparkSession)
+    explained = explained.join(F.broadcast(enough), "date").checkpoint()  # the regressions stand below it, and it is used several times
     last = universe.agg(F.max("date")).first()[0]
     caps = universe.filter(F.col("date") == F.lit(last)).groupBy("asset").agg(F.max("market_cap").cast("double").alias("cap"))
     age = F.dense_rank().over(Window.orderBy(F.desc("date"))) - 1

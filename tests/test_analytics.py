@@ -247,7 +247,7 @@ def test_stored_values_change_nothing(spark):
     from dataclasses import replace
 
     rows = panel(spark, 30, 40, gaps=0.0).withColumn("fwd_return", F.col("high") / F.col("low") - 1)
-    p = search.Parameters(population=10, generations=2, threshold=0.2, min_obs=5, min_rows=50, checked=4)
+    p = search.Parameters(population=10, generations=2, threshold=0.02, min_obs=5, min_rows=50, checked=4)
     n = rows.count()
     pools = [[(f.text, round(f.ic, 9)) for f in search.mine_factors(rows, parameters=replace(p, stored_bytes=b))] for b in (1 << 31, 16 * n, 0)]
     assert pools[0] == pools[1] == pools[2] and pools[0]
