@@ -170,10 +170,9 @@ def _streamed(rows: DataFrame, keys: list[str], of: Callable[[pa.Table], Iterato
 
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
-    """(cell, _i, _k, _side, u, root, size, s): rows of cells (with top, j, others) in pairs of blocks.
+    """(cell, _i, _k, _side, u, root, size, s): rows of cells (with top, j, others, asks) in pairs of blocks.
 
-    Side 0 holds the members whose root isn't the cell's commonest, side 1 all
-    members. They are dealt into blocks by a hash, so a task only ever holds two
+    Side 0 holds the members that ask, side 1 all members. They are dealt into blocks by a hash, so a task only ever holds two
     blocks of one cell; pairs of blocks are as many as a cell's blocks times
     those of its members outside the commonest root.
     """
@@ -182,7 +181,7 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     own = rows.withColumns({"_l": left, "_r": right})
     places = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n, seed: F.pmod(F.xxhash64("u", F.lit(seed)), F.col(n)).cast("int")
-    a = own.filter("root <> top").withColumn("_i", at("_l", 3)).withColumn("_k", places("_r")).withColumn("_side", F.lit(0))
+    a = own.filter("asks").withColumn("_i", at("_l", 3)).withColumn("_k", places("_r")).withColumn("_side", F.lit(0))
     b = own.withColumn("_k", at("_r", 5)).withColumn("_i", places("_l")).withColumn("_side", F.lit(1))
     names = ["cell", "_i", "_k", "_side", "u", "root", "size", "s"]
     return a.select(*names).unionAll(b.select(*names))
@@ -321,9 +320,8 @@ def linked_in_cells(
     two components that these make, then what still stands between components.
     Then, in large cells with several components, each member outside the
     commonest looks for the nearest members of other components in the whole
-    cell, round after round as long as that finds links; at last all pairs
-    between components that may be links are looked at, block by block, until
-    that finds none. So no link is left out between two members of a cell, while
+    cell; at last all pairs between components that may be links are looked at,
+    block by block, until that finds none. So no link is left out between two members of a cell, while
     those within a component, which may be as many as the square of its members,
     needn't be looked at, and pairs that are no links needn't leave their task.
     """
@@ -374,33 +372,45 @@ def linked_in_cells(
         if not new.isEmpty():
             looked_at = looked_at.unionAll(new)
             roots = merged(verified(new, known, similar))
+    if big.isEmpty():
+        return roots
     places: list[str] = []
-    rows, every = stored(big.select("cell", "u", *columns, F.collect_list("cell").over(own).alias("cells")), places), False
-    while not big.isEmpty():
-        placed = rows.join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    rows = stored(big.select("cell", "u", *columns, F.collect_list("cell").over(own).alias("cells")), places)
+    asking: DataFrame | None = None
+
+    def mixed_cells() -> DataFrame:
+        """The rows of cells with several roots, and whether they ask: at first those whose root isn't the commonest."""
+        placed = rows
+        if asking is not None:
+            n = asking.count()
+            placed = rows.join(light(asking.withColumn("asks", F.lit(True)), n), "u", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+            asked = durable(placed.filter("asks").select("cell").distinct())
+            placed = placed.join(light(asked, asked.count()), "cell", "left_semi")
+        placed = placed.join(light(roots, roots.count()), "u", "left").withColumn("root", F.coalesce("root", "u"))
         each = durable(placed.groupBy("cell", "root").agg(F.count("*").alias("m")))
         tops = each.groupBy("cell").agg(F.sum("m").alias("j"), F.count("*").alias("r"), F.max(F.struct("m", "root")).alias("top"))
         # top: the root of most of a cell's members; others: how many have another root
         tops = tops.filter("r > 1").select("cell", "j", F.col("top.root").alias("top"), (F.col("j") - F.col("top.m")).alias("others"))
-        mixed = stored(join_hot(placed, durable(tops.withColumn("_n", F.col("j"))), "cell", "_n"), places)
+        found = join_hot(placed, durable(tops.withColumn("_n", F.col("j"))), "cell", "_n")
+        found = stored(found if asking is not None else found.withColumn("asks", F.col("root") != F.col("top")), places)
         forget(cells.sparkSession, places[:-1])
         del places[:-1]
-        if mixed.isEmpty():
-            break
-        rows = mixed.select("cell", "u", *columns, "cells")  # cells of one component stay so
-        if not every:
-            near_pairs = durable(_apart(mixed, nearness))
-            # cells without a pair that may be a link never have one, as roots only become fewer
-            near_cells = durable(near_pairs.select("cell").distinct())
-            n = near_cells.count()
-            rows, mixed = (x.join(light(near_cells, n), "cell", "left_semi") for x in (rows, mixed))
-            new = stored(near_pairs.select("a", "b").distinct().join(looked_at, ["a", "b"], "left_anti"))
-            found = None if new.isEmpty() else verified(new, known, similar)
-            looked_at = looked_at.unionAll(new)
-            every = found is None or found.isEmpty()
-        if every:
-            found = stored(_linked_apart(mixed, known, nearness, similar))
-            if found.isEmpty():
-                break
+        return found
+
+    mixed = mixed_cells()
+    near_pairs = durable(_apart(mixed, nearness))
+    # cells without a pair that may be a link never have one, as roots only become fewer
+    near_cells = durable(near_pairs.select("cell").distinct())
+    rows = mixed.select("cell", "u", *columns, "cells").join(light(near_cells, near_cells.count()), "cell", "left_semi")
+    new = stored(near_pairs.select("a", "b").distinct().join(looked_at, ["a", "b"], "left_anti"))
+    if not new.isEmpty():
+        roots = merged(verified(new, known, similar))
+    while True:
+        mixed = mixed_cells()
+        rows = mixed.select("cell", "u", *columns, "cells")
+        found = stored(_linked_apart(mixed, known, nearness, similar))
+        if found.isEmpty():
+            return roots
         roots = merged(found)
-    return roots
+        # who found no link has been compared with all; who found one stopped there
+        asking = durable(found.select(F.explode(F.array("a", "b")).alias("u")).distinct())
