@@ -8,8 +8,10 @@ in the space that the pivots span and how far it is from there, so the distance
 of two vectors is at least that of these places and of these heights. That is
 the largest lower bound which the distances allow.
 
-Vectors are dealt into blocks by their nearest pivot, large blocks by a hash of
-the ids too, so tasks are of bounded size. The ranges of a block's distances
+Vectors are dealt into cells by their nearest pivot. Cells whose pivots are
+near each other are one block until it is large enough for the bounds to order
+many candidates (in a block of some tens every candidate is evaluated), and
+large ones are cut by a hash of the ids too, so tasks are of bounded size. The ranges of a block's distances
 bound all products between two blocks. Each block of queries first searches the
 block of vectors with the highest bound; its k-th best products then rule out
 whole blocks, and in the others single vectors: each query goes through what is
@@ -83,6 +85,18 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> Pivots:
     return Pivots(points, np.linalg.cholesky(points @ points.T) if found else np.zeros((0, 0)))
 
 
+def chain(points: np.ndarray) -> np.ndarray:
+    """Of each pivot its place in a walk that goes on to the nearest of the others."""
+    place = np.zeros(max(1, len(points)), dtype=np.int32)
+    left = list(range(1, len(points)))
+    here = 0
+    for k in range(1, len(points)):
+        here = min(left, key=lambda i: (((points[i] - points[here]) ** 2).sum(), i))
+        left.remove(here)
+        place[here] = k
+    return place
+
+
 def upper_bounds(asked: tuple[np.ndarray, np.ndarray], places: tuple[np.ndarray, np.ndarray], squares: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Upper bounds of the inner products of queries with vectors, with room for what doubles round."""
     found = asked[0] @ places[0].T + np.outer(asked[1], places[1])
@@ -202,6 +216,8 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_co
     for dim in {r["dim"] for r in sample}:
         known[dim] = choose_pivots(scaled(np.array([r["v"] for r in sample if r["dim"] == dim], dtype=np.float64), scale), pivots)
 
+    walks = {dim: chain(p.points) for dim, p in known.items()}
+
     def of(dim: int) -> Pivots:
         return known.get(dim) or Pivots(np.zeros((0, dim)), np.zeros((0, 0)))
 
@@ -214,15 +230,22 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_co
                 with np.errstate(over="ignore", invalid="ignore"):
                     table = np.nan_to_num(of(dim).distances(v), nan=np.inf)
                 lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.ravel()))
-                nearest = table[:, 1:].argmin(axis=1) if table.shape[1] > 1 else np.zeros(len(table), dtype=np.int64)
-                arrays = [rows.column("id"), rows.column("nth"), rows.column("dim"), lists(v), lists(table), pa.array(nearest.astype(np.int32))]
+                nearest = walks[dim][table[:, 1:].argmin(axis=1)] if table.shape[1] > 1 else np.zeros(len(table), dtype=np.int32)
+                arrays = [rows.column("id"), rows.column("nth"), rows.column("dim"), lists(v), lists(table), pa.array(nearest)]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "nth", "dim", "v", "t", "near"])
 
     def blocks(df: DataFrame) -> DataFrame:
         rows = stored(df.select("id", "nth", "dim", "v").mapInArrow(tabled, "id long, nth int, dim int, v array<double>, t array<double>, near int"))
-        parts = rows.groupBy("dim", "near").agg(F.ceil(F.count("*") / block).alias("parts"))  # a row for each pivot
+        # a row for each pivot: cells in the order of the walk, put together to blocks, of which the last takes what is left
+        walk = Window.partitionBy("dim").orderBy("near")
+        cells = rows.groupBy("dim", "near").agg(F.count("*").alias("n"))
+        cells = cells.withColumns({"before": F.sum("n").over(walk) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("dim"))})
+        cells = cells.withColumn("group", F.least(F.floor(F.col("before") / block), F.greatest(F.lit(1), F.floor(F.col("all") / block)) - 1))
+        whole = F.sum("n").over(Window.partitionBy("dim", "group"))
+        cells = cells.select("dim", "near", "group", F.greatest(F.lit(1), F.round(whole / block)).cast("long").alias("parts"))
         cut = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
-        return rows.join(F.broadcast(parts), ["dim", "near"]).withColumn("cell", F.struct("dim", "near", cut.alias("cut"))).drop("near", "parts")
+        placed = rows.join(F.broadcast(cells), ["dim", "near"])
+        return placed.withColumn("cell", F.struct("dim", "group", cut.alias("cut"))).drop("near", "group", "parts")
 
     widest = 1 + max((len(p.points) for p in known.values()), default=0)
 
@@ -241,7 +264,7 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_co
     bound = (top_a * top_a + top_b * top_b - gap * gap) / 2 * (1 + 1e-6) + 1
     # blocks of the stated queries against blocks of all vectors: one row for some 8192 times 8192 products
     routes = ranges(left, "a").join(ranges(right, "b"), F.col("a.dim") == F.col("b.dim"))
-    routes = durable(routes.select("a", "b", F.least(bound, top_a * top_b * (1 + 1e-6) + 1).alias("bound"), "a_n", "b_n"))
+    routes = routes.select("a", "b", F.least(bound, top_a * top_b * (1 + 1e-6) + 1).alias("bound"), "b_n")
     first = Window.partitionBy("a").orderBy(F.desc("bound"), F.desc("b_n"), "b")
     routes = durable(routes.withColumn("place", F.row_number().over(first)))
     schema = "query_id long, nth int, id long, score long, key binary, seen long, open long"
@@ -268,9 +291,7 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_co
         count = pa.table({n: pa.array([x], rows.schema.field(n).type) for n, x in zip(rows.column_names, [None] * 5 + [seen, len(a) * len(b)], strict=True)})
         return pa.concat_tables([rows, count])
 
-    def run(asked_rows: DataFrame, pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs.select("a", "b"))
-        n = pairs.count()
+    def run(asked_rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
         a = asked_rows.join(light(pairs, n), F.col("cell") == F.col("a"))
         b = right.join(light(pairs.toDF("_a", "_b"), n), F.col("cell") == F.col("_b"))
         a = a.select("a", "b", "id", "nth", "dim", "v", "t", "least")
@@ -278,13 +299,17 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_co
         return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(evaluate, schema)
 
     none = float("-inf")
-    one = stored(run(left.withColumn("least", F.lit(none)), routes.filter("place = 1")))
-    kth = one.filter("id is not null").groupBy(F.col("query_id").alias("id"), "nth").agg(F.min("score").cast("double").alias("low"), F.count("*").alias("n"))
-    # a score at the end of a long may stand for any beyond it
-    known_low = kth.select("id", "nth", F.when((F.col("n") >= k) & (F.abs("low") < 2.0**62), F.col("low") - 1.0 - F.abs("low") * 1e-9).otherwise(none).alias("least"))
-    asked_rows = left.join(known_low, ["id", "nth"], "left").withColumn("least", F.coalesce("least", F.lit(none)))
-    asked_rows = stored(asked_rows)
-    lows = asked_rows.groupBy(F.col("cell").alias("a")).agg(F.min("least").alias("least"))
-    rest = routes.filter("place > 1").join(lows, "a").filter(F.isnan("bound") | (F.col("bound") >= F.col("least")))
-    every = one.unionAll(run(asked_rows, rest))
+    pairs = routes.filter("place = 1").select("a", "b")
+    every = one = stored(run(left.withColumn("least", F.lit(none)), pairs, pairs.count()))
+    later = routes.filter("place > 1")
+    if later.take(1):
+        kth = one.filter("id is not null").groupBy(F.col("query_id").alias("id"), "nth").agg(F.min("score").cast("double").alias("low"), F.count("*").alias("n"))
+        # a score at the end of a long may stand for any beyond it
+        known_low = kth.select("id", "nth", F.when((F.col("n") >= k) & (F.abs("low") < 2.0**62), F.col("low") - 1.0 - F.abs("low") * 1e-9).otherwise(none).alias("least"))
+        asked_rows = left.join(known_low, ["id", "nth"], "left").withColumn("least", F.coalesce("least", F.lit(none)))
+        asked_rows = stored(asked_rows)
+        lows = asked_rows.groupBy(F.col("cell").alias("a")).agg(F.min("least").alias("least"))
+        rest = later.join(lows, "a").filter(F.isnan("bound") | (F.col("bound") >= F.col("least")))
+        rest = durable(rest.select("a", "b"))
+        every = one.unionAll(run(asked_rows, rest, rest.count()))
     return every.filter("id is not null").select("query_id", "nth", "id", "score", "key"), every.filter("id is null").select("seen", "open")
