@@ -29,10 +29,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import durable, fresh, quoted, slices, worker_memory
+from factorloom.llm.common import durable, fresh, light, quoted, slices, worker_memory
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -54,8 +54,6 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 TOLERANCES = (0.0, 0.02, 0.05, 0.1)
 #: What a good text that is rejected counts against bad ones that are.
 GOOD_WEIGHT = 20.0
-#: Strata of their own at most: those with most labels. Others are one.
-MAX_STRATA = 64
 
 
 def measure_texts(texts: list[str]) -> np.ndarray:
@@ -171,15 +169,27 @@ def _choose(counts: dict[tuple[str, float], tuple[int, int]], good: int, bad: in
     return found
 
 
-def rejects(cutoffs: dict[str, float]) -> Column:
-    """Whether a text with the base columns is over any of the cutoffs."""
-    over = [F.expr(f"try_divide({a}, {b}) > {cutoffs[r]!r}D") for r in cutoffs for a, b in [RULES[r][0].split(" / ")]]
+def rejects(cutoffs: Column) -> Column:
+    """Whether a text with the base columns is over any cutoff of a struct with one for each rule; a null one rejects nothing."""
     out = F.lit(False)
-    for x in over:
-        out = out | F.coalesce(x, F.lit(False))
+    for rule, (sql, _) in RULES.items():
+        a, b = sql.split(" / ")
+        out = out | F.coalesce(F.expr(f"try_divide({a}, {b})") > cutoffs[rule], F.lit(False))
     return out
 
 
+def _sets(spark: SparkSession, sets: dict[str, list[dict[str, float]]]) -> DataFrame:
+    """(stratum, sets): of each stratum some sets of cutoffs."""
+    kind = ", ".join(f"{r}: double" for r in RULES)
+    rows = [(s, [tuple(x.get(r) for r in RULES) for x in own]) for s, own in sets.items()]
+    return light(spark.createDataFrame(rows, f"stratum string, sets array<struct<{kind}>>"), len(rows))
+
+
+def least_good(risk: float, delta: float) -> float:
+    """Of how many good texts a test needs at least, as with fewer it fails even if none is rejected."""
+    return math.log(delta) / math.log1p(-risk) - 1e-6 if 0 < risk < 1 else math.inf if risk <= 0 else 1.0
+
+
 def fit(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> Cutoffs:
     """Cutoffs from documents with base columns, ``stratum``, ``good`` (boolean) and ``holdout`` (boolean).
 
@@ -188,15 +198,16 @@ def fit(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> Cutoffs
     all strata together are tested on its own holdout, those first that reject
     the fewest good documents of its other part, until one fails; sets that
     reject more than half the risk there aren't tested. Strata go by size. A
-    stratum in which none passes, and all beyond the ``MAX_STRATA`` largest, get
-    the base rules alone. Rows that fail the base rules, or with a null among
+    stratum in which none passes gets the base rules alone; so does one whose
+    holdout has too few good documents for any test to pass, which takes no part
+    of the error (a row for each other stratum comes to the driver). Rows that fail the base rules, or with a null among
     ``good`` and ``holdout``, aren't used. A null stratum is the empty one.
     """
     rows = labelled.filter(~base_failed() & F.col("good").isNotNull() & F.col("holdout").isNotNull()).withColumn(
         "stratum", F.coalesce("stratum", F.lit(""))
     )
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA)
-    strata = [r["stratum"] for r in sizes.collect()]
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if(F.col("good") & F.col("holdout")).alias("good"))
+    strata = [r["stratum"] for r in sizes.filter(F.col("good") >= least_good(risk, delta)).orderBy(F.desc("n"), "stratum").collect()]
     if not strata:
         return Cutoffs()
     levels = []
@@ -204,10 +215,11 @@ def fit(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> Cutoffs
         a, b = sql.split(" / ")
         steps = ", ".join(f"{c!r}D" for c in grid)
         levels.append(f"struct('{rule}' AS rule, size(filter(array({steps}), c -> try_divide({a}, {b}) > c)) AS passed)")
-    own = F.when(F.col("stratum").isin(strata), F.col("stratum"))
+    testable = _sets(rows.sparkSession, {s: [] for s in strata}).select("stratum", F.col("stratum").alias("own"))
     table = (
         rows.filter("not holdout")
-        .select(own.alias("stratum"), "good", F.explode(F.expr(f"array({', '.join(levels)})")).alias("x"))
+        .join(testable, "stratum", "left")
+        .select(F.col("own").alias("stratum"), "good", F.explode(F.expr(f"array({', '.join(levels)})")).alias("x"))
         .groupBy("stratum", "good", "x.rule", "x.passed")
         .agg(F.count("*").alias("n"))
         .collect()
@@ -226,15 +238,14 @@ def fit(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> Cutoffs
         counts = {k: (v[0], v[1]) for k, v in over.get(stratum, {}).items()}
         for tolerance in TOLERANCES:
             plans[stratum, tolerance] = _choose(counts, good, bad, tolerance)
-    sums = [F.count_if(F.col("good")).alias("good"), F.count_if(~F.col("good")).alias("bad")]
-    for k, tolerance in enumerate(TOLERANCES):
-        rejected = F.lit(False)
-        for stratum in strata:
-            rejected = F.when(F.col("stratum") == stratum, rejects(plans[stratum, tolerance])).otherwise(rejected)
-        pooled = rejects(plans[None, tolerance])
-        for name, x in ((f"own{k}", rejected), (f"all{k}", pooled)):
-            sums += [F.count_if(x & F.col("good")).alias(f"{name}_good"), F.count_if(x & ~F.col("good")).alias(f"{name}_bad")]
-    tested = rows.filter(own.isNotNull()).groupBy("stratum", "holdout").agg(*sums).collect()
+    tried = [("own", k) for k in range(len(TOLERANCES))] + [("all", k) for k in range(len(TOLERANCES))]
+    sets = {s: [plans[s if name == "own" else None, TOLERANCES[k]] for name, k in tried] for s in strata}
+    sums = []
+    for at, (name, k) in enumerate(tried):
+        x = rejects(F.get("sets", F.lit(at)))
+        sums += [F.count_if(x & F.col("good")).alias(f"{name}{k}_good"), F.count_if(x & ~F.col("good")).alias(f"{name}{k}_bad")]
+    sums += [F.count_if(F.col("good")).alias("good"), F.count_if(~F.col("good")).alias("bad")]
+    tested = rows.join(_sets(rows.sparkSession, sets), "stratum").groupBy("stratum", "holdout").agg(*sums).collect()
     known = {(r["stratum"], r["holdout"]): r for r in tested}
     handed_on = 0.0
     found = {}
@@ -262,12 +273,13 @@ def fit(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> Cutoffs
 
 def verdicts(measured: DataFrame, cutoffs: Cutoffs, stratum: Column) -> DataFrame:
     """``measured`` (with the base columns) and base_failed and kept; columns that are called so are replaced."""
-    (own,) = fresh(measured, "_stratum")
-    rejected = rejects(cutoffs.other)
-    for name, plan in sorted(cutoffs.strata.items()):
-        rejected = F.when(F.col(own) == name, rejects(plan)).otherwise(rejected)
+    own, cuts = fresh(measured, "_stratum", "_cutoffs")
+    known = _sets(measured.sparkSession, {s: [x] for s, x in cutoffs.strata.items()} or {"": [cutoffs.other]})
     found = measured.withColumn(own, F.coalesce(stratum, F.lit("")))
-    return found.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~rejected}).drop(own)
+    found = found.join(known.select(F.col("stratum").alias(own), F.get("sets", F.lit(0)).alias(cuts)), own, "left")
+    other = F.struct(*[F.lit(cutoffs.other.get(r)).cast("double").alias(r) for r in RULES])
+    rejected = rejects(F.coalesce(F.col(cuts), other))
+    return found.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~rejected}).drop(own, cuts)
 
 
 def judge(

@@ -18,3 +18,20 @@ def test_cutoffs_of_others_are_tested_in_each_stratum(spark):
     df = spark.createDataFrame(rows, kinds)
     out = quality.verdicts(df, quality.fit(df), F.col("stratum")).collect()
     assert all(r["kept"] == r["good"] for r in out)
+
+
+def test_every_stratum_with_enough_labels_has_cutoffs(spark):
+    n, each = 150, 1000  # no stratum is left out for there being many
+    rows = spark.range(n * each).select(
+        F.concat(F.lit("s"), (F.col("id") % n).cast("string")).alias("stratum"),
+        (F.floor(F.col("id") / n) % 5 > 0).alias("good"),
+        (F.floor(F.col("id") / n) % 4 > 0).alias("holdout"),
+    )
+    rows = rows.withColumns({"n_words": F.lit(100), "word_chars": F.lit(500), "n_symbols": F.when(F.col("good"), 0).otherwise(150), "n_dup_lines": F.lit(0), "n_repeat_words": F.lit(0)})
+    few = rows.filter("stratum = 's0'").limit(100).withColumn("stratum", F.lit("few"))
+    cutoffs = quality.fit(rows.unionByName(few))
+    assert set(cutoffs.strata) == {f"s{k}" for k in range(n)}
+    out = quality.verdicts(rows.unionByName(few), cutoffs, F.col("stratum"))
+    assert out.filter("stratum != 'few' and kept != good").count() == 0
+    assert out.filter("stratum = 'few' and not kept").count() == 0 and out.count() == n * each + 100
+    assert quality.binomial_upper(0, 149, 0.05) <= 0.02 < quality.binomial_upper(0, 148, 0.05) and 148 < quality.least_good(0.02, 0.05) < 149
