@@ -6,12 +6,13 @@ texts are cut in front of marks, behind letters and at line ends. The distinct w
 depth-first order of their trie; the forward states of a word's prefix are kept
 for the next word that shares it.
 
-The forward state of a prefix is the score of its best segmentation, the sum of
-its pieces' scores, and that segmentation's last piece. For a model of merges the best segmentation isn't the one with the largest sum of
-scores (that gives other ids than the model's own), but the one that merges
-lead to: a piece may only stand behind another if merging their joint characters
-gives just these two. Of all pieces that end a prefix one alone may stand behind
-the last piece of what is before it, so the largest score is the one it gives.
+A prefix's forward state holds the last piece of its best segmentation. For a
+model of scores (unigram) that is the segmentation with the largest sum of its
+pieces' scores, which the state holds too. For a model of merges the sum doesn't
+tell: the segmentation is the one that merges lead to, where a piece may only
+stand behind another if merging their joint characters gives just these two. Of
+all pieces that end a prefix one alone may stand behind the last piece of what
+is before it, so there the first that does is taken and no scores are kept.
 """
 
 from __future__ import annotations
@@ -41,6 +42,41 @@ CACHE_PAIRS = 1_000_000
 SLICE_CHARS = 2_000_000
 
 
+#: By how much an unknown character is below the lowest score.
+UNKNOWN_PENALTY = 10.0
+
+
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message in the wire format of protocol buffers."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        key, at = number(at)
+        if key & 7 == 0:
+            value, at = number(at)
+        else:
+            size, at = (8, at) if key & 7 == 1 else (4, at) if key & 7 == 5 else number(at)
+            value, at = raw[at : at + size], at + size
+        yield key >> 3, value
+
+
+def by_scores(raw: bytes) -> bool:
+    """Whether a model file's contents are a model of scores (the default) rather than one of merges."""
+    settings = b"".join(x for n, x in fields(raw) if n == 2 and isinstance(x, bytes))
+    kind = ([1] + [x for n, x in fields(settings) if n == 3])[-1]
+    if kind not in (1, 2):
+        raise ValueError("the model is one of whole words or characters")
+    return kind == 1
+
+
 class Pieces:
     """The pieces of one model file."""
 
@@ -64,7 +100,8 @@ class Pieces:
         if any(_CUTS.search(p) for p in self.ids):
             raise ValueError("the model has pieces across words")
         self.names, self.size, self.lengths = names, n, list(map(len, names))
-        self.scores = [model.get_score(i) for i in range(n)]
+        self.scores = [model.get_score(i) for i in range(n)] if by_scores(model.serialized_model_proto()) else None
+        self.lowest = min(map(model.get_score, self.ids.values())) - UNKNOWN_PENALTY
         self.memory = WordMemory(MEMORY_BYTES)
         self.pairs: dict[int, bool] = {}
 
@@ -90,10 +127,8 @@ class Pieces:
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """(word, ids) for sorted distinct words; each starts from the forward states it shares with the one before."""
-        get, pairs, size, longest, lengths = self.ids.get, self.pairs, self.size, self.longest, self.lengths
-        gain = self.scores
+        last = [self.size]  # of each prefix the last piece; ``size`` at a cut or behind a character that is no piece
         score = [0.0]
-        last = [size]  # of each prefix the last piece; ``size`` at a cut or behind a character that is no piece
         before = ""
         for word in words:
             shared = 0
@@ -102,36 +137,17 @@ class Pieces:
                     break
                 shared += 1
             del last[shared + 1 :], score[shared + 1 :]
-            cut = next((k for k in range(shared, 0, -1) if last[k] == size), 0)  # pieces don't cross a cut
-            for end in range(shared + 1, len(word) + 1):
-                if get(word[end - 1]) is None:
-                    last.append(size)
-                    score.append(score[-1])
-                    cut = end
-                    continue
-                for start in range(max(cut, end - longest), end):
-                    piece = get(word[start:end])
-                    if piece is None:
-                        continue
-                    key = last[start] * size + piece
-                    stands = pairs.get(key)
-                    if stands is None:
-                        stands = pairs[key] = self._stands(key)
-                    if stands:
-                        last.append(piece)
-                        score.append(score[start] + gain[piece])
-                        break
-                else:
-                    raise RuntimeError(f"no piece ends {word[:end]!r}")
-            if len(pairs) > CACHE_PAIRS:
-                pairs.clear()
+            if self.scores is None:
+                self._by_merges(word, last)
+            else:
+                self._by_scores(word, last, score, self.scores)
             found: list[int] = []
             end = len(word)
             while end:
                 piece = last[end]
-                if piece < size:
+                if piece < self.size:
                     found.append(piece)
-                    end -= lengths[piece]
+                    end -= self.lengths[piece]
                 else:
                     raw = word[end - 1].encode("utf-8", "replace")
                     found.extend(self.bytes[b] for b in reversed(raw)) if self.bytes else found.append(self.unknown)
@@ -140,6 +156,45 @@ class Pieces:
             yield word, array("i", found).tobytes()
             before = word
 
+    def _by_merges(self, word: str, last: list[int]) -> None:
+        """Adds the states of a word's further prefixes: the piece that may stand behind what is before it."""
+        get, pairs, size, longest = self.ids.get, self.pairs, self.size, self.longest
+        cut = next((k for k in range(len(last) - 1, 0, -1) if last[k] == size), 0)  # pieces don't cross a cut
+        for end in range(len(last), len(word) + 1):
+            if get(word[end - 1]) is None:
+                last.append(size)
+                cut = end
+                continue
+            for start in range(max(cut, end - longest), end):
+                piece = get(word[start:end])
+                if piece is None:
+                    continue
+                key = last[start] * size + piece
+                stands = pairs.get(key)
+                if stands is None:
+                    stands = pairs[key] = self._stands(key)
+                if stands:
+                    last.append(piece)
+                    break
+            else:
+                raise RuntimeError(f"no piece ends {word[:end]!r}")
+        if len(pairs) > CACHE_PAIRS:
+            pairs.clear()
+
+    def _by_scores(self, word: str, last: list[int], score: list[float], scores: list[float]) -> None:
+        """Adds the states of a word's further prefixes: the piece with the largest sum up to it, the longest of equal ones."""
+        get, longest = self.ids.get, self.longest
+        for end in range(len(last), len(word) + 1):
+            best, won = -float("inf"), self.size
+            for start in range(max(0, end - longest), end):
+                piece = get(word[start:end])
+                if piece is not None and score[start] + scores[piece] > best:
+                    best, won = score[start] + scores[piece], piece
+            if get(word[end - 1]) is None and score[end - 1] + self.lowest > best:
+                best, won = score[end - 1] + self.lowest, self.size
+            last.append(won)
+            score.append(best)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian 32-bit numbers."""
         parts = [_PARTS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -147,7 +202,14 @@ class Pieces:
         for word, ids in self.walk(sorted(memory.missing(set().union(*parts) if parts else set()))):
             memory.put(word, ids)
         get = memory.newer.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        found = [b"".join(map(get, p)) for p in parts]
+        return found if self.bytes else list(map(self._one_unknown, found))
+
+    def _one_unknown(self, raw: bytes) -> bytes:
+        """Unknown characters in a row as one id."""
+        ids = np.frombuffer(raw, dtype="<i4")
+        again = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return np.delete(ids, np.flatnonzero(again) + 1).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes are joined to characters, and the mark in front of the text goes."""
@@ -167,7 +229,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     ``model`` is the path of a model file that all executors have. Null and
     empty texts have no ids (an empty array); null ids stay null; repeated rows
     stay; of an empty table nothing comes out. Characters that are no piece
-    become their bytes' ids. Other columns aren't read; an id that is called
+    become their bytes' ids, or the unknown id where the model has no bytes. Sums of
+    scores are in doubles. Other columns aren't read; an id that is called
     ``ids`` raises an error.
     """
     if id_col.lower() == "ids":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 from collections import Counter
 
 import public_tokenizers
@@ -157,7 +158,7 @@ def test_pieces_are_the_librarys():
     assert [own.decode(x) for x in ids] == [lib.decode(x.tolist()) for x in ids]
 
 
-def test_forward_scores_are_sums_over_the_best_pieces():
+def test_words_of_one_trie_are_the_librarys():
     own = spm.Pieces(MODEL)
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     words = sorted({"\u2581the", "\u2581then", "\u2581there", "\u2581thermal", "\u2581xylophone"})
@@ -166,6 +167,59 @@ def test_forward_scores_are_sums_over_the_best_pieces():
         assert found == lib.encode(word[1:]) and "".join(own.names[i] for i in found) == word
 
 
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _message(*parts):
+    """Fields (number, text, bytes, float or whole number) in the wire format of protocol buffers."""
+    out = b""
+    for n, x in parts:
+        if isinstance(x, float):
+            out += _varint(n << 3 | 5) + struct.pack("<f", x)
+        elif isinstance(x, int):
+            out += _varint(n << 3) + _varint(x)
+        else:
+            x = x.encode() if isinstance(x, str) else x
+            out += _varint(n << 3 | 2) + _varint(len(x)) + x
+    return out
+
+
+def _score_model(scores, with_bytes):
+    """A model file of scores, written by hand: the pieces and what they score."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if with_bytes else []
+    pieces += [(p, x, 1) for p, x in scores.items()]
+    settings = _message((3, 1), (35, int(with_bytes)))
+    spaces = _message((1, "identity"), (3, 1), (4, 0), (5, 1))
+    return b"".join(_message((1, _message((1, p), (2, x), (3, k)))) for p, x, k in pieces) + _message((2, settings), (3, spaces))
+
+
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_scores_decide_in_models_of_scores(tmp_path, with_bytes):
+    rng = random.Random(4)
+    scores = {c: -rng.uniform(6, 9) for c in "\u2581abcdef1."}
+    for _ in range(150):
+        body = "".join(rng.choices("abcdef", k=rng.randrange(2, 6)))
+        scores.setdefault(rng.choice(["", "\u2581"]) + body, -rng.uniform(3, 14))
+    scores["\u2581bxa"] = -5.0  # holds a character that is no piece
+    path = tmp_path / "scores.model"
+    path.write_bytes(_score_model(scores, with_bytes))
+    own, lib = spm.Pieces(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["".join(rng.choices(["a", "b", "c", "d", "e", "f", "bxa", " ", "1", ".", "xx", "\u65e5"], k=rng.randrange(60))) for _ in range(800)] + ["", "abc" * 2000]
+    got = [memoryview(x).cast("i").tolist() for x in own.encode(texts)]
+    assert got == [lib.encode(t) for t in texts]
+    # a changed score changes the segmentation
+    changed = {p: x - 20.0 if len(p) > 2 else x for p, x in scores.items()}
+    path.write_bytes(_score_model(changed, with_bytes))
+    other = [memoryview(x).cast("i").tolist() for x in spm.Pieces(str(path)).encode(texts)]
+    assert other == [sentencepiece.SentencePieceProcessor(model_file=str(path)).encode(t) for t in texts] and other != got
+    assert not spm.by_scores(open(MODEL, "rb").read())
+
+
 def test_long_words_are_not_remembered():
     own = spm.Pieces(MODEL)
     own.encode(["y" * 5000 + " short"])
