@@ -279,13 +279,12 @@ def line_groups(rows: DataFrame, marks: str, row: str, order: list[Column], text
     )
     marked = rows.select(F.explode(marks).alias("m")).filter("size(m.keys) > 0")
     marked = marked.select(F.xxhash64("m.h").alias("u"), "m.w", "m.s", "m.keys")
-    most = f"floor({1 - least!r}D * greatest(a_size, b_size) + 1e-9D)"
 
     def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         edits_most = np.floor((1 - least) * np.maximum(a, b) + 1e-9)
         return np.where(np.abs(a - b) <= edits_most, 2 * edits_most, -1)
 
-    nearness = Nearness(f"if(abs(a_size - b_size) <= {most}, 2 * {most}, -1)", bits)
+    nearness = Nearness(bits)
 
     def line_texts(needed: DataFrame) -> DataFrame:
         at = distinct.select("u", F.col("first.row").alias("_row"), F.col("first.pos").alias("_pos"))

@@ -109,7 +109,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 def apart(a: np.ndarray, b: np.ndarray) -> int:
     """How many minima's bits differ."""
-    return int(Nearness("", differing, True).far(a.view(np.uint64), b.view(np.uint64)).sum())
+    return int(Nearness(differing, True).far(a.view(np.uint64), b.view(np.uint64)).sum())
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(100 * np.minimum(a, b) >= percent * np.maximum(a, b), most, -1)
 
-    nearness = Nearness(f"if(100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size), {most}, -1)", bits, True)
+    nearness = Nearness(bits, True)
     cells = heads.select("u", F.explode("bands").alias("cell"))
     roots = linked_in_cells(cells, heads.select("u", "size", "s"), nearness, details, similar)
     roots = durable(roots.toDF("u", "root"))

@@ -18,8 +18,10 @@ A fingerprint of 64 bits that differs in a few stands for near copies of very
 long texts only. ``one_of_similar`` therefore takes longer fingerprints, in
 which a shingle votes in one segment only: a shingle that one text has and the
 other hasn't leaves all other segments as they are, so similar texts agree on
-whole segments, and the Manhattan distance of their points there is zero. These
-cells give the candidates, which are verified by all shingles.
+whole segments, and the Manhattan distance of their points there is zero. A cell
+holds the texts with one point there. In it the Manhattan distance of the points
+of whole fingerprints, of all shingles, discards most pairs, the Hamming distance
+others, and what is left is verified by all shingles.
 """
 
 from __future__ import annotations
@@ -98,6 +100,12 @@ def point(f: str) -> str:
     return f"((({f} | shiftrightunsigned({f}, 1)) & {low}) | shiftleft(({f} & shiftrightunsigned({f}, 1)) & {low}, 1))"
 
 
+def points(prints: np.ndarray) -> np.ndarray:
+    """``point`` of the 64-bit numbers of an array; the bit count of two points' XOR is their Manhattan distance."""
+    low, one = np.uint64(0x5555555555555555), np.uint64(1)
+    return ((prints | prints >> one) & low) | (prints & prints >> one & low) << one
+
+
 def links(prints: DataFrame, max_bits: int = 2, heavy: int = 64) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of ``prints`` (f), so that all pairs within ``max_bits`` are connected.
 
@@ -210,7 +218,8 @@ def segment_keys(hashes: np.ndarray, least: float) -> np.ndarray:
 
     The number of segments goes with the number of shingles, in classes; a text
     whose like may have so many more as to be in the next class has that
-    class's segments too. A segment's print is the SimHash of its shingles.
+    class's segments too. A segment's print is the SimHash of its shingles, its
+    number follows from the point of that.
     """
     n = len(hashes)
     own = max(0, int(np.floor(np.log(n / FIRST) / np.log(RATIO) + 1e-9)))
@@ -230,7 +239,7 @@ def segment_keys(hashes: np.ndarray, least: float) -> np.ndarray:
         bits = np.unpackbits(hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
         sizes = np.diff(np.append(starts, len(at)))
-        prints = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+        prints = points(np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64))
         salt = (np.uint64(kind * USED + 1) + at[starts].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out.append((prints ^ salt) * np.uint64(0xBF58476D1CE4E5B9))
     return np.concatenate(out) if out else hashes[:1]
@@ -297,13 +306,11 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= least * (len(x) + len(y) - both) - 1e-9
 
-    most = f"if(least(a_size, b_size) < {SMALL}, {DIFFERING_SMALL}, {DIFFERING})"
-
     def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         small, large = np.minimum(a, b), np.maximum(a, b)
         return np.where(small >= least * large - 1e-9, np.where(small < SMALL, DIFFERING_SMALL, DIFFERING), -1)
 
-    nearness = Nearness(f"if(least(a_size, b_size) >= {least!r}D * greatest(a_size, b_size) - 1e-9D, {most}, -1)", bits)
+    nearness = Nearness(bits, point=points)
     cells = heads.select("u", F.explode("hashes").alias("cell"))
     roots = linked_in_cells(cells, heads.select("u", "size", "s"), nearness, details, similar).toDF("u", "root")
     rooted = sets.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))

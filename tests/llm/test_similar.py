@@ -55,3 +55,27 @@ def test_pairs_at_the_least_similarity_share_a_segment():
             a, b = (np.sort(np.delete(union, x)) for x in (gone[:split], gone[split:]))
             found += bool(set(simhash.segment_keys(a, 0.8).tolist()) & set(simhash.segment_keys(b, 0.8).tolist()))
         assert found >= 190, (n, found)
+
+
+def test_points_of_segments_and_of_whole_fingerprints():
+    """Segments go by the counts of their pairs of bits, and pairs in a cell by the distance of these before that of bits."""
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 1 << 63, (500, 4), dtype=np.uint64) for _ in range(2))
+    low = np.bitwise_count(simhash.points(a) ^ simhash.points(b)).sum(axis=1, dtype=int)
+    far = np.bitwise_count(a ^ b).sum(axis=1, dtype=int)
+    counts = lambda x: np.unpackbits(x.astype(">u8").view(np.uint8), axis=1).reshape(len(x), -1, 2).sum(axis=2, dtype=int)
+    assert (low == np.abs(counts(a) - counts(b)).sum(axis=1)).all() and (low <= far).all() and (low < far).any()
+    asked = []
+
+    def point(x):
+        asked.append(len(x))
+        return simhash.points(x)
+
+    nearness = components.Nearness(lambda x, y: np.full(np.broadcast(x, y).shape, 120), point=point)
+    sizes = np.full(500, 40)
+    i, j, found = components.near_in_block(a, b, (sizes, sizes), nearness)
+    every = np.bitwise_count(a[:, None] ^ b[None, :]).sum(axis=2, dtype=int)
+    assert asked == [500, 500] and sorted(zip(i, j, strict=True)) == sorted(zip(*np.nonzero(every <= 120), strict=True)) and (found == every[i, j]).all()
+    # a print and one whose pairs of bits count the same make one cell
+    one, other = (np.array([x], dtype=np.uint64) << np.uint64(32) for x in (0b0101, 0b1010))
+    assert simhash.segment_keys(one, 0.8).tolist() == simhash.segment_keys(other, 0.8).tolist()
