@@ -169,15 +169,10 @@ class WordMemory:
         self.passing = []
         if self.size > self.half:
             self.older, self.newer, self.size = self.newer, {}, 0
-        newer, older = self.newer, self.older
-        found = []
-        for w in words.difference(newer):
-            known = older.get(w)
-            if known is None:
-                found.append(w)
-            else:
-                self.put(w, known)
-        return found
+        absent, older = words.difference(self.newer), self.older
+        known = {w: older[w] for w in absent if w in older}
+        self.put_all(known)
+        return list(absent.difference(known))
 
     def put(self, word: str, known: bytes) -> None:
         """Remember a word, a long one only until ``missing`` is called again."""
@@ -187,6 +182,14 @@ class WordMemory:
         else:
             self.size += self.EACH + len(word) + len(known)
 
+    def put_all(self, known: dict[str, bytes]) -> None:
+        """``put`` of all of these."""
+        self.newer.update(known)
+        self.size += self.EACH * len(known) + sum(map(len, known)) + sum(map(len, known.values()))
+        for w in [w for w in known if len(w) > self.longest]:
+            self.passing.append(w)
+            self.size -= self.EACH + len(w) + len(known[w])
+
 
 def slices(texts: Sequence[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Consecutive runs of ``texts`` of about ``chars`` characters, so that what is built from a run stays small."""

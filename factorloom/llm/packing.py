@@ -23,6 +23,10 @@ from factorloom.llm.common import WordMemory, quoted, slices, worker_memory
 SEQUENCE_TOKENS = 4096
 #: Characters that the tokenizer never joins to a letter before them.
 PUNCTUATION = ".,;:!?#$%&*-+=/()[]{}\"_~"
+#: What bytes that aren't printed are as letters, as in tokenizers of bytes.
+LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: From here on what a letter is, and its small form, may differ between Unicode's versions.
+NEWER = "\u0530"
 #: What a Python worker remembers of words' ids, in bytes.
 MEMORY_BYTES = 160_000_000
 #: Characters of texts whose parts are looked up together.
@@ -47,46 +51,47 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            self.by_words = splits_words(json.load(file))
+        with open(path, encoding="utf-8") as opened:
+            file = json.load(opened)
+        self.by_words = splits_words(file)
         self.memory = WordMemory(MEMORY_BYTES)
+        self.letters = self._letters if takes_letters(file) else self._each
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each of which the tokenizer takes as one word also when they stand in a line."""
-        (found,) = self.tokenizer.encode_batch([" ".join(words)], add_special_tokens=False)
-        cuts = np.flatnonzero(np.diff(np.array(found.word_ids, dtype=np.int64))) + 1
-        if len(cuts) + 1 != len(words):
-            return self._each(words)
-        ids = array("I", found.ids).tobytes()
-        at = [0, *(4 * cuts).tolist(), len(ids)]
-        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+        """Ids of words of letters, straight from the tokenizer's model, which gets their bytes as letters after the normalization."""
+        low = [w if w.isascii() else "".join(map(str.lower, w)) for w in words]
+        known = [x.isascii() or x.isalpha() and max(w + x) < NEWER and is_normalized("NFC", w) for w, x in zip(words, low, strict=True)]
+        others = iter(self._each([w for w, k in zip(words, known, strict=True) if not k]))
+        tokens = self.tokenizer.model.tokenize
+        return [
+            array("I", [t.id for t in tokens(x if x.isascii() else x.encode().decode("latin-1").translate(LETTERS))]).tobytes() if k else next(others)
+            for x, k in zip(low, known, strict=True)
+        ]
 
     def _learn(self, parts: list[str]) -> None:
         memory = self.memory
         bases = [p.rstrip(PUNCTUATION) for p in parts]
-        bases = [b if b == p or _plain(b) else p for p, b in zip(parts, bases, strict=True)]
+        bases = [b if len(b) == len(p) or _plain(b) else p for p, b in zip(parts, bases, strict=True)]
         ends = [p[len(b) :] for p, b in zip(parts, bases, strict=True)]
         bases = [b.lower() if b.isascii() else b for b in bases]
         distinct = set(bases).union(ends).difference(memory.newer)
-        for b in [b for b in distinct if b in memory.older]:
-            memory.put(b, memory.older[b])
-            distinct.discard(b)
+        remembered = {b: memory.older[b] for b in distinct if b in memory.older}
+        memory.put_all(remembered)
+        distinct.difference_update(remembered)
         memory.put("", b"")
         letters = [b for b in distinct if b.isalpha()]
         others = list(distinct.difference(letters, [""]))
-        for words, encode in ((letters, self._letters), (others, self._each)):
+        for words, encode in ((letters, self.letters), (others, self._each)):
             for i in range(0, len(words), 2000):
                 some = words[i : i + 2000]
-                for w, ids in zip(some, encode(some), strict=True):
-                    memory.put(w, ids)
+                memory.put_all(dict(zip(some, encode(some), strict=True)))
         known = memory.newer
-        for part, base, end in zip(parts, bases, ends, strict=True):
-            if part not in known:
-                memory.put(part, known[base] + known[end] if end else known[base])
+        whole = zip(parts, bases, ends, strict=True)
+        memory.put_all({p: known[b] + known[e] if e else known[b] for p, b, e in whole if p not in known})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
@@ -109,6 +114,13 @@ def splits_words(file: dict) -> bool:
     return cuts[0].get("pattern") == {"Regex": words} and bool(cuts[0].get("invert")) and not cuts[1].get("add_prefix_space")
 
 
+def takes_letters(file: dict) -> bool:
+    """Whether the model of a tokenizer file that ``splits_words`` gets words of letters as a whole and as they are but for their bytes' letters."""
+    cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    whole = splits_words(file) and not cuts[1].get("use_regex", True) and (file.get("model") or {}).get("dropout") is None
+    return whole and not any(x["content"].isalpha() for x in file.get("added_tokens") or [])
+
+
 def _plain(word: str) -> bool:
     """Whether a word is of letters, and also after the tokenizer's normalization, so that punctuation behind it stays apart."""
     return word.isalpha() and (word.isascii() or is_normalized("NFC", word) and word.lower().isalpha())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -81,3 +82,15 @@ def test_memory_is_bounded_by_bytes():
             memory.put(w, b"1234")
         assert new <= set(memory.newer)
     assert memory.size <= 100_000 and len(memory.older) < 400 and sum(len(w) > 200 for w in memory.newer) == 1
+
+
+def test_letters_by_the_model_have_the_tokenizers_ids(monkeypatch):
+    """Words of letters go to the model itself, without the tokenizer's normalization of whole texts."""
+    encode = packing.WordIds(PATH)
+    words = ["the", "Queanç", "ÉTÉ", "straße", "ΣΟΦΟΣ", "Ёлка", "İstanbul", "e\u0301te\u0301", "日本", "ﬁn", "ꟋA", "unbelievablement"]
+    want = [array("I", encode.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in words]
+    each = encode._each
+    asked = []
+    monkeypatch.setattr(encode, "_each", lambda some: asked.extend(some) or each(some))
+    assert encode.letters([w.lower() if w.isascii() else w for w in words]) == want
+    assert not {"the", "Queanç", "ÉTÉ", "straße", "ΣΟΦΟΣ", "Ёлка", "unbelievablement"}.intersection(asked)
