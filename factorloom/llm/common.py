@@ -86,7 +86,7 @@ def forget(spark: SparkSession, places: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, narrow: bool = True) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], count: str, narrow: bool = True) -> DataFrame:
     """``left`` and ``right`` joined on ``key``, whose rows in ``left`` may be dealt as unevenly as can be.
 
     ``right`` has a row for each key and in ``count`` how many rows of ``left``

@@ -3,9 +3,11 @@
 In each round every node hooks to the neighbour (or itself) that comes first in
 a random order, which is the order of a hash of the node. Links between hooks
 make up the next, smaller graph. A constant share of the nodes goes in each
-round, whatever the graph looks like. Neighbourhoods are only ever aggregated
-to their minimum, so a node with very many links is no burden, and nothing but
-counts comes to the driver.
+round, whatever the graph looks like. Before each round a task replaces what it
+has of the links, some at a time, by stars around the first node of what these
+connect, so what lies together is done in one round. Neighbourhoods are only
+ever aggregated to their minimum, so a node with very many links is no burden,
+and nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from factorloom.llm.common import HOT_KEYS, durable, join_hot, light, stored
 
@@ -30,6 +33,51 @@ BLOCK, LINKED = 16_384, 1024
 AT_A_TIME, ROWS = 1 << 20, 20_000
 #: Bytes of details that a task holds of one side of a group of pairs, about.
 HELD = 8 << 20
+#: Links that a task makes stars of at a time, about.
+STARRED = 1 << 19
+
+
+def first_of(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least of the numbers under ``n`` that the links (i, j) connect each number with."""
+    first = np.arange(n)
+    while True:
+        x, y = first[i], first[j]
+        apart = x != y
+        if not apart.any():
+            return first
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(first, np.maximum(x, y), np.minimum(x, y))
+        while (first[first] != first).any():
+            first = first[first]
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (a, b) of longs that connect what ``links`` do: those that lie together in a task as stars around the first in the order of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= STARRED:
+                yield of(held)
+                held = []
+        if held:
+            yield of(held)
+
+    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        a, b, ha, hb = (table.column(c).to_numpy() for c in ("a", "b", "ha", "hb"))
+        nodes, at = np.unique(np.concatenate([a, b]), return_index=True)
+        hashes = np.concatenate([ha, hb])[at]
+        order = np.lexsort((nodes, hashes))
+        nodes, place = nodes[order], np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        known = nodes[np.argsort(nodes)]
+        first = first_of(place[np.searchsorted(known, a)], place[np.searchsorted(known, b)], len(nodes))
+        some = np.flatnonzero(first != np.arange(len(nodes)))
+        return _links(nodes[some], nodes[first[some]])
+
+    return links.select("a", "b", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb")).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, limit: int = 200) -> DataFrame:
@@ -42,7 +90,8 @@ def components(links: DataFrame, limit: int = 200) -> DataFrame:
     """
     kind = links.schema["a"].dataType
     # read from Parquet, as what the optimizer knows of checkpointed links may grow from round to round
-    edges = stored(links.filter("a is not null and b is not null and a <> b").select("a", "b").distinct())
+    starred = _stars if isinstance(kind, LongType) and isinstance(links.schema["b"].dataType, LongType) else DataFrame.distinct
+    edges = stored(starred(links.filter("a is not null and b is not null and a <> b").select("a", "b")))
     steps: list[DataFrame] = []
     for _ in range(limit):
         if edges.isEmpty():
@@ -58,9 +107,8 @@ def components(links: DataFrame, limit: int = 200) -> DataFrame:
         steps.append(hooks.select("node", "root"))
         joined = join_hot(edges, hooks.toDF("a", "ra", "n"), "a", "n")
         joined = join_hot(joined, hooks.toDF("b", "rb", "n"), "b", "n")
-        edges = durable(
-            joined.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
+        joined = joined.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        edges = durable(starred(joined.distinct()))
     else:
         raise RuntimeError(f"links are not connected after {limit} rounds")
     if not steps:
@@ -377,14 +425,13 @@ def _linked_apart(rows: DataFrame, known: DataFrame, nearness: Nearness, similar
 
 
 def verified(pairs: DataFrame, known: DataFrame, similar: Callable[[object, object], bool]) -> DataFrame:
-    """The pairs (a, b) whose details (u, x, bytes) are similar.
+    """The pairs (a, b), which are read several times, whose details (u, x, bytes) are similar.
 
     Pairs that hang together are dealt to one group, in which a node's details
     are sent once, however many pairs it has there. The group is told by the
     node with the least hash among a node and its partners; large groups are cut
     into blocks of nodes by another hash, and pairs into those of two blocks.
     """
-    pairs = stored(pairs)
     ends = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = F.min(F.struct(F.xxhash64("b").alias("h"), "b"))
     own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"))
@@ -459,5 +506,8 @@ def linked_in_cells(
         rows = rooted(members.join(light(unsettled, k), "cell", "left_semi"), "u", "root")
         more = stored(_linked_apart(rows, known, nearness, similar, BLOCK))
         if not more.isEmpty():
-            roots = durable(components(links.unionAll(more)))
+            moved = durable(components(more).toDF("root", "to"))
+            m = moved.count()
+            alone = moved.toDF("u", "root").join(roots, "u", "left_anti")
+            roots = roots.join(light(moved, m), "root", "left").select("u", F.coalesce("to", "root").alias("root")).unionAll(alone)
     return roots.toDF("node", "root")

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,22 +62,26 @@ def blocks_of(classes: np.ndarray) -> np.ndarray:
     return np.round(HASHED * RATIO**classes / WORDS_PER_BLOCK).astype(np.int64)
 
 
-def votes(bits: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The SimHash of each run of words: of each bit whether over half of the words have it. bits: by code, a byte for a bit, eight in a number."""
+def votes(hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The SimHash of each run of words: of each bit of their hashes (by code) whether over half of the words have it."""
     counts = np.diff(np.append(starts, len(codes)))
     out = np.zeros(len(starts), dtype=np.uint64)
-    for count in np.unique(counts) if len(starts) else ():
+    for count in np.unique(counts).tolist() if len(starts) else ():
         where = np.flatnonzero(counts == count)
-        for at in range(0, len(where), max(1, 200_000 // int(count))):
-            some = where[at : at + max(1, 200_000 // int(count))]
-            total = np.zeros((len(some), 64), dtype=np.int32)
-            part = np.zeros((len(some), 8), dtype=np.uint64)
-            for k in range(int(count)):  # a byte counts up to 255 words
-                part += bits[codes[starts[some] + k]]
-                if k % 255 == 254 or k == count - 1:
-                    total += part.view(np.uint8).reshape(-1, 64)
-                    part[:] = 0
-            out[some] = np.packbits(2 * total > count, axis=1).view(">u8").reshape(-1)
+        first = starts[where]
+        # how often each bit is set, as a number whose digits are the same bit of some words
+        digits: list[np.ndarray] = []
+        for k in range(count):
+            carry = hashes[codes[first + k]]
+            for d, digit in enumerate(digits):
+                digits[d], carry = digit ^ carry, digit & carry
+            if len(digits) < (k + 1).bit_length():
+                digits.append(carry)
+        # that number over half of the count, from the last digit on
+        over = np.zeros(len(where), dtype=np.uint64)
+        for d, digit in enumerate(digits):
+            over = digit & over if count // 2 >> d & 1 else digit | over
+        out[where] = over
     return out
 
 
@@ -99,17 +104,21 @@ def line_blocks(lines: list[list[str]], least: float) -> tuple[np.ndarray, np.nd
     are 128 bits, or more in a line of 128 words or more, so that they are twice
     its words at least, or nearly.
     """
-    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    codes, distinct = pd.factorize(np.array([w for own in lines for w in own], dtype=object))
+    return _blocks(pa.array(lines, pa.list_(pa.string())), least)
+
+
+def _blocks(lines: pa.ListArray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = lines.value_lengths().to_numpy().astype(np.int64)
+    words = lines.flatten().dictionary_encode()
+    codes, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_numpy(zero_copy_only=False)
     hashes = pd.util.hash_array(distinct, hash_key=HASH_KEY, categorize=False)
-    chars = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
+    chars = pc.utf8_length(words.dictionary).to_numpy()
     line = np.repeat(np.arange(len(sizes)), sizes)
     wide = sketch_bits(sizes)
     from_bit = np.cumsum(wide) - wide
     at = from_bit[line] + (hashes.view(np.int64)[codes] & (wide[line] - 1))
     odd = (np.bincount(at, minlength=int(wide.sum())) & 1).astype(np.uint8)
     sketches = np.packbits(odd).view(np.int64)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     ends = np.cumsum(sizes)
@@ -119,7 +128,7 @@ def line_blocks(lines: list[list[str]], least: float) -> tuple[np.ndarray, np.nd
         size = end - start
         first = np.cumsum(size) - size
         inside = np.repeat(start - first, size) + np.arange(size.sum())
-        found.append((some, mixed(votes(bits, codes[inside], first), kind)))
+        found.append((some, mixed(votes(hashes, codes[inside], first), kind)))
 
     # halves of lines of few words, as the lines that have as many words or one fewer are cut
     for fewer in (0, 1):
@@ -159,54 +168,55 @@ def line_blocks(lines: list[list[str]], least: float) -> tuple[np.ndarray, np.nd
         starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         enough = np.diff(np.append(starts, len(cell))) >= LEAST_VOTES
         at, of = cell[starts] // USED, cell[starts] % USED
-        found.append((at[enough], mixed(votes(bits, code, starts), 1 << 20 | kind[at] * USED + of)[enough]))
+        found.append((at[enough], mixed(votes(hashes, code, starts), 1 << 20 | kind[at] * USED + of)[enough]))
     at = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
     keys = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
     order = np.argsort(at, kind="stable")
     return at[order], keys[order].view(np.int64), sketches
 
 
-def line_marks(texts: list[str], min_words: int, least: float, seen: list[set[bytes]]) -> tuple[np.ndarray, list[pa.Array]]:
-    """(lines before each text's end, columns pos, h, w, s, keys) of every line of some texts that has a word.
+def line_marks(texts: list[str], min_words: int, least: float, seen: list[set[bytes]]) -> list[pa.Array]:
+    """For some texts the (pos, u, v) of every line that has a word, and the (pos, u, w, s, keys) of those that are compared.
 
-    Only lines of ``min_words`` words or more have a number of words w, a
-    sketch s and keys, and of equal ones only the first that isn't in ``seen``.
+    u and v are the line's hash. Only lines of ``min_words`` words or more are
+    compared, of equal ones only the first that isn't in ``seen``: w is the
+    number of words, s a sketch.
     """
-    place, pos, hashes, new, words = [], [], [], [], []
+    pos, hashes, new, lines, ends, new_ends = [], [], [], [], [0], [0]
     digest = xxhash.xxh3_128_digest
-    for k, text in enumerate(texts):
+    for text in texts:
         for j, line in enumerate(text.lower().split("\n")):
             own = line.split()
             if not own:
                 continue
-            h = digest(" ".join(own).encode("utf-8", "replace"))
+            normal = " ".join(own)
+            h = digest(normal.encode("utf-8", "replace"))
             if len(own) >= min_words and h not in seen[0] and h not in seen[1]:
                 if len(seen[0]) >= REMEMBERED // 2:
                     seen[1] = seen[0]
                     seen[0] = set()
                 seen[0].add(h)
                 new.append(len(pos))
-                words.append(own)
-            place.append(k)
+                lines.append(normal)
             pos.append(j)
             hashes.append(h)
-    w, longs, count = (np.zeros(len(pos), dtype=np.int64) for _ in range(3))
-    sketches = np.zeros(0, dtype=np.int64)
-    keys = np.zeros(0, dtype=np.int64)
-    if words:
-        at, keys, sketches = line_blocks(words, least)
-        w[new] = [len(x) for x in words]
-        longs[new] = sketch_bits(w[new]) // 64
-        count[new] = np.bincount(at, minlength=len(words))
-    ends = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(texts)))]).astype(np.int32)
-    of_sketch = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(longs)).astype(np.int32)), pa.array(sketches))
-    of_keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(keys))
-    return ends, [pa.array(pos, pa.int32()), pa.array(hashes, pa.binary()), pa.array(w.astype(np.int32)), of_sketch, of_keys]
-
-
-def with_marks(docs: DataFrame, text_col: str, marks: str, min_words: int, least: float) -> DataFrame:
-    """``docs`` and a column of the marks of each text's lines, an array of (pos, h, w, s, keys)."""
-    kind = "array<struct<pos:int,h:binary,w:int,s:array<bigint>,keys:array<bigint>>>"
+        ends.append(len(pos))
+        new_ends.append(len(new))
+    at, keys, sketches = _blocks(pc.split_pattern(pa.array(lines, pa.string()), " "), least)
+    w = pc.add(pc.count_substring(pa.array(lines, pa.string()), " "), 1).to_numpy()
+    pos, both = np.array(pos, dtype=np.int32), np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
+    u, v = both[:, 0].copy(), both[:, 1].copy()
+    all_rows = pa.StructArray.from_arrays(list(map(pa.array, (pos, u, v))), ["pos", "u", "v"])
+    lists = (sketch_bits(w) // 64, sketches), (np.bincount(at, minlength=len(lines)), keys)
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(x)) for n, x in lists]
+    new_rows = pa.StructArray.from_arrays([pa.array(pos[new]), pa.array(u[new]), pa.array(w.astype(np.int32)), *lists], ["pos", "u", "w", "s", "keys"])
+    return [pa.ListArray.from_arrays(pa.array(e, pa.int32()), x) for e, x in ((ends, all_rows), (new_ends, new_rows))]
+
+
+def with_marks(docs: DataFrame, text_col: str, marks: str, compared: str, min_words: int, least: float) -> DataFrame:
+    """``docs`` and columns of the marks of each text's lines: an array of (pos, u, v) and one of (pos, u, w, s, keys) of lines that are compared."""
+    kind = "array<struct<pos:int,u:bigint,v:bigint>>"
+    kind_compared = "array<struct<pos:int,u:bigint,w:int,s:array<bigint>,keys:array<bigint>>>"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +226,11 @@ def with_marks(docs: DataFrame, text_col: str, marks: str, min_words: int, least
             texts = [t or "" for t in batch.column(at).to_pylist()]
             done = 0
             for part in slices(texts):
-                ends, columns = line_marks(part, min_words, least, seen)
-                rows = pa.StructArray.from_arrays(columns, ["pos", "h", "w", "s", "keys"])
                 own = batch.slice(done, len(part))
                 done += len(part)
-                arrays = [*own.columns, pa.ListArray.from_arrays(pa.array(ends), rows)]
-                yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, marks])
+                yield pa.RecordBatch.from_arrays([*own.columns, *line_marks(part, min_words, least, seen)], [*batch.schema.names, marks, compared])
 
-    schema = docs.select("*", F.lit(None).cast(kind).alias(marks)).schema
+    schema = docs.select("*", F.lit(None).cast(kind).alias(marks), F.lit(None).cast(kind_compared).alias(compared)).schema
     return docs.mapInArrow(run, schema)
 
 
@@ -263,22 +270,15 @@ def similar(a: str, b: str, least: float) -> bool:
     return edits(x, y, most) <= most
 
 
-def line_groups(rows: DataFrame, marks: str, row: str, order: list[Column], text: Column, least: float) -> DataFrame:
-    """(h, keep_row, keep_pos, n) for each hash of more than one occurrence or with near copies: which occurrence stays, and how many there are.
+def lines_gone(rows: DataFrame, marks: str, compared: str, row: str, order: list[Column], text: Column, least: float) -> DataFrame:
+    """(row, pos) of each occurrence of a line that goes, as one of its group comes before it.
 
-    rows: documents with ``marks``, a number ``row`` of their own and a text;
-    order: what comes first of a group, before row and place.
+    rows: documents with ``marks`` and ``compared``, a number ``row`` of their
+    own and a text; order: what comes first of a group, before row and place.
     """
-    lines = rows.select(row, *[x.alias(f"_o{k}") for k, x in enumerate(order)], F.explode(marks).alias("m"))
-    place = F.struct(*[f"_o{k}" for k in range(len(order))], F.col(row).alias("row"), F.col("m.pos").alias("pos"))
-    distinct = stored(
-        lines.select(place.alias("first"), "m.h")
-        .groupBy("h")
-        .agg(F.min("first").alias("first"), F.count("*").alias("n"))
-        .withColumn("u", F.xxhash64("h"))
-    )
-    marked = rows.select(F.explode(marks).alias("m")).filter("size(m.keys) > 0")
-    marked = marked.select(F.xxhash64("m.h").alias("u"), "m.w", "m.s", "m.keys")
+    copies = rows.select(F.inline(marks)).groupBy("u", "v").agg(F.count("*").alias("n")).filter("n > 1")
+    copies = durable(copies.groupBy("u").agg(F.sum("n").alias("n")))
+    marked = rows.select(F.col(row).alias("_row"), F.inline(compared))
 
     def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         edits_most = np.floor((1 - least) * np.maximum(a, b) + 1e-9)
@@ -287,8 +287,8 @@ def line_groups(rows: DataFrame, marks: str, row: str, order: list[Column], text
     nearness = Nearness(bits)
 
     def line_texts(needed: DataFrame) -> DataFrame:
-        at = distinct.select("u", F.col("first.row").alias("_row"), F.col("first.pos").alias("_pos"))
-        at = durable(at.join(light(needed, needed.count()), "u").groupBy("_row").agg(F.collect_list(F.struct("_pos", "u")).alias("_at")))
+        at = marked.select("u", "_row", F.col("pos").alias("_pos")).join(light(needed, needed.count()), "u").dropDuplicates(["u"])
+        at = durable(at.groupBy("_row").agg(F.collect_list(F.struct("_pos", "u")).alias("_at")))
         texts = (
             rows.select(F.col(row).alias("_row"), text.alias("_text"))
             .join(light(at, at.count()), "_row")
@@ -299,12 +299,16 @@ def line_groups(rows: DataFrame, marks: str, row: str, order: list[Column], text
 
     cells = marked.select("u", F.explode("keys").alias("cell"))
     sketched = marked.select("u", F.col("w").alias("size"), "s")
-    roots = durable(linked_in_cells(cells, sketched, nearness, line_texts, lambda x, y: similar(x, y, least)).toDF("u", "root"))
-    grouped = distinct.join(light(roots, roots.count()), "u", "left").filter("root is not null or n > 1")
-    grouped = durable(grouped.select("h", "n", "first", F.coalesce("root", "u").alias("root")))
-    keep = durable(grouped.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("k")))
-    found = join_hot(grouped.select("h", "n", "root"), keep, "root", "k")
-    return found.select("h", F.col("keep.row").alias("keep_row"), F.col("keep.pos").alias("keep_pos"), "n")
+    roots = linked_in_cells(cells, sketched, nearness, line_texts, lambda x, y: similar(x, y, least)).toDF("u", "root")
+    # lines without near copies that agree in half of the hash only are no group: v tells them apart
+    groups = durable(copies.join(roots, "u", "full").select("u", F.coalesce("n", F.lit(1)).alias("n"), "root"))
+    places = [x.alias(f"_o{k}") for k, x in enumerate(order)]
+    lines = rows.select(F.col(row).alias("row"), *places, F.inline(marks))
+    found = join_hot(lines, groups, "u", "n").withColumns({"v": F.when(F.col("root").isNull(), F.col("v")).otherwise(0), "root": F.coalesce("root", "u")})
+    place = F.struct(*[f"_o{k}" for k in range(len(order))], "row", "pos")
+    found = stored(found.select("root", "v", place.alias("place")))
+    keep = durable(found.groupBy("root", "v").agg(F.min("place").alias("keep"), F.count("*").alias("k")).filter("k > 1"))
+    return join_hot(found, keep, ["root", "v"], "k").filter("place.row <> keep.row or place.pos <> keep.pos").select("place.row", "place.pos")
 
 
 def _normal(line: Column) -> Column:
@@ -351,15 +355,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0.8 <= least <= 1:
         raise ValueError("similar lines are found from 0.8 on")
     names = [c for c in docs.columns if c.lower() != "n_removed"]
-    row, marks, drop = fresh(docs, "_row", "_marks", "_drop")
+    row, marks, compared, drop = fresh(docs, "_row", "_marks", "_compared", "_drop")
     rows = docs.select(*map(quoted, names)).withColumn(row, F.monotonically_increasing_id())
-    rows = stored(with_marks(rows, text_col, marks, max(2, min_words), least))
+    rows = stored(with_marks(rows, text_col, marks, compared, max(2, min_words), least))
     order = [quoted(id_col).isNull(), quoted(id_col)]
-    keep = durable(line_groups(rows, marks, row, order, quoted(text_col), least))
-    lines = rows.select(F.col(row).alias("row"), F.explode(marks).alias("m")).select("row", "m.pos", "m.h")
-    found = join_hot(lines, keep, "h", "n")
-    gone = durable(found.filter("row <> keep_row or pos <> keep_pos").groupBy(F.col("row").alias(row)).agg(F.collect_list("pos").alias(drop)))
-    found = rows.drop(marks).join(light(gone, gone.count()), row, "left")
+    gone = lines_gone(rows, marks, compared, row, order, quoted(text_col), least)
+    gone = durable(gone.groupBy(F.col("row").alias(row)).agg(F.collect_list("pos").alias(drop)))
+    found = rows.drop(marks, compared).join(light(gone, gone.count()), row, "left")
     text = F.when(F.col(drop).isNull(), quoted(text_col)).otherwise(_without(quoted(text_col), F.col(drop)))
     kept = [(text.alias(c) if c == text_col else quoted(c)) for c in names]
     return found.select(*kept, F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_removed"))
