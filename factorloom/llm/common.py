@@ -60,14 +60,14 @@ def durable(df: DataFrame) -> DataFrame:
 _written: dict[str, list[str]] = {}
 
 
-def stored(df: DataFrame, places: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, places: list[str] | None = None, level: int = 3) -> DataFrame:
     """``df``, written once as compressed Parquet into the shared folder; it stays there until ``forget``, ``clear_stored`` or until the folder is cleared.
 
-    places: gets where it is, for ``forget``.
+    places: gets where it is, for ``forget``; level: of compression, 1 for what is mostly hashes.
     """
     folder = shared_folder(df.sparkSession)
     path = f"{folder}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     _written.setdefault(folder, []).append(path)
     if places is not None:
         places.append(path)

@@ -27,10 +27,14 @@ from factorloom.llm.common import HOT_KEYS, durable, join_hot, light, stored
 HOT_SAMPLE = 32
 #: In cells of up to so many members all pairs that may be links are looked at.
 PAIRED = 8
+#: Groups of up to so many members are compared together.
+TOGETHER = 64
+#: Parts that cells are dealt to, and cells that a task deals out at a time.
+PARTS, DEALT = 512, 1 << 20
 #: Members of a cell in a block, and those in a block whose details are there too.
 BLOCK, LINKED = 16_384, 1024
 #: Pairs whose sketches are compared at a time, and rows of small cells.
-AT_A_TIME, ROWS = 1 << 20, 20_000
+AT_A_TIME, ROWS = 1 << 18, 20_000
 #: Bytes of details that a task holds of one side of a group of pairs, about.
 HELD = 8 << 20
 #: Links that a task makes stars of at a time, about.
@@ -138,6 +142,94 @@ def _shared(cells: DataFrame) -> DataFrame:
     return cold.unionByName(some.join(F.broadcast(sizes.filter("n > 1")), "cell"))
 
 
+def as_binary(longs: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary for each run of so many longs."""
+    ends = np.append(0, np.cumsum(lengths) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(longs))])
+
+
+def longs_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The longs of all rows of lists or binaries without nulls, and how many each row has."""
+    x = column.combine_chunks()
+    if not pa.types.is_binary(x.type):
+        return x.flatten().to_numpy(), x.value_lengths().to_numpy()
+    if not len(x) or x.buffers()[2] is None:
+        return np.zeros(0, dtype=np.int64), np.zeros(len(x), dtype=np.int32)
+    ends = np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset)
+    return np.frombuffer(x.buffers()[2], np.int64, int(ends[-1] - ends[0]) // 8, int(ends[0])), np.diff(ends) // 8
+
+
+def shared_cells(nodes: DataFrame) -> DataFrame:
+    """The rows (cell, u, n) of cells that have n > 1 nodes u, each once; nodes: (u, cells), rows may be repeated, cells being longs in a binary.
+
+    Tasks deal cells out in arrays, one for each part of all cells, as there may
+    be many for each node and most are of one node only. Members of hot cells,
+    as a sample of the nodes tells these, are dealt out by node, so they are
+    never gathered in one task; their n is what the sample says.
+    """
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(longs_of(pa.chunked_array([batch.column(0)]))[0])], ["cell"])
+
+    sample = nodes.filter(F.pmod(F.xxhash64(F.col("u"), F.lit(1)), F.lit(HOT_SAMPLE)) == 0).select("cells").mapInArrow(opened, "cell long")
+    counts = durable(sample.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 2"))
+    least = (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
+    found = counts.filter(F.col("n") > least).orderBy(F.desc("n")).limit(HOT_KEYS).orderBy("cell").collect()
+    hot, size = np.array([r["cell"] for r in found], dtype=np.int64), np.array([r["n"] * HOT_SAMPLE for r in found], dtype=np.int64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, cells, n = [], [], 0
+        for batch in batches:
+            own, lengths = longs_of(pa.chunked_array([batch.column(1)]))
+            us.append(np.repeat(batch.column(0).to_numpy(), lengths))
+            cells.append(own)
+            n += len(own)
+            if n >= DEALT:
+                yield parted(np.concatenate(us), np.concatenate(cells))
+                us, cells, n = [], [], 0
+        if n:
+            yield parted(np.concatenate(us), np.concatenate(cells))
+
+    def parted(u: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+        part = _part(cell)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+            part = np.where(hot[at] == cell, PARTS + _part(u), part)
+        order = np.argsort(part.astype(np.uint16), kind="stable")
+        lengths = np.bincount(part, minlength=2 * PARTS)
+        some = np.flatnonzero(lengths)
+        columns = [pa.array(some.astype(np.int32)), as_binary(u[order], lengths[some]), as_binary(cell[order], lengths[some])]
+        return pa.RecordBatch.from_arrays(columns, ["part", "us", "cells"])
+
+    def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        u, cell = longs_of(table.column("us"))[0], longs_of(table.column("cells"))[0]
+        is_hot = np.repeat(table.column("part").to_numpy() >= PARTS, longs_of(table.column("us"))[1])
+        order = np.argsort(cell)
+        same = cell[order][1:] == cell[order][:-1]
+        some = order[(np.append(False, same) | np.append(same, False))[: len(order)] | is_hot[order]]
+        u, cell, is_hot = u[some], cell[some], is_hot[some]
+        order = np.lexsort((u, cell))
+        u, cell, is_hot = u[order], cell[order], is_hot[order]
+        first = np.append(True, cell[1:] != cell[:-1])[: len(cell)]
+        once = first | np.append(True, u[1:] != u[:-1])[: len(cell)]
+        u, cell, is_hot, first = u[once], cell[once], is_hot[once], first[once]
+        starts = np.flatnonzero(first)
+        members = np.diff(np.append(starts, len(cell)))
+        n = np.repeat(members, members)
+        if len(hot):
+            n = np.where(is_hot, size[np.minimum(np.searchsorted(hot, cell), len(hot) - 1)], n)
+        taken = n > 1
+        yield pa.RecordBatch.from_arrays([pa.array(cell[taken]), pa.array(u[taken]), pa.array(n[taken])], ["cell", "u", "n"])
+
+    return _streamed(nodes.select("u", "cells").mapInArrow(dealt, "part int, us binary, cells binary"), ["part", "part"], met, "cell long, u long, n long")
+
+
+def _part(x: np.ndarray) -> np.ndarray:
+    """The part of each of some longs: the highest bits of a product."""
+    return (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Nearness:
     """What every link fulfils, by the sizes and sketches of its ends.
@@ -168,18 +260,22 @@ def folded(sketches: np.ndarray, words: int) -> np.ndarray:
 
 
 def near_in_block(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], nearness: Nearness) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, far) of the pairs of two blocks of sketches that may be links."""
-    most = nearness.bits(sizes[0][:, None], sizes[1][None, :])
+    """(i, j, far) of the pairs of two blocks of sketches that may be links; few sizes in the first block leave few pairs to compare."""
+    (p, of_a), (q, of_b) = (np.unique(x, return_inverse=True) for x in sizes)
+    kind = np.int16 if 64 * a.shape[1] < 1 << 15 else np.int32
+    table = np.minimum(nearness.bits(p[:, None], q[None, :]), 64 * a.shape[1]).astype(kind)
+    fits = np.flatnonzero((table >= 0).any(axis=0)[of_b])
+    b, most = b[fits], table[of_a][:, of_b[fits]] if len(p) > 1 else table[:, of_b[fits]]
     p, q = (a, b) if nearness.point is None else (nearness.point(a), nearness.point(b))
-    low = np.zeros(most.shape, dtype=np.int32)
+    low = np.zeros((len(a), len(b)), dtype=kind)
     for w in range(a.shape[1]):
         low += nearness.far(p[:, w, None], q[None, :, w])
     i, j = np.nonzero(low <= most)
     if nearness.point is None:
-        return i, j, low[i, j]
+        return i, fits[j], low[i, j]
     far = nearness.far(a[i], b[j]).sum(axis=1, dtype=np.int32)
-    near = far <= most[i, j]
-    return i[near], j[near], far[near]
+    near = far <= np.broadcast_to(most, low.shape)[i, j]
+    return i[near], fits[j[near]], far[near]
 
 
 class Members:
@@ -188,31 +284,68 @@ class Members:
     def __init__(self, rows: pa.Table, nearness: Nearness):
         self.nearness = nearness
         self.size = rows.column("size").to_numpy().astype(np.int64)
-        lists = rows.column("s").combine_chunks()
-        self.widths = lists.value_lengths().to_numpy()
-        self.words = lists.flatten().to_numpy().view(np.uint64)
+        words, self.widths = longs_of(rows.column("s"))
+        self.words = words.view(np.uint64)
         self.starts = np.cumsum(self.widths) - self.widths
-        self.kinds = np.unique(self.widths).tolist()
+        kinds, self.kind = np.unique(self.widths, return_inverse=True)
+        self.kinds = kinds.tolist()
 
     def _sketches(self, rows: np.ndarray, width: int, words: int) -> np.ndarray:
         return folded(self.words[self.starts[rows][:, None] + np.arange(width)[None, :]], words)
 
-    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of the pairs of rows that may be links."""
-        found = []
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, far) of those of the pairs of rows that may be links."""
         most = self.nearness.bits(self.size[i], self.size[j])
         fits = most >= 0
         i, j, most = i[fits], j[fits], most[fits]
-        for x in self.kinds:
-            for y in self.kinds:
-                some = np.flatnonzero((self.widths[i] == x) & (self.widths[j] == y))
+        kind = self.kind[i] * len(self.kinds) + self.kind[j]
+        found, distances = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for own in np.unique(kind).tolist():
+            x, y = self.kinds[own // len(self.kinds)], self.kinds[own % len(self.kinds)]
+            all_own = np.flatnonzero(kind == own)
+            step = max(1, AT_A_TIME // max(x, y))
+            for at in range(0, len(all_own), step):
+                some = all_own[at : at + step]
                 a, b = self._sketches(i[some], x, min(x, y)), self._sketches(j[some], y, min(x, y))
                 if self.nearness.point is not None:
                     low = self.nearness.far(self.nearness.point(a), self.nearness.point(b)).sum(axis=1, dtype=np.int32) <= most[some]
                     some, a, b = some[low], a[low], b[low]
-                found.append(some[self.nearness.far(a, b).sum(axis=1, dtype=np.int32) <= most[some]])
-        taken = np.concatenate([np.zeros(0, dtype=np.int64), *found])
-        return i[taken], j[taken]
+                far = self.nearness.far(a, b).sum(axis=1, dtype=np.int64)
+                near = far <= most[some]
+                found.append(some[near])
+                distances.append(far[near])
+        taken = np.concatenate(found)
+        return i[taken], j[taken], np.concatenate(distances)
+
+    def near_within(self, starts: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, far) of the pairs within some of the groups of rows that begin at ``starts`` that may be links."""
+        sizes = np.diff(np.append(starts, len(self.size)))
+        left = np.repeat(np.where(some, sizes, 0), sizes) - (np.arange(len(self.size)) - np.repeat(starts, sizes))  # rows from one to its group's end
+        most = int(sizes[some].max(initial=0))
+        none = np.zeros(0, dtype=np.int64)
+        found, i, j, n = [], [none], [none], 0
+        for d in range(1, most):
+            one = np.flatnonzero(left > d)
+            i.append(one)
+            j.append(one + d)
+            n += len(one)
+            if n >= AT_A_TIME or d == most - 1:
+                found.append(self.near(np.concatenate(i), np.concatenate(j)))
+                i, j, n = [], [], 0
+        return tuple(np.concatenate([none, *(x[k] for x in found)]) for k in range(3))
+
+    def all_pairs(self, starts: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``near_within`` of all groups that are ``one_sided``, then ``pairs`` of each other one."""
+        together = self.one_sided(starts, side)
+        yield self.near_within(starts, together)
+        ends = np.append(starts[1:], len(self.size))
+        for start, end in zip(starts[~together].tolist(), ends[~together].tolist(), strict=True):
+            yield from self.pairs(start, end, side)
+
+    def one_sided(self, starts: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Which of the groups of rows that begin at ``starts``, sorted by side, have few members, all of one side, so that they are compared together."""
+        ends = np.append(starts[1:], len(self.size))
+        return (ends - starts <= TOGETHER) & (side[starts] == side[ends - 1])
 
     def pairs(self, start: int, end: int, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(i, j, far) of the pairs of rows from start to end that may be links: of different sides, if there are two."""
@@ -228,14 +361,14 @@ class Members:
                 if not len(left) or not len(right):
                     continue
                 own = not cross and x == y
+                left, right = (rows[np.argsort(self.size[rows], kind="stable")] for rows in (left, right))
                 a, b = self._sketches(left, x, min(x, y)), self._sketches(right, y, min(x, y))
                 step = max(1, AT_A_TIME // len(right))
                 for at in range(0, len(left), step):
                     some, low = left[at : at + step], at if own else 0
                     i, j, far = near_in_block(a[at : at + step], b[low:], (self.size[some], self.size[right[low:]]), self.nearness)
-                    i, j = some[i], right[low + j]
                     once = i < j if own else slice(None)
-                    yield i[once], j[once], far[once]
+                    yield some[i[once]], right[low + j[once]], far[once]
 
 
 class Joined:
@@ -338,15 +471,12 @@ def _near_pairs(members: DataFrame, nearness: Nearness, paired: int, block: int)
         starts = _starts(rows.to_batches(), GROUP)
         sizes = np.diff(np.append(starts, len(u)))
         whole = rows.column("n").to_numpy()[starts] <= paired
-        left = np.repeat(np.where(whole, sizes, 0), sizes) - (np.arange(len(u)) - np.repeat(starts, sizes))  # members from a row to its small cell's end
-        pairs = [np.flatnonzero(left > d) for d in range(1, paired)]
-        i = np.concatenate([np.zeros(0, dtype=np.int64), *pairs])
-        j = np.concatenate([np.zeros(0, dtype=np.int64), *[x + d for d, x in enumerate(pairs, 1)]])
-        i, j = own.near(i, j)
+        i, j, _ = own.near_within(starts, whole)
         yield _links(u[i], u[j], pa.nulls(len(i), pa.int64()))
-        found: list[tuple[int, int]] = []
         joined = Joined(np.arange(len(u)))
-        for start, n in zip(starts[~whole].tolist(), sizes[~whole].tolist(), strict=True):
+        together = ~whole & own.one_sided(starts, side)
+        found = forest(*own.near_within(starts, together), joined)
+        for start, n in zip(starts[~whole & ~together].tolist(), sizes[~whole & ~together].tolist(), strict=True):
             for i, j, far in own.pairs(start, start + n, side):
                 found += forest(i, j, far, joined)
         a, b = (np.array([x[k] for x in found], dtype=np.int64) for k in (0, 1))
@@ -379,10 +509,9 @@ def _linked_apart(rows: DataFrame, known: DataFrame, nearness: Nearness, similar
         root, side = table.column("root").to_numpy(), table.column("_p").to_numpy()
         starts = _starts(table.to_batches(), GROUP)
         near = np.zeros(len(root), dtype=bool)
-        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(root)], strict=True):
-            for i, j, _ in own.pairs(start, end, side):
-                apart = root[i] != root[j]
-                near[i[apart]] = near[j[apart]] = True
+        for i, j, _ in own.all_pairs(starts, side):
+            apart = root[i] != root[j]
+            near[i[apart]] = near[j[apart]] = True
         yield from table.select(kind.names).filter(pa.array(near)).combine_chunks().to_batches()
 
     some = _streamed(_blocked(rows, "n", block), [*GROUP, "_p"], met, kind, ROWS).dropDuplicates(["cell", "u"])
@@ -400,25 +529,23 @@ def _linked_apart(rows: DataFrame, known: DataFrame, nearness: Nearness, similar
         cells[known_by] = lists.flatten().to_numpy()
         starts = _starts(table.to_batches(), GROUP)
         a, b = [], []
-        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(root)], strict=True):
-            names, labels = np.unique(root, return_inverse=True)
-            joined = Joined(labels)
-            for i, j, far in own.pairs(start, end, side):
-                apart = root[i] != root[j]
-                order = np.argsort(far[apart], kind="stable")
-                i, j = i[apart][order], j[apart][order]
-                for at in range(0, len(i), 10_000):
-                    p, q = i[at : at + 10_000], j[at : at + 10_000]
-                    still = joined.labels[p] != joined.labels[q]
-                    p, q = p[still], q[still]
-                    shared = ((cells[p][:, :, None] == cells[q][:, None, :]) & known_by[q][:, None, :]).any(axis=2) & known_by[p]
-                    here = np.where(shared, cells[p], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == cell[start]
-                    for x, y in zip(p[here].tolist(), q[here].tolist(), strict=True):
-                        if joined.of(x) != joined.of(y) and similar(of(x), of(y)):
-                            joined.join(x, y)
-                            a.append(x)
-                            b.append(y)
-                    joined.settle()
+        joined = Joined(np.unique(root, return_inverse=True)[1])
+        for i, j, far in own.all_pairs(starts, side):
+            apart = root[i] != root[j]
+            order = np.argsort(far[apart], kind="stable")
+            i, j = i[apart][order], j[apart][order]
+            for at in range(0, len(i), 10_000):
+                p, q = i[at : at + 10_000], j[at : at + 10_000]
+                still = joined.labels[p] != joined.labels[q]
+                p, q = p[still], q[still]
+                shared = ((cells[p][:, :, None] == cells[q][:, None, :]) & known_by[q][:, None, :]).any(axis=2) & known_by[p]
+                here = np.where(shared, cells[p], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == cell[p]
+                for x, y in zip(p[here].tolist(), q[here].tolist(), strict=True):
+                    if joined.of(x) != joined.of(y) and similar(of(x), of(y)):
+                        joined.join(x, y)
+                        a.append(x)
+                        b.append(y)
+                joined.settle()
         yield _links(root[np.array(a, dtype=np.int64)], root[np.array(b, dtype=np.int64)])
 
     return _streamed(dealt, [*GROUP, "_p"], compared, "a long, b long").distinct()
@@ -473,8 +600,8 @@ def linked_in_cells(
 ) -> DataFrame:
     """(node, root) of the nodes that links between members of a cell connect; nodes are longs.
 
-    cells: (cell, u), rows may be repeated; info: (u, size, s), a row or equal
-    rows for each u, s being a sketch of 64-bit words; nearness: what every
+    cells: (cell, u), rows may be repeated, or what ``shared_cells`` gives; info: (u, size, s), a row or equal
+    rows for each u, s being a sketch of 64-bit words, a list or a binary; nearness: what every
     link fulfils; details: (u, x, bytes) of some nodes (u), x an array or a
     string of about so many bytes; similar: whether two x, an array as NumPy's,
     make a link.
@@ -487,7 +614,7 @@ def linked_in_cells(
     looked at then. So no link between two members of a cell is left out.
     """
     about = info.select("u", "size", "s").dropDuplicates(["u"])
-    members = stored(_shared(cells).join(about, "u"))
+    members = stored((cells if "n" in cells.columns else _shared(cells)).join(about, "u"))
     candidates = stored(_near_pairs(members, nearness, PAIRED, BLOCK))
     pairs = stored(candidates.select("a", "b").distinct())
     needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct())

@@ -23,20 +23,24 @@ candidates, and for the result. Between, only numbers are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import durable, fresh, join_hot, light, quoted, slices, stored, worker_memory
-from factorloom.llm.components import Nearness, linked_in_cells
-
-#: Of the 64-bit hash of words; 16 characters.
-HASH_KEY = "lines' word hash"
+from factorloom.llm.components import Nearness, as_binary, linked_in_cells, shared_cells
+
+#: The number of whose powers the 64-bit hash of a word is made, and that which undoes one.
+BASE = 0xD1342543DE82EF95
+DOWN = pow(BASE, -1, 2**64)
+#: Bytes that are hashed at a time, and the powers from 0 up to so many.
+HASHED_BYTES = 1 << 17
+POWERS, POWERS_DOWN = (np.cumprod(np.append(np.uint64(1), np.full(HASHED_BYTES, x, dtype=np.uint64))) for x in (BASE, DOWN))
 #: Lines of under so many words are also cut into halves, as are lines of a word fewer.
 HALVED = 15
 #: Words in a row that make up a block, the numbers of words of the lines that have such, from and to under, and how many of them from either end.
@@ -47,6 +51,11 @@ HASHED, USED = 25, 5
 RATIO, WORDS_PER_BLOCK = 1.6, 3.4
 #: Shorter words, as articles and prepositions are, have no vote by hash, unless they are over two thirds of a line's; a block has two votes or more.
 VOTING_CHARS, LEAST_VOTES = 4, 2
+#: Characters of texts whose words are told apart together, about.
+SLICE = 3_000_000
+#: White space other than the space and the line feed; with a part of it that is ASCII.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+ASCII_SPACES = "".join(c for c in SPACES if c.isascii())
 #: Lines that a task remembers so that repeated ones give their blocks once.
 REMEMBERED = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -57,6 +66,11 @@ def normalised(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def is_plain(text: str) -> bool:
+    """Whether the lines of a text have single spaces between words and no other white space, but for spaces at their ends."""
+    return "  " not in text and not any(c in text for c in (ASCII_SPACES if text.isascii() else SPACES))
+
+
 def blocks_of(classes: np.ndarray) -> np.ndarray:
     """How many blocks by hash lines of each class of lengths have."""
     return np.round(HASHED * RATIO**classes / WORDS_PER_BLOCK).astype(np.int64)
@@ -96,6 +110,28 @@ def sketch_bits(sizes: np.ndarray) -> np.ndarray:
     return 128 << np.clip(np.floor(np.log2(np.maximum(sizes, 1) / 64 + 1e-9)), 0, 6).astype(np.int64)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word from starts to ends, ascending, in bytes: a polynomial of its bytes, from sums over all bytes before its ends."""
+    sums = [np.empty(len(starts), dtype=np.uint64) for _ in range(2)]
+    low = np.zeros(HASHED_BYTES + 1, dtype=np.uint64)
+    back = np.empty(len(starts), dtype=np.uint64)
+    before, scale, down = 0, 1, 1
+    for first in range(0, len(data), HASHED_BYTES):
+        n = min(HASHED_BYTES, len(data) - first)
+        np.cumsum(np.multiply(data[first : first + n], POWERS[:n], dtype=np.uint64), out=low[1 : n + 1])
+        for found, places, off in zip(sums, (starts, ends), (0, 1), strict=True):
+            own = slice(*np.searchsorted(places, (first + off, first + n + off)))
+            found[own] = low[places[own] - first] * np.uint64(scale) + np.uint64(before)
+            if not off:
+                back[own] = POWERS_DOWN[places[own] - first] * np.uint64(down)
+        before = (before + int(low[n]) * scale) % 2**64
+        scale, down = (x * pow(y, HASHED_BYTES, 2**64) % 2**64 for x, y in ((scale, BASE), (down, DOWN)))
+    x = (sums[1] - sums[0]) * back
+    x = (x ^ (x >> np.uint64(32))) * MIX[1]
+    x = (x ^ (x >> np.uint64(29))) * MIX[0]
+    return x ^ (x >> np.uint64(32))
+
+
 def line_blocks(lines: list[list[str]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line of each key, keys, sketches) of lines of words; lines that agree on a block have a key in common.
 
@@ -104,19 +140,22 @@ def line_blocks(lines: list[list[str]], least: float) -> tuple[np.ndarray, np.nd
     are 128 bits, or more in a line of 128 words or more, so that they are twice
     its words at least, or nearly.
     """
-    return _blocks(pa.array(lines, pa.list_(pa.string())), least)
-
-
-def _blocks(lines: pa.ListArray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = lines.value_lengths().to_numpy().astype(np.int64)
-    words = lines.flatten().dictionary_encode()
-    codes, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_numpy(zero_copy_only=False)
-    hashes = pd.util.hash_array(distinct, hash_key=HASH_KEY, categorize=False)
-    chars = pc.utf8_length(words.dictionary).to_numpy()
+    return _blocks([" ".join(x).encode() for x in lines], np.array(list(map(len, lines)), dtype=np.int64), least)
+
+
+def _blocks(lines: list[bytes], sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(b" ".join(lines), dtype=np.uint8)
+    spaces = np.flatnonzero(data == 32)
+    first_byte, end_byte = (np.append(0, spaces + 1), np.append(spaces, len(data))) if len(lines) else (spaces, spaces)
+    hashes = word_hashes(data, first_byte, end_byte)
+    chars = end_byte - first_byte
+    further = data & 0xC0 == 0x80  # bytes that go on with a character
+    if further.any():
+        chars = chars - np.bincount(np.searchsorted(first_byte, np.flatnonzero(further), side="right") - 1, minlength=len(chars))
     line = np.repeat(np.arange(len(sizes)), sizes)
     wide = sketch_bits(sizes)
     from_bit = np.cumsum(wide) - wide
-    at = from_bit[line] + (hashes.view(np.int64)[codes] & (wide[line] - 1))
+    at = from_bit[line] + (hashes.view(np.int64) & (wide[line] - 1))
     odd = (np.bincount(at, minlength=int(wide.sum())) & 1).astype(np.uint8)
     sketches = np.packbits(odd).view(np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -128,7 +167,7 @@ def _blocks(lines: pa.ListArray, least: float) -> tuple[np.ndarray, np.ndarray,
         size = end - start
         first = np.cumsum(size) - size
         inside = np.repeat(start - first, size) + np.arange(size.sum())
-        found.append((some, mixed(votes(hashes, codes[inside], first), kind)))
+        found.append((some, mixed(votes(hashes, inside, first), kind)))
 
     # halves of lines of few words, as the lines that have as many words or one fewer are cut
     for fewer in (0, 1):
@@ -147,22 +186,22 @@ def _blocks(lines: pa.ListArray, least: float) -> tuple[np.ndarray, np.ndarray,
             rows(some, ends[some] - (k + 1) * width, ends[some] - k * width, np.full(len(some), width))
 
     # blocks by the words' hashes; each word of a line votes once, however often it stands there
-    once = pd.unique(line * len(distinct) + codes)
-    owner, word = once // len(distinct), once % len(distinct)
     own = np.floor(np.log(sizes / HASHED) / np.log(RATIO) + 1e-9).astype(np.int64)
-    longer = chars[word] >= VOTING_CHARS
-    few = 3 * np.bincount(owner[longer], minlength=len(sizes)) < np.bincount(owner, minlength=len(sizes))
-    chosen = (longer | few[owner]) & (sizes >= least * HASHED)[owner]
-    owner, word = owner[chosen], word[chosen]
-    top = (hashes >> np.uint64(32))[word]
-    for further in (0, 1):
-        kind = own + further
+    longer = chars >= VOTING_CHARS
+    few = 3 * np.bincount(line[longer], minlength=len(sizes)) < sizes
+    top = (hashes >> np.uint64(32)).view(np.int64)
+    kinds, most = [own, own + 1], []  # of each line the hashes up to which words are in a block that is used
+    for further, kind in enumerate(kinds):
         taken = (kind >= 0) & (sizes >= (least if further else 1) * HASHED * RATIO ** kind.astype(np.float64) - 1e-9)
-        block = (top * blocks_of(kind).astype(np.uint64)[owner] >> np.uint64(32)).astype(np.int64)
-        where = np.flatnonzero(taken[owner] & (block < USED))
+        most.append(np.where(taken, ((USED << 32) - 1) // np.maximum(blocks_of(kind), 1), -1))
+    chosen = np.flatnonzero((top <= np.maximum(*most)[line]) & (longer | few[line]))
+    word = chosen[~pd.Series(hashes[chosen] + mixed(line[chosen].view(np.uint64), line[chosen])).duplicated().to_numpy()]
+    owner, top = line[word], top[word]
+    for kind, low in zip(kinds, most, strict=True):
+        where = np.flatnonzero(top <= low[owner])
         if not len(where):
             continue
-        cell = owner[where] * USED + block[where]
+        cell = owner[where] * USED + (top[where] * blocks_of(kind)[owner[where]] >> 32)
         order = np.argsort(cell, kind="stable")
         cell, code = cell[order], word[where][order]
         starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -180,43 +219,46 @@ def line_marks(texts: list[str], min_words: int, least: float, seen: list[set[by
 
     u and v are the line's hash. Only lines of ``min_words`` words or more are
     compared, of equal ones only the first that isn't in ``seen``: w is the
-    number of words, s a sketch.
+    number of words, s a sketch. Sketches and keys are longs in a binary.
     """
-    pos, hashes, new, lines, ends, new_ends = [], [], [], [], [0], [0]
+    pos, hashes, new, lines, counts, ends, new_ends = [], [], [], [], [], [0], [0]
     digest = xxhash.xxh3_128_digest
     for text in texts:
-        for j, line in enumerate(text.lower().split("\n")):
-            own = line.split()
-            if not own:
+        low = text.lower()
+        plain = is_plain(low)
+        for j, line in enumerate(low.split("\n")):
+            normal = line.strip(" ") if plain else " ".join(line.split())
+            if not normal:
                 continue
-            normal = " ".join(own)
-            h = digest(normal.encode("utf-8", "replace"))
-            if len(own) >= min_words and h not in seen[0] and h not in seen[1]:
+            data = normal.encode("utf-8", "replace")
+            h = digest(data)
+            n = normal.count(" ") + 1
+            if n >= min_words and h not in seen[0] and h not in seen[1]:
                 if len(seen[0]) >= REMEMBERED // 2:
                     seen[1] = seen[0]
                     seen[0] = set()
                 seen[0].add(h)
                 new.append(len(pos))
-                lines.append(normal)
+                lines.append(data)
+                counts.append(n)
             pos.append(j)
             hashes.append(h)
         ends.append(len(pos))
         new_ends.append(len(new))
-    at, keys, sketches = _blocks(pc.split_pattern(pa.array(lines, pa.string()), " "), least)
-    w = pc.add(pc.count_substring(pa.array(lines, pa.string()), " "), 1).to_numpy()
+    w = np.array(counts, dtype=np.int32)
+    at, keys, sketches = _blocks(lines, w.astype(np.int64), least)
     pos, both = np.array(pos, dtype=np.int32), np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
     u, v = both[:, 0].copy(), both[:, 1].copy()
     all_rows = pa.StructArray.from_arrays(list(map(pa.array, (pos, u, v))), ["pos", "u", "v"])
-    lists = (sketch_bits(w) // 64, sketches), (np.bincount(at, minlength=len(lines)), keys)
-    lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(x)) for n, x in lists]
-    new_rows = pa.StructArray.from_arrays([pa.array(pos[new]), pa.array(u[new]), pa.array(w.astype(np.int32)), *lists], ["pos", "u", "w", "s", "keys"])
+    longs = [as_binary(x, n) for x, n in ((sketches, sketch_bits(w) // 64), (keys, np.bincount(at, minlength=len(lines))))]
+    new_rows = pa.StructArray.from_arrays([pa.array(pos[new]), pa.array(u[new]), pa.array(w), *longs], ["pos", "u", "w", "s", "keys"])
     return [pa.ListArray.from_arrays(pa.array(e, pa.int32()), x) for e, x in ((ends, all_rows), (new_ends, new_rows))]
 
 
 def with_marks(docs: DataFrame, text_col: str, marks: str, compared: str, min_words: int, least: float) -> DataFrame:
     """``docs`` and columns of the marks of each text's lines: an array of (pos, u, v) and one of (pos, u, w, s, keys) of lines that are compared."""
     kind = "array<struct<pos:int,u:bigint,v:bigint>>"
-    kind_compared = "array<struct<pos:int,u:bigint,w:int,s:array<bigint>,keys:array<bigint>>>"
+    kind_compared = "array<struct<pos:int,u:bigint,w:int,s:binary,keys:binary>>"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +267,7 @@ def with_marks(docs: DataFrame, text_col: str, marks: str, compared: str, min_wo
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             done = 0
-            for part in slices(texts):
+            for part in slices(texts, SLICE):
                 own = batch.slice(done, len(part))
                 done += len(part)
                 yield pa.RecordBatch.from_arrays([*own.columns, *line_marks(part, min_words, least, seen)], [*batch.schema.names, marks, compared])
@@ -239,9 +281,10 @@ def edits(a: list[str], b: list[str], most: int) -> int:
     start, end = 0, min(len(a), len(b))
     while start < end and a[start] == b[start]:
         start += 1
-    a, b = a[start:], b[start:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    same, most_same = 0, end - start
+    while same < most_same and a[-1 - same] == b[-1 - same]:
+        same += 1
+    a, b = a[start : len(a) - same], b[start : len(b) - same]
     if not a or not b or abs(len(a) - len(b)) > most:
         return max(len(a), len(b))
     if max(len(a), len(b)) == 1:
@@ -250,15 +293,21 @@ def edits(a: list[str], b: list[str], most: int) -> int:
     where: dict[str, int] = {}
     for k, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << k
+    if len(b) - sum(map(where.__contains__, b)) > most:  # each of these words takes an edit
+        return len(b)
     mask, last = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score = mask, 0, len(a)
+    limit = most + len(b)  # each word of b that is left takes one off the score at most
     for w in b:
-        same = where.get(w, 0)
-        level = ((same & up) + up ^ up) | same | down
+        equal = where.get(w, 0)
+        level = ((equal & up) + up ^ up) | equal | down
         rise, fall = down | ~(level | up) & mask, up & level
         score += bool(rise & last) - bool(fall & last)
         rise = (rise << 1 | 1) & mask
         up, down = (fall << 1 | ~(level | rise)) & mask, rise & level
+        limit -= 1
+        if score > limit:
+            return max(score, most + 1)
     return score
 
 
@@ -267,6 +316,8 @@ def similar(a: str, b: str, least: float) -> bool:
     x, y = a.split(" "), b.split(" ")
     longer = max(len(x), len(y))
     most = int((1 - least) * longer + 1e-9)
+    if len(x) == len(y) and sum(map(ne, x, y)) <= most:  # replacements alone are enough
+        return True
     return edits(x, y, most) <= most
 
 
@@ -276,8 +327,7 @@ def lines_gone(rows: DataFrame, marks: str, compared: str, row: str, order: list
     rows: documents with ``marks`` and ``compared``, a number ``row`` of their
     own and a text; order: what comes first of a group, before row and place.
     """
-    copies = rows.select(F.inline(marks)).groupBy("u", "v").agg(F.count("*").alias("n")).filter("n > 1")
-    copies = durable(copies.groupBy("u").agg(F.sum("n").alias("n")))
+    copies = durable(rows.select(F.inline(marks)).groupBy("u").agg(F.count("*").alias("n")).filter("n > 1"))
     marked = rows.select(F.col(row).alias("_row"), F.inline(compared))
 
     def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -289,16 +339,11 @@ def lines_gone(rows: DataFrame, marks: str, compared: str, row: str, order: list
     def line_texts(needed: DataFrame) -> DataFrame:
         at = marked.select("u", "_row", F.col("pos").alias("_pos")).join(light(needed, needed.count()), "u").dropDuplicates(["u"])
         at = durable(at.groupBy("_row").agg(F.collect_list(F.struct("_pos", "u")).alias("_at")))
-        texts = (
-            rows.select(F.col(row).alias("_row"), text.alias("_text"))
-            .join(light(at, at.count()), "_row")
-            .select(F.split("_text", "\n", -1).alias("_lines"), F.explode("_at").alias("x"))
-            .select("x.u", F.get("_lines", F.col("x._pos")).alias("line"))
-        )
-        return texts.select("u", _normal(F.col("line")).alias("line")).select("u", "line", F.length("line").alias("bytes")).toDF("u", "x", "bytes")
-
-    cells = marked.select("u", F.explode("keys").alias("cell"))
+        texts = rows.select(F.col(row).alias("_row"), text.alias("_text")).join(light(at, at.count()), "_row")
+        return texts.select("_text", "_at").mapInArrow(_lines_at, "u long, x string, bytes int")
+
     sketched = marked.select("u", F.col("w").alias("size"), "s")
+    cells = shared_cells(marked.select("u", F.col("keys").alias("cells")))
     roots = linked_in_cells(cells, sketched, nearness, line_texts, lambda x, y: similar(x, y, least)).toDF("u", "root")
     # lines without near copies that agree in half of the hash only are no group: v tells them apart
     groups = durable(copies.join(roots, "u", "full").select("u", F.coalesce("n", F.lit(1)).alias("n"), "root"))
@@ -311,13 +356,15 @@ def lines_gone(rows: DataFrame, marks: str, compared: str, row: str, order: list
     return join_hot(found, keep, ["root", "v"], "k").filter("place.row <> keep.row or place.pos <> keep.pos").select("place.row", "place.pos")
 
 
-def _normal(line: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(normalised)
-
-    return run(line)
+def _lines_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts and the (pos, u) of some of their lines each (u, normalised line, its length)."""
+    for batch in batches:
+        found: list[tuple[int, str]] = []
+        for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = text.split("\n")
+            found += [(x["u"], normalised(own[x["_pos"]])) for x in at]
+        us, lines = [x for x, _ in found], [x for _, x in found]
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(lines, pa.string()), pa.array(list(map(len, lines)), pa.int32())], ["u", "x", "bytes"])
 
 
 def _without(text: Column, drop: Column) -> Column:
@@ -357,7 +404,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c.lower() != "n_removed"]
     row, marks, compared, drop = fresh(docs, "_row", "_marks", "_compared", "_drop")
     rows = docs.select(*map(quoted, names)).withColumn(row, F.monotonically_increasing_id())
-    rows = stored(with_marks(rows, text_col, marks, compared, max(2, min_words), least))
+    rows = stored(with_marks(rows, text_col, marks, compared, max(2, min_words), least), level=1)
     order = [quoted(id_col).isNull(), quoted(id_col)]
     gone = lines_gone(rows, marks, compared, row, order, quoted(text_col), least)
     gone = durable(gone.groupBy(F.col("row").alias(row)).agg(F.collect_list("pos").alias(drop)))
