@@ -8,13 +8,15 @@ from one bucket, no sequence crosses a document and none has padding.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ SEQUENCE_TOKENS = 4096
 PUNCTUATION = ".,;:!?#$%&*-+=/()[]{}\"_~"
 #: What bytes that aren't printed are as letters, as in tokenizers of bytes.
 LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Kinds of a UTF-8 text's bytes, and what is of each kind.
+SPACE, MARK, LETTER, OTHER = range(4)
+KINDS = bytes(
+    SPACE if chr(b) in " \n" else MARK if chr(b) in PUNCTUATION else LETTER if b < 128 and chr(b).isalpha() else OTHER for b in range(256)
+)
 #: From here on what a letter is, and its small form, may differ between Unicode's versions.
 NEWER = "\u0530"
 #: What a Python worker remembers of words' ids, in bytes.
@@ -39,8 +46,10 @@ class WordIds:
     A tokenizer that lower-cases, takes runs of letters apart from all else,
     drops white space and joins nothing across it, gives a text the ids of the
     parts between its spaces and line ends in turn; a part of letters with
-    punctuation behind it is two parts. With any other tokenizer whole texts
-    are encoded.
+    punctuation behind it is two parts. Texts of Latin-1 characters are
+    lower-cased as a whole and each distinct part of many texts is looked up
+    once; only what may be one of the tokenizer's own added tokens stays as it
+    is. With any other tokenizer whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -54,6 +63,7 @@ class WordIds:
         with open(path, encoding="utf-8") as opened:
             file = json.load(opened)
         self.by_words = splits_words(file)
+        self.added = [x["content"] for x in file.get("added_tokens") or []]
         self.memory = WordMemory(MEMORY_BYTES)
         self.letters = self._letters if takes_letters(file) else self._each
 
@@ -63,44 +73,81 @@ class WordIds:
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, straight from the tokenizer's model, which gets their bytes as letters after the normalization."""
-        low = [w if w.isascii() else "".join(map(str.lower, w)) for w in words]
-        known = [x.isascii() or x.isalpha() and max(w + x) < NEWER and is_normalized("NFC", w) for w, x in zip(words, low, strict=True)]
-        others = iter(self._each([w for w, k in zip(words, known, strict=True) if not k]))
         tokens = self.tokenizer.model.tokenize
-        return [
-            array("I", [t.id for t in tokens(x if x.isascii() else x.encode().decode("latin-1").translate(LETTERS))]).tobytes() if k else next(others)
-            for x, k in zip(low, known, strict=True)
-        ]
+        low = [w.lower() if w.isascii() else self._as_letters(w) for w in words]
+        others = iter(self._each([w for w, x in zip(words, low, strict=True) if x is None]))
+        return [next(others) if x is None else array("I", [t.id for t in tokens(x)]).tobytes() for x in low]
+
+    @staticmethod
+    def _as_letters(word: str) -> str | None:
+        """What the tokenizer's model gets for a word of letters; none where that may depend on Unicode's version or isn't letters alone."""
+        low = "".join(map(str.lower, word))
+        known = low.isalpha() and max(word) < NEWER and max(low) < NEWER and is_normalized("NFC", word)
+        return low.encode().decode("latin-1").translate(LETTERS) if known else None
 
     def _learn(self, parts: list[str]) -> None:
         memory = self.memory
+        memory.put("", b"")
+        self._put([p for p in parts if p.isalpha()], self.letters)
+        parts = [p for p in parts if p and not p.isalpha()]
         bases = [p.rstrip(PUNCTUATION) for p in parts]
-        bases = [b if len(b) == len(p) or _plain(b) else p for p, b in zip(parts, bases, strict=True)]
+        bases = [b if _plain(b) else p for p, b in zip(parts, bases, strict=True)]
         ends = [p[len(b) :] for p, b in zip(parts, bases, strict=True)]
-        bases = [b.lower() if b.isascii() else b for b in bases]
+        bases = [b.lower() if b.isascii() and b.isalpha() else b for b in bases]
         distinct = set(bases).union(ends).difference(memory.newer)
         remembered = {b: memory.older[b] for b in distinct if b in memory.older}
         memory.put_all(remembered)
         distinct.difference_update(remembered)
-        memory.put("", b"")
         letters = [b for b in distinct if b.isalpha()]
-        others = list(distinct.difference(letters, [""]))
-        for words, encode in ((letters, self.letters), (others, self._each)):
-            for i in range(0, len(words), 2000):
-                some = words[i : i + 2000]
-                memory.put_all(dict(zip(some, encode(some), strict=True)))
+        self._put(letters, self.letters)
+        self._put(list(distinct.difference(letters)), self._each)
         known = memory.newer
         whole = zip(parts, bases, ends, strict=True)
-        memory.put_all({p: known[b] + known[e] if e else known[b] for p, b, e in whole if p not in known})
+        memory.put_all({p: known[b] + known[e] for p, b, e in whole if p not in known})
+
+    def _put(self, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> None:
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            self.memory.put_all(dict(zip(some, encode(some), strict=True)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._each(texts)
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*parts) if parts else set()
-        self._learn(self.memory.missing(words))
-        get = self.memory.newer.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        low = [t.lower() if _latin(t) else t for t in texts]
+        whole = {}
+        for k, (text, small) in enumerate(zip(texts, low, strict=True)):
+            if any(x in text or x in small for x in self.added):
+                whole[k], low[k] = text.replace("\n", " ").split(" "), ""
+        words, which, firsts = cut_words(low)
+        self._learn(self.memory.missing(set(words).union(*whole.values())))
+        known = self.memory.newer
+        ids = pa.array([known[w] for w in words], pa.large_binary()).take(which)
+        values = b"".join(filter(None, ids.buffers()[2:]))
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids))])[firsts].tolist()
+        found = [values[i:j] for i, j in itertools.pairwise(ends)]
+        for k, parts in whole.items():
+            found[k] = b"".join(map(known.__getitem__, parts))
+        return found
+
+
+def cut_words(texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray]:
+    """The distinct words of some texts, which of these each word in turn is, and where each text's words begin, and end at last.
+
+    Words end at spaces and line ends and where ``PUNCTUATION`` follows a letter from a to z.
+    """
+    sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
+    joined = "\n".join([*texts, ""]).encode()
+    kinds = np.frombuffer(joined.translate(KINDS), np.uint8)
+    inside = kinds != SPACE
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | (kinds[1:] == MARK) & (kinds[:-1] == LETTER)
+    starts = np.flatnonzero(first)
+    packed = joined.translate(None, b" \n")
+    offsets = np.append(np.flatnonzero(first[inside]), len(packed))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+    begins = np.cumsum([0, *(n + 1 for n in sizes)])
+    distinct = b"\n".join(words.dictionary.to_pylist()).decode().split("\n") if len(starts) else []
+    return distinct, words.indices, np.searchsorted(starts, begins)
 
 
 def splits_words(file: dict) -> bool:
@@ -121,6 +168,17 @@ def takes_letters(file: dict) -> bool:
     return whole and not any(x["content"].isalpha() for x in file.get("added_tokens") or [])
 
 
+def _latin(text: str) -> bool:
+    """Whether a text has characters of Latin-1 only, whose small forms are the tokenizer's whatever is beside them."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _plain(word: str) -> bool:
     """Whether a word is of letters, and also after the tokenizer's normalization, so that punctuation behind it stays apart."""
     return word.isalpha() and (word.isascii() or is_normalized("NFC", word) and word.lower().isalpha())

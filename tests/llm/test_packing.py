@@ -94,3 +94,25 @@ def test_letters_by_the_model_have_the_tokenizers_ids(monkeypatch):
     monkeypatch.setattr(encode, "_each", lambda some: asked.extend(some) or each(some))
     assert encode.letters([w.lower() if w.isascii() else w for w in words]) == want
     assert not {"the", "Queanç", "ÉTÉ", "straße", "ΣΟΦΟΣ", "Ёлка", "unbelievablement"}.intersection(asked)
+
+
+def test_added_tokens_in_capitals_are_text():
+    """Only what is an added token as it stands is one, whatever its small form."""
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|>. B", "x<|endoftext|>Y <|ENDOFTEXT|>", "No ONE, no one."]
+    words, plain = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    want = [array("I", plain.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert words(texts) == want
+
+
+def test_each_word_is_encoded_once(monkeypatch):
+    """Capitals and punctuation make no further words of a text of Latin-1 characters."""
+    encode = packing.WordIds(PATH)
+    learn, asked = encode._learn, []
+    monkeypatch.setattr(encode, "_learn", lambda parts: asked.extend(parts) or learn(parts))
+    texts = ["The the, THE. tHe!!!\nthe\n", "", " ", "ÉTÉ été the%%% {the", "the, «the» e.g. THE,!!"]
+    want = [array("I", encode.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert encode(texts) == want
+    assert sorted(asked) == sorted(["the", ",", ".", "!!!", "été", "%%%", "{the", "«the»", "e", ".g", ",!!"])
+    assert encode([]) == [] and encode([""]) == [b""]
+    asked.clear()
+    assert encode(texts) == want and asked == []
