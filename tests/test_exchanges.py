@@ -35,9 +35,16 @@ def test_ranks_have_ties_at_their_average_and_nan_last():
 
 
 def test_long_windows_go_through_one_pass_and_constants_are_undefined():
-    assert rolled.in_order("ts_corr", (230,)) and not rolled.in_order("ts_corr", (5,)) and not rolled.in_order("ts_mean", (20, 10))
+    assert rolled.in_order("ts_corr", (230,)) and not rolled.in_order("ts_corr", (rolled.LONG - 1,)) and not rolled.in_order("ts_mean", (20, 10))
     place = np.arange(1, 31)
     x, y = np.full(30, 0.1), np.arange(30.0)
     assert np.isnan(rolled.windowed(x, place, "ts_corr", 20, others=y)).all()
     assert rolled.windowed(x, place, "ts_std", 20)[19:].tolist() == [0.0] * 11
     assert rolled.windowed(3 * y, place, "ts_corr", 20, others=y)[19:].tolist() == [1.0] * 11
+
+
+def test_all_assets_are_exported_without_an_expression_for_each(spark):
+    rows = [(d, a, None if d == a else float(10 * d + a)) for d in (3, 1, 2) for a in range(4) if a != 1 or d > 1] + [(5, None, 1.0)]
+    found = sources.wide(spark.createDataFrame(rows, "date int, asset int, x double"), "x")
+    assert "pivot" not in plan(found) and found.columns == ["date", "0", "1", "2", "3"]
+    assert [tuple(r) for r in found.collect()] == [(1, 10, None, 12, 13), (2, 20, 21, None, 23), (3, 30, 31, 32, None), (5, None, None, None, None)]
