@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from conftest import DATA
 
+from factorloom import queries
 from factorloom.functions import rolled
 from factorloom.operators import evaluate
 from factorloom.sources import panel as sources
@@ -48,3 +49,17 @@ def test_all_assets_are_exported_without_an_expression_for_each(spark):
     found = sources.wide(spark.createDataFrame(rows, "date int, asset int, x double"), "x")
     assert "pivot" not in plan(found) and found.columns == ["date", "0", "1", "2", "3"]
     assert [tuple(r) for r in found.collect()] == [(1, 10, None, 12, 13), (2, 20, 21, None, 23), (3, 30, 31, 32, None), (5, None, None, None, None)]
+
+
+def test_a_decomposition_makes_the_universe_once(spark, monkeypatch):
+    made, styled = [], queries.styled
+
+    def counted(*a):
+        made.append(a)
+        return styled(*a)
+
+    monkeypatch.setattr(queries, "styled", counted)
+    stored, store = [], queries.Tables.store
+    monkeypatch.setattr(queries.Tables, "store", lambda self, df, *a: stored.append(df) or store(self, df, *a))
+    factors, found = queries.decomposed(spark, str(DATA / "sf0.01"), queries.RISK)
+    assert len(made) == 1 and len(stored) == 3 and set(found["share"]) == set(factors)
